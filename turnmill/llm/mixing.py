@@ -39,7 +39,8 @@ def source_targets(
     Together they get `share` of all sizes; none gets more than `max_repeat` times
     its own, and what is cut off is shared again by weight. That settles where
     target = min(cap, weight * level): sources reach their cap in the order of
-    cap / weight, so `level` follows from running sums in that order.
+    cap / weight, so `level` follows from running sums in that order: it is the first
+    that its source doesn't cap, and the largest such, as later ones assume too many caps.
     An empty table gives an empty table. The windows run over sources, never over documents.
     """
     everything = W.partitionBy(F.lit(0))
@@ -58,7 +59,7 @@ def source_targets(
         (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward),
     )
     reached = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))
-    return levels.withColumn("level", F.min(reached).over(everything)).select(
+    return levels.withColumn("level", F.max(reached).over(everything)).select(
         "no_source",
         "source",
         "source_size",

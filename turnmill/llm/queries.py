@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import exact_dedup, mixing, sharding
-from turnmill.llm.common import cut_lineage, documents, word_count
+from turnmill.llm import exact_dedup, langid, media, mixing, packing, sharding
+from turnmill.llm.common import crc_fold, cut_lineage, documents, word_count
 
 SHARDS = 40
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"))
+    model = langid.train(docs.where(~F.col("held_out")).select(F.col("doc_id").alias("id"), "lang", "text"))
+    found = langid.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "bits_per_byte")
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.store_media(documents(spark, sf_dir))).drop("error")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("words"))
     plan = mixing.systematic_mix(cut_lineage(docs), size=F.col("words"))
@@ -25,6 +36,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -43,7 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
+        "op3_media": op3_media,
         "op4_mixing": op4_mixing,
+        "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_sharding": op10_sharding,
     }
@@ -82,7 +100,7 @@ l AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w),
-g AS (SELECT *, min(CASE WHEN level <= cap / weight THEN level END) OVER () AS lv FROM l),
+g AS (SELECT *, max(CASE WHEN level <= cap / weight THEN level END) OVER () AS lv FROM l),
 t AS (
   SELECT no_source, source, source_size,
          CASE WHEN lv IS NULL THEN cap ELSE least(cap, weight * lv) END AS target,
