@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import exact_dedup, langid, media, mixing, packing, sharding
+from turnmill.llm import exact_dedup, langid, lm, media, mixing, packing, sharding
 from turnmill.llm.common import crc_fold, cut_lineage, documents, word_count
 
 SHARDS = 40
@@ -44,6 +44,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm.lattice_scores(documents(spark, sf_dir), crc_fold(F.col("doc_id"), 5) != 1)
+    return scores.select("doc_id", (~F.col("training")).alias("held_out"), *scores.columns[2:])
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS).select(
         "doc_id",
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_sharding": op10_sharding,
     }
 

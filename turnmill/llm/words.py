@@ -134,3 +134,17 @@ def reduce_rows(ufunc: np.ufunc, values: np.ndarray, bounds: np.ndarray, empty,
     if len(some):
         out[some] = ufunc.reduceat(values, bounds[some], axis=0, **options)
     return out
+
+
+def span_strings(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> pa.Array:
+    """The pieces as an Arrow string array, A-Z lower-cased if `fold`."""
+    length = end - start
+    bytes_ = gather(data, start, length)
+    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer((FOLD[bytes_] if fold else bytes_).tobytes())]
+    return pa.Array.from_buffers(pa.string(), len(start), buffers)
+
+
+def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """One list per row: row r gets values[bounds[r]:bounds[r+1]]."""
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
