@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import exact_dedup, langid, lm, media, mixing, packing, sharding
+from turnmill.llm import exact_dedup, langid, lm, media, minhash, mixing, packing, sharding
 from turnmill.llm.common import crc_fold, cut_lineage, documents, word_count
 
 SHARDS = 40
@@ -36,6 +36,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_media": op3_media,
         "op4_mixing": op4_mixing,
+        "op5_near_dedup": op5_near_dedup,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_lm_scoring": op9_lm_scoring,
