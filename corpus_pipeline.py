@@ -1,14 +1,74 @@
-"""A corpus pipeline from the operators of turnmill.llm."""
+"""A corpus pipeline from the operators of turnmill.llm.
+
+Each stage takes the documents that the stage before has kept, written as
+Parquet and read again, and returns documents; the last returns the packed
+pieces. All decisions are the operators'; this file only puts them in order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnmill.llm import langid, line_dedup, minhash, mixing, packing
+from turnmill.llm.common import crc_fold, documents, shared_dir
+
+#: A language is taken as found if its share of the likelihood is at least this.
+SURE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without text or letters, and those whose language stays open."""
+    labelled = docs.where(crc_fold(F.col("doc_id"), 4) != 2).select(F.col("doc_id").alias("id"), "lang", "text")
+    found = langid.identify(docs, langid.train(labelled))
+    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE)
+    return found.where(sure).select("row.*")
+
+
+def line_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that an earlier line matches; documents that lose all their words go."""
+    cut = line_dedup.without_repeated_lines(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mix does."""
+    return mixing.mixed(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens; a document that the mix repeats is packed as often."""
+    return packing.pack_documents(docs)
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_removal),
+    ("near_dedup", near_duplicates),
+    ("mixing", source_mix),
+    ("packing", best_fit_packing),
+]
 
-#: Language models, hash sketches and tokenisation have no SQL form; tests hold the stages against brute force.
+#: Language models, hash sketches and tokenisation have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The last stage's rows for the `documents` of `sf_dir`; stages pass Parquet in the shared folder."""
+    docs = documents(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/pipeline/{uuid4()}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from turnmill.llm.common import cut_lineage, row_struct, unpack, word_count
 
-BINS = 4096
+BINS = 1024
 _OFFSET_BITS = 20
 
 

@@ -28,7 +28,7 @@ from turnmill.llm.words import SPACE, Spans, gather, reduce_rows, slices, span_h
 
 CAPACITY = 1024
 EOS = 2
-BINS = 4096
+BINS = 1024
 #: Distinct chunks that a worker keeps tokenised.
 CACHE = 200_000
 PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"

@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import exact_dedup, langid, lm, media, minhash, mixing, packing, sharding
+from turnmill.llm import chat, exact_dedup, langid, line_dedup, lm, media, minhash, mixing, packing, sharding
 from turnmill.llm.common import crc_fold, cut_lineage, documents, word_count
 
 SHARDS = 40
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = chat.preference_format(chat.pairs_from_conversations(turns))
+
+    def spans(name: str):
+        return F.array_join(F.transform(name, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        F.col("rest.conv_id").alias("conv_id"),
+        "n_prompt_turns",
+        "prompt",
+        "chosen",
+        "rejected",
+        spans("chosen_mask").alias("chosen_mask"),
+        spans("rejected_mask").alias("rejected_mask"),
+    )
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"))
     model = langid.train(docs.where(~F.col("held_out")).select(F.col("doc_id").alias("id"), "lang", "text"))
@@ -40,6 +58,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.removed_lines(documents(spark, sf_dir))
+    removed = F.size("removed").cast("long")
+    return found.select("doc_id", "n_lines", removed.alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -67,10 +91,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_language_id": op2_language_id,
         "op3_media": op3_media,
         "op4_mixing": op4_mixing,
         "op5_near_dedup": op5_near_dedup,
+        "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_lm_scoring": op9_lm_scoring,
@@ -78,6 +104,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP1_SQL = """
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+         '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(k) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+r AS (SELECT t.conv_id, t.text, t.head || t.body AS said, length(t.head) AS lo, length(t.head || t.body) AS hi, l.last
+      FROM t JOIN l ON t.conv_id = l.conv_id AND t.k = l.last),
+p AS (SELECT t.conv_id, string_agg(t.head || t.body, '' ORDER BY t.k) AS before
+      FROM t JOIN l ON t.conv_id = l.conv_id AND t.k < l.last GROUP BY t.conv_id),
+j AS (
+  SELECT r.*, coalesce(p.before, '') AS before, o.said AS other, o.lo AS other_lo, o.hi AS other_hi,
+         o.conv_id IS NOT NULL AND o.text IS NOT DISTINCT FROM r.text AS same
+  FROM r LEFT JOIN p ON p.conv_id = r.conv_id LEFT JOIN r AS o ON o.conv_id = r.conv_id + 1 - 2 * (r.conv_id % 2))
+SELECT conv_id, (last - CASE WHEN same THEN 0 ELSE 1 END)::INT AS n_prompt_turns,
+       before || CASE WHEN same THEN said ELSE '' END AS prompt,
+       CASE WHEN same THEN '' ELSE said END AS chosen,
+       CASE WHEN same OR other IS NULL THEN '' ELSE other END AS rejected,
+       CASE WHEN same THEN '' ELSE lo || '-' || hi END AS chosen_mask,
+       CASE WHEN same OR other IS NULL THEN '' ELSE other_lo || '-' || other_hi END AS rejected_mask
+FROM j
+"""
+
 OP8_SQL = """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS n
@@ -97,7 +146,7 @@ WITH d AS (
   FROM documents),
 c AS (
   SELECT *, floor(ln(size + 1.0::DOUBLE) * 20)::INT AS class,
-         coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 4096, 0) AS bin
+         coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 1024, 0) AS bin
   FROM d),
 s AS (
   SELECT no_source, source, sum(size)::BIGINT AS source_size,
@@ -131,4 +180,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_mixing": OP4_SQL, "op8_exact_dedup": OP8_SQL}
