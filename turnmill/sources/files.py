@@ -51,7 +51,7 @@ def recent_items(items: DataFrame, today: str, days: int = 30) -> DataFrame:
 def file_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """n_files and n_lines below a folder; all lines count, also blank and malformed ones."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(folder)
-    return lines.agg(F.count_distinct(F.input_file_name()).alias("n_files"), F.count(F.lit(1)).alias("n_lines"))
+    return lines.select(F.input_file_name().alias("f")).agg(F.count_distinct("f").alias("n_files"), F.count(F.lit(1)).alias("n_lines"))
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
