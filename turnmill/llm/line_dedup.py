@@ -8,8 +8,8 @@ lose a similar pair. What is left is verified on the full sets, and a line with
 an earlier match is removed.
 
 Lines with equal sets form a class. The join first tests each class against the
-earliest one under its three rarest tokens, which settles the members of large
-groups of near copies; only classes without a match so far are joined with all.
+earliest one under its two rarest tokens, which settles the members of large
+groups of near copies; pairs of settled classes are then left out of the join.
 Rarity comes from a count table of fixed size: any common order of tokens gives
 the same result, so words that share a cell only cost some speed.
 """
@@ -24,14 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.llm.common import cut_lineage, saved
+from turnmill.llm.filters import FILTER_BITS, doc_slot, passes, slot_filter
 from turnmill.llm.minhash import similar
 from turnmill.llm.words import Spans, line_spans, lists, mix, reduce_rows, slices, span_hashes, word_spans
 
 #: Cells of the token count table (8 bytes each on the driver, 4 in tasks).
 CELLS = 1 << 21
-#: Bits of the filters that keep texts and lines without candidates from being read in full.
-FILTER_BITS = 24
-FIRST_TOKENS = 3
+FIRST_TOKENS = 2
 PERCENT = 80
 
 
@@ -90,8 +89,11 @@ def required(total: Column, percent: int) -> Column:
 
 
 def line_classes(texts: DataFrame, counts, percent: int) -> DataFrame:
-    """One row per distinct set of words: class (ascending in the first line's order), doc_id, line, n, one, two,
-    bits (parity bitmap), tokens and places (the prefix, without tokens that occur once)."""
+    """One row per distinct set of words: class (a number), doc_id and line (the first one's), times, n, one, two,
+    bits (parity bitmap), tokens and places (the prefix, without tokens that occur once).
+
+    Tokens are cut to 32 bits here: that may add candidates, but loses none.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +116,7 @@ def line_classes(texts: DataFrame, counts, percent: int) -> DataFrame:
                         pa.array(one[f]),
                         pa.array(two[f]),
                         pa.array(bits[f]),
-                        lists(sets.tokens[kept].view(np.int64), edges, pa.int64()),
+                        lists((sets.tokens[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), edges, pa.int32()),
                         lists(place[kept], edges, pa.int32()),
                     ],
                     ["doc_id", "line", "n", "one", "two", "bits", "tokens", "places"],
@@ -122,51 +124,32 @@ def line_classes(texts: DataFrame, counts, percent: int) -> DataFrame:
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = texts.select("doc_id", "text").mapInArrow(
-        work, f"doc_id {kind}, line int, n int, one long, two long, bits long, tokens array<long>, places array<int>"
+        work, f"doc_id {kind}, line int, n int, one long, two long, bits long, tokens array<int>, places array<int>"
     )
     rest = F.struct("n", "bits", "tokens", "places")
-    first = rows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first(rest).alias("rest"))
-    ordered = first.select("first.*", "rest.*", "one", "two").repartitionByRange("doc_id", "line", "one", "two")
-    ordered = ordered.sortWithinPartitions("doc_id", "line", "one", "two")
-    return saved(ordered.withColumn("class", F.monotonically_increasing_id()))
-
-
-def _filter(rows: DataFrame, slot: Column) -> np.ndarray:
-    """The slots that occur in `rows`, as one bit each of 2**FILTER_BITS."""
-    parts = rows.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b"))
-    bits = np.zeros((1 << FILTER_BITS) // 8 + (1 << 16), np.uint8)
-    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect():
-        low = (row["b"] - 1) * 4096
-        bits[low : low + 4096] |= np.frombuffer(bytes(row["m"]), np.uint8)
-    return bits
-
-
-def _passes(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Bit positions count from bucket 1 at slot 1: see bitmap_bucket_number."""
-    at = slots.astype(np.int64)
-    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
-
-
-def doc_slot(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(1 << FILTER_BITS)).cast("long") + 1
+    first = rows.groupBy("one", "two").agg(
+        F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.first(rest).alias("rest")
+    )
+    classes = first.select("first.*", "times", "rest.*", "one", "two")
+    return saved(classes.withColumn("class", F.monotonically_increasing_id()))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, counts, percent: int) -> DataFrame:
     """The later classes of those `pairs` (a, b) that are similar."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = cut_lineage(classes.select("class", "doc_id", "one", "two").join(wanted, "class"))
+    wanted = cut_lineage(classes.select("class", "doc_id", "line", "one", "two").join(wanted, "class"))
     spark = texts.sparkSession
-    docs = spark.sparkContext.broadcast(_filter(wanted, doc_slot(F.col("doc_id"))))
+    docs = spark.sparkContext.broadcast(slot_filter(wanted, doc_slot(F.col("doc_id"))))
     mask = (1 << FILTER_BITS) - 1
-    own = spark.sparkContext.broadcast(_filter(wanted, F.col("one").bitwiseAND(F.lit(mask)) + 1))
+    own = spark.sparkContext.broadcast(slot_filter(wanted, F.col("one").bitwiseAND(F.lit(mask)) + 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_passes(docs.value, batch.column(0).to_numpy() - 1)))
+            batch = batch.filter(pa.array(passes(docs.value, batch.column(0).to_numpy() - 1)))
             for _, _, data, offsets in slices(batch.column(1)):
                 sets = LineSets(data, offsets, counts.value)
                 one, two = sets.digests()
-                f = sets.filled[_passes(own.value, one[sets.filled] & mask)]
+                f = sets.filled[passes(own.value, one[sets.filled] & mask)]
                 chosen = np.zeros(len(sets.sizes), bool)
                 chosen[f] = True
                 edges = np.concatenate([[0], np.cumsum(sets.sizes[f])])
@@ -176,20 +159,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, counts, pe
                 )
 
     found = texts.select(doc_slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(work, "one long, two long, members array<long>")
-    sets = wanted.select("class", "one", "two").join(found.dropDuplicates(["one", "two"]), ["one", "two"])
-    sets = saved(sets.select("class", "members"))
-    left = sets.select(F.col("class").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("class").alias("b"), F.col("members").alias("right"))
+    place = F.struct("doc_id", "line", "one", "two").alias("place")
+    sets = saved(wanted.join(found.dropDuplicates(["one", "two"]), ["one", "two"]).select("class", place, "members"))
+    left = sets.select(F.col("class").alias("a"), F.col("place").alias("p"), F.col("members").alias("left"))
+    right = sets.select(F.col("class").alias("b"), F.col("place").alias("q"), F.col("members").alias("right"))
     matched = pairs.join(left, "a").join(right, "b").where(similar(F.col("left"), F.col("right"), percent))
-    return matched.select(F.greatest("a", "b").alias("class")).distinct()
+    return matched.select(F.when(F.col("p") > F.col("q"), F.col("a")).otherwise(F.col("b")).alias("class")).distinct()
 
 
 def matched_classes(classes: DataFrame, texts: DataFrame, counts, percent: int) -> DataFrame:
     """The classes with an earlier similar one."""
 
-    def fits(x: str, y: str) -> Column:
+    def fits(x: str, y: str, nx: Column, ny: Column) -> Column:
         """Length and bitmap: sizes within `percent`, and no more differing tokens than similar sets may have."""
-        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
         differ = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
         return (
             (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
@@ -201,28 +183,32 @@ def matched_classes(classes: DataFrame, texts: DataFrame, counts, percent: int)
         pair = [F.least(f"{x}.class", f"{y}.class").alias("a"), F.greatest(f"{x}.class", f"{y}.class").alias("b")]
         return rows.select(*pair).distinct()
 
-    leading = classes.select("class", "n", "bits", F.explode(F.slice("tokens", 1, FIRST_TOKENS)).alias("token"))
-    earliest = leading.groupBy("token").agg(F.min(F.struct("class", "n", "bits")).alias("e")).select("token", "e.*")
-    tries = leading.alias("x").join(earliest.alias("y"), (F.col("x.token") == F.col("y.token")) & fits("x", "y"))
+    leading = classes.select("doc_id", "line", "class", "n", "bits", F.explode(F.slice("tokens", 1, FIRST_TOKENS)).alias("token"))
+    earliest = leading.groupBy("token").agg(F.min(F.struct("doc_id", "line", "class", "n", "bits")).alias("e")).select("token", "e.*")
+    x, y = leading.drop("doc_id", "line").alias("x"), earliest.drop("doc_id", "line").alias("y")
+    tries = x.join(y, (F.col("x.token") == F.col("y.token")) & fits("x", "y", F.col("x.n"), F.col("y.n")))
     settled = cut_lineage(_verified(cut_lineage(ordered(tries, "x", "y")), classes, texts, counts, percent))
 
     flagged = classes.select("class", "n", "bits", "tokens", "places").join(
-        settled.withColumn("settled", F.lit(True)), "class", "left"
+        settled.withColumn("settled", F.lit(1)), "class", "left"
     )
-    postings = flagged.select(
-        "class", "n", "bits", F.col("settled").isNull().alias("open"), F.explode(F.arrays_zip("tokens", "places")).alias("p")
-    ).select("class", "n", "bits", "open", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
-    # The shorter set of a pair has the shared token earlier still: its index is about half as long.
-    index = postings.where(F.col("place") <= F.col("n") - required(2 * F.col("n"), percent))
-    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    later_open = F.when(F.col("x.class") > F.col("y.class"), F.col("x.open")).otherwise(F.col("y.open"))
+    state = F.shiftleft(F.col("n").cast("long"), 32) + F.coalesce("settled", F.lit(0))
+    postings = flagged.select("class", "bits", state.alias("state"), F.explode(F.arrays_zip("tokens", "places")).alias("p"))
+    postings = postings.select("class", "bits", F.col("p.tokens").alias("token"), (F.col("state") + F.shiftleft("p.places", 1)).alias("state"))
+
+    def part(side: str) -> tuple[Column, Column, Column]:
+        """n, place and settled, packed into one number to keep the shuffle small."""
+        s = F.col(f"{side}.state")
+        return F.shiftright(s, 32).cast("int"), F.shiftright(s.bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int"), s.bitwiseAND(F.lit(1))
+
+    (nx, px, sx), (ny, py, sy) = part("x"), part("y")
+    # The shorter set of a pair has the shared token early: y.place is at most y.n less what both must share. Asked
+    # together with y.n <= x.n, so that both sides stay the same table and share one shuffle.
+    indexed = F.greatest(py - (ny - required(2 * ny, percent)).cast("int"), ny - nx) <= 0
+    enough = F.least(nx - px, ny - py) >= required(nx + ny, percent)
     pairs = postings.alias("x").join(
-        index.alias("y"),
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("y.n") <= F.col("x.n"))
-        & fits("x", "y")
-        & (room >= required(F.col("x.n") + F.col("y.n"), percent))
-        & later_open,
+        postings.alias("y"),
+        (F.col("x.token") == F.col("y.token")) & indexed & fits("x", "y", nx, ny) & enough & (sx + sy < 2),
     )
     others = _verified(cut_lineage(ordered(pairs, "x", "y")), classes, texts, counts, percent)
     return settled.union(others).distinct()
@@ -246,43 +232,49 @@ def removed_lines(
     counts = docs.sparkSession.sparkContext.broadcast(token_counts(texts))
     classes = line_classes(texts, counts, percent)
     matched = matched_classes(classes, texts, counts, percent).withColumn("matched", F.lit(True))
-    verdicts = classes.select("class", "one", "two", F.struct("doc_id", "line").alias("first")).join(matched, "class", "left")
+    verdicts = classes.select("class", "one", "two", "times", F.struct("doc_id", "line").alias("first")).join(matched, "class", "left")
+    verdicts = cut_lineage(verdicts.where("times > 1 or matched").drop("class", "times"))
+    mask = (1 << FILTER_BITS) - 1
+    own = docs.sparkSession.sparkContext.broadcast(slot_filter(verdicts, F.col("one").bitwiseAND(F.lit(mask)) + 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(1)):
                 sets = LineSets(data, offsets, counts.value)
-                row, _ = sets.row_and_number()
-                one, two = sets.digests()
+                row, number = sets.row_and_number()
+                one, two = (x[sets.filled] for x in sets.digests())
+                filled = np.bincount(row, minlength=high - low)
+                kept = passes(own.value, one & mask)
+                row, number, one, two = row[kept], number[kept], one[kept], two[kept]
                 edges = np.searchsorted(row, np.arange(high - low + 1))
-                _, number = sets.row_and_number()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, high - low),
                         batch.column(2).slice(low, high - low),
                         pa.array(sets.lines.counts.astype(np.int64)),
+                        pa.array(filled.astype(np.int64)),
                         lists(number, edges, pa.int32()),
-                        lists(one[sets.filled], edges, pa.int64()),
-                        lists(two[sets.filled], edges, pa.int64()),
+                        lists(one, edges, pa.int64()),
+                        lists(two, edges, pa.int64()),
                     ],
-                    ["doc_id", "key", "n_lines", "line", "one", "two"],
+                    ["doc_id", "key", "n_lines", "n_filled", "line", "one", "two"],
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     lined = saved(
         texts.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(
-            work, f"doc_id {kind}, key long, n_lines long, line array<int>, one array<long>, two array<long>"
+            work, f"doc_id {kind}, key long, n_lines long, n_filled long, line array<int>, one array<long>, two array<long>"
         )
     )
     single = lined.select("doc_id", "key", F.explode(F.arrays_zip("line", "one", "two")).alias("x")).select("doc_id", "key", "x.*")
     later = F.struct("doc_id", "line") > F.col("first")
     gone = (
-        single.join(verdicts.select("one", "two", "first", "matched"), ["one", "two"])
+        single.join(verdicts, ["one", "two"])
         .where(F.col("matched").isNotNull() | later)
         .groupBy("doc_id", "key")
         .agg(F.sort_array(F.collect_set("line")).alias("removed"))
     )
-    documents = lined.select("doc_id", "key", "n_lines", F.size("line").cast("long").alias("n_filled")).distinct()
+    documents = lined.select("doc_id", "key", "n_lines", "n_filled").distinct()
     same = documents["doc_id"].eqNullSafe(gone["doc_id"]) & (documents["key"] == gone["key"])
     return documents.join(gone, same, "left").select(
         documents["doc_id"],
