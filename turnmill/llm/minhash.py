@@ -7,12 +7,13 @@ keys: two documents of similarity s miss each other in all bands with
 probability (1 - s**ROWS)**BANDS, 2e-5 at 0.8 and 4e-8 at 0.85.
 
 Documents with the same set of shingles form a class and count once from then
-on. Candidates are verified on the full sets, never all pairs of a bucket:
-first each class against one partner, then one class of each component in a
-bucket against another's, and last, only for buckets that still hold several
-components, the classes outside the bucket's main component against the others.
-Pairs inside a component need no test, so no link that would change a component
-is left out.
+on. Buckets connect classes to clusters, and links can only be inside a cluster.
+Candidates are verified on the full sets, but never all pairs of a bucket: each
+cluster's most central class, its hub, is compared with all others, and each
+class with the bucket minimum that it meets most often. What differs from the
+hub then bounds all other intersections (see `hub_bounds`); only pairs of one
+bucket that aren't linked through the same class yet, and that pass the bound,
+are verified. So no link that would change a component is left out.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 
 from turnmill.llm.common import cut_lineage, saved
 from turnmill.llm.components import components
+from turnmill.llm.filters import FILTER_BITS, doc_slot, passes, slot_filter
 from turnmill.llm.words import lists, mix, reduce_rows, slices, span_hashes, word_spans
 
 SHINGLE = 5
 PERMUTATIONS = 108
 ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
-ROUNDS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLY = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 _FLIP = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64) * _STEP)
@@ -107,20 +108,28 @@ def sketch(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n long, digest binary, bands array<long>")
 
 
-def full_sets(texts: DataFrame) -> DataFrame:
-    """(digest, members) for rows (doc_id, text)."""
+def full_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, members): the full sets of `nodes` (id, rep, digest), worked out again from the texts of their `rep`."""
+    spark = texts.sparkSession
+    docs = spark.sparkContext.broadcast(slot_filter(nodes, doc_slot(F.col("rep"))))
+    head = F.conv(F.hex(F.substring("digest", 1, FILTER_BITS // 8)), 16, 10).cast("long") + 1
+    names = spark.sparkContext.broadcast(slot_filter(nodes, head))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(passes(docs.value, batch.column(0).to_numpy() - 1)))
             for _, _, data, offsets in slices(batch.column(1)):
-                sets = distinct_sets(*shingles(data, offsets))
-                edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                members = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(map(digest, sets), pa.binary()), lists(members, edges, pa.int64())], ["digest", "members"]
-                )
+                sets = [(digest(s), s) for s in distinct_sets(*shingles(data, offsets)) if len(s)]
+                heads = np.array([int.from_bytes(d[: FILTER_BITS // 8]) for d, _ in sets], np.int64)
+                sets = [sets[i] for i in np.flatnonzero(passes(names.value, heads))]
+                edges = np.concatenate([[0], np.cumsum([len(s) for _, s in sets], dtype=np.int64)])
+                members = np.concatenate([*[s for _, s in sets], np.zeros(0, np.uint64)]).view(np.int64)
+                columns = [pa.array([d for d, _ in sets], pa.binary()), lists(members, edges, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["digest", "members"])
 
-    return texts.select("doc_id", "text").mapInArrow(work, "digest binary, members array<long>")
+    found = texts.select(doc_slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(work, "digest binary, members array<long>")
+    named = found.join(nodes.select("id", "digest"), "digest").groupBy("id").agg(F.first("members").alias("members"))
+    return saved(named)
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
@@ -129,63 +138,82 @@ def similar(a: Column, b: Column, percent: int) -> Column:
     return 100 * common >= percent * (F.size(a) + F.size(b) - common)
 
 
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct ordered pairs of different classes whose sizes allow a link; rows have the structs x and y."""
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    return (
-        rows.where((F.col("x.digest") != F.col("y.digest")) & (100 * small >= percent * large))
-        .select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"))
-        .distinct()
-    )
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) that are similar."""
+    left = sets.select(F.col("id").alias("a"), F.col("members").alias("left"))
+    right = sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
+    linked = similar(F.col("left"), F.col("right"), percent)
+    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("digest").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("digest").alias("b"), F.col("members").alias("right"))
-    linked = similar(F.col("left"), F.col("right"), percent)
-    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct()
+def hub_bounds(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each class of `members` (key, id, pivot, size): hub, linked (with the hub) and r, g, c, reach.
 
+    If x lacks d elements of the hub z and has a others, two classes x and y of the
+    cluster have |x & y| = |z| - d(x) - d(y) + s, where s counts the differences from z
+    that both have. They are linked only if s >= g(x) + g(y) - c, with
+    t = percent / (100 + percent), g = (1 - t) d + t a and c = (1 - 2 t) |z|. Differences
+    that no one else has can't be shared, so with r = d + a less these, s <= min(r(x), r(y)).
+    Hence y must have r(y) - g(y) >= g(x) - c: classes for which that exceeds `reach`,
+    the cluster's largest r - g, are linked with none but the hub.
+    """
+    clusters = components(members.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    places = members.groupBy(F.col("id").alias("node")).agg(F.sum("size").alias("places"))
+    placed = cut_lineage(places.join(clusters, "node").select(F.col("node").alias("id"), "places", F.col("label").alias("cluster")))
+    hubs = placed.groupBy("cluster").agg(F.max(F.struct("places", "id")).getField("id").alias("hub"))
+    hub_sets = hubs.join(sets.select(F.col("id").alias("hub"), F.col("members").alias("of_hub")), "hub")
+    own = placed.select("id", "cluster").join(sets, "id")
+    missing, added = F.array_except("of_hub", "members"), F.array_except("members", "of_hub")
+    # What is missing is told from what is added by its flipped bits.
+    differences = F.concat(added, F.transform(missing, lambda e: F.bitwise_not(e)))
+    sizes = [F.size("of_hub").alias("z"), F.size(missing).alias("d"), F.size(added).alias("a")]
+    compared = saved(own.join(hub_sets, "cluster").select("id", "cluster", "hub", *sizes, differences.alias("differences")))
+    alone = (
+        compared.select("id", "cluster", F.explode("differences").alias("e"))
+        .groupBy("cluster", "e")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+        .where("n = 1")
+        .groupBy("id")
+        .agg(F.count(F.lit(1)).alias("alone"))
+    )
+    t = percent / (100.0 + percent)
+    bounds = compared.drop("differences").join(alone, "id", "left")
+    bounds = bounds.withColumn("r", F.col("d") + F.col("a") - F.coalesce("alone", F.lit(0)))
+    bounds = bounds.withColumn("g", (1 - t) * F.col("d") + t * F.col("a")).withColumn("c", (1 - 2 * t) * F.col("z"))
+    bounds = cut_lineage(bounds)
+    reach = bounds.groupBy("cluster").agg(F.max(F.col("r") - F.col("g")).alias("reach"))
+    linked = 100 * (F.col("z") - F.col("d")) >= percent * (F.col("z") + F.col("a"))
+    return cut_lineage(bounds.join(reach, "cluster").select("id", "hub", linked.alias("linked"), "r", "g", "c", "reach"))
 
-def class_links(nodes: DataFrame, texts: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
+
+def class_links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b): verified links between classes, enough to connect all that the links connect."""
-    keyed = nodes.select(F.explode("bands").alias("key"), F.struct("digest", "n").alias("x"), "rep")
-    shared = keyed.groupBy("key").agg(F.min("x").alias("y"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = saved(keyed.join(shared.drop("size"), "key"))
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = saved(full_sets(texts.join(wanted, "doc_id", "left_semi")))
-    # First: each class with the bucket minimum that it meets in most bands.
-    met = members.groupBy("x", "y").agg(F.count(F.lit(1)).alias("bands"))
-    first = met.where("x.digest <> y.digest").groupBy("x").agg(F.max_by("y", F.struct("bands", "y")).alias("y"))
-    tested = cut_lineage(_pairs(first, percent))
-    links = cut_lineage(_verified(tested, sets, percent))
-    for turn in range(rounds + 1):
-        labels = components(links)
-        labelled = members.select("key", "x", F.col("x.digest").alias("node")).join(labels, "node", "left")
-        labelled = labelled.select("key", "x", F.coalesce("label", "node").alias("label"))
-        groups = labelled.groupBy("key", "label").agg(
-            F.count(F.lit(1)).alias("size"),
-            F.min(F.struct(F.xxhash64("x.digest", F.lit(turn)).alias("draw"), "x")).alias("one"),
-        )
-        main = groups.groupBy("key").agg(
-            F.max(F.struct("size", "label", "one")).alias("main"), F.count(F.lit(1)).alias("components")
-        )
-        main = main.where("components > 1")
-        if turn < rounds:  # one class of each other component with one of the main component
-            rows = groups.join(main, "key").where("label <> main.label")
-            rows = rows.select(F.col("one.x").alias("x"), F.col("main.one.x").alias("y"))
-        else:  # all classes outside the main component with all classes of other components
-            mixed = labelled.join(main.select("key", F.col("main.label").alias("main")), "key")
-            outside = mixed.where("label <> main").select("key", "x", F.col("label").alias("x_label"))
-            others = mixed.select("key", F.col("x").alias("y"), F.col("label").alias("y_label"))
-            rows = outside.join(others, "key").where("x_label <> y_label").select("x", "y")
-        pairs = cut_lineage(_pairs(rows, percent).join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        tested = tested.union(pairs)
-        links = cut_lineage(links.union(_verified(pairs, sets, percent)))
-    return links
+    keyed = nodes.select(F.explode("bands").alias("key"), "id", "n")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = saved(keyed.join(shared, "key"))
+    sets = full_sets(texts, cut_lineage(nodes.select("id", "rep", "digest").join(members.select("id").distinct(), "id")))
+    bounds = hub_bounds(members, sets, percent)
+    hub_links = bounds.where("linked and id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    # Classes that the hub doesn't hold: each with the bucket minimum that it meets in most bands.
+    met = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"))
+    first = met.groupBy("id").agg(F.max_by("pivot", F.struct("bands", "pivot")).alias("pivot"))
+    first = first.join(bounds.where("not linked").select("id"), "id", "left_semi")
+    first = cut_lineage(verified(first.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets, percent))
+    # Labels: classes with the same one are linked through it.
+    held = bounds.join(first.select(F.col("b").alias("id"), F.col("a").alias("by")), "id", "left")
+    label = F.when(F.col("linked"), F.col("hub")).otherwise(F.coalesce("by", "id"))
+    held = held.where(F.col("g") - F.col("c") <= F.col("reach") + 1e-6).select("id", label.alias("label"), "r", "g", "c")
+    open_ = members.select("key", "id", "n").join(held, "id")
+    labels = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = labels.groupBy("key").agg(F.max(F.struct("size", "label")).getField("label").alias("main"), F.count(F.lit(1)).alias("labels"))
+    open_ = cut_lineage(open_.join(main.where("labels > 1").drop("labels"), "key"))
+    # What is outside its bucket's main label with what has another one, where the bounds allow a link.
+    x, y = open_.where("label <> main").alias("x"), open_.alias("y")
+    enough = F.least("x.r", "y.r") >= F.col("x.g") + F.col("y.g") - F.col("x.c") - 1e-6
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & enough & sizes)
+    pairs = cut_lineage(joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    return hub_links.union(first).union(verified(pairs, sets, percent))
 
 
 def near_duplicates(
@@ -205,15 +233,15 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketched = saved(sketch(texts))
     filled = sketched.where("n > 0")
-    nodes = saved(
-        filled.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    )
+    classes = filled.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    nodes = saved(classes.withColumn("id", F.monotonically_increasing_id()))
     links = class_links(nodes, texts, percent)
-    several = filled.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z")
-    same_id = filled.join(several, "doc_id").select("a", F.col("digest").alias("b")).where("a <> b")
+    several = filled.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
+    first, other = nodes.select(F.col("digest").alias("x"), F.col("id").alias("a")), nodes.select("digest", F.col("id").alias("b"))
+    same_id = filled.join(several, "doc_id").select("x", "digest").join(first, "x").join(other, "digest").select("a", "b")
     labels = components(links.union(same_id))
-    owners = nodes.select("digest", "rep").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-    owners = owners.withColumn("label", F.coalesce("label", "digest"))
+    owners = nodes.select("id", "digest", "rep").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    owners = owners.withColumn("label", F.coalesce("label", "id"))
     smallest = owners.groupBy("label").agg(F.min("rep").alias("component_id"))
     component = owners.join(smallest, "label").select("digest", "component_id")
     linked = filled.select("doc_id", "n", "digest").join(component, "digest").select("doc_id", "n", "component_id")
