@@ -35,6 +35,8 @@ SHINGLE = 5
 PERMUTATIONS = 108
 ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
+#: From so many classes on, a cluster's hub is its centre; in smaller ones it is a guess from the buckets.
+CENTRED = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLY = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 _FLIP = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64) * _STEP)
@@ -146,6 +148,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
+def compared_with(hubs: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each class of `placed` (id, cluster) what differs from its cluster's hub (cluster, hub, classes):
+    z, d and a are the sizes of the hub, of what is missing and of what is added."""
+    hub_sets = hubs.join(sets.select(F.col("id").alias("hub"), F.col("members").alias("of_hub")), "hub")
+    own = placed.select("id", "cluster").join(sets, "id")
+    missing, added = F.array_except("of_hub", "members"), F.array_except("members", "of_hub")
+    # What is missing is told from what is added by its flipped bits.
+    differences = F.concat(added, F.transform(missing, lambda e: F.bitwise_not(e)))
+    sizes = [F.size("of_hub").alias("z"), F.size(missing).alias("d"), F.size(added).alias("a")]
+    found = own.join(hub_sets, "cluster").select("id", "cluster", "hub", "classes", *sizes, differences.alias("differences"))
+    return saved(found)
+
+
+def centres(compared: DataFrame) -> DataFrame:
+    """(cluster, hub, classes): the class nearest to what most classes of its cluster have in common.
+
+    A difference from the old hub that more than half of the classes have is common. The
+    distance from the common set is the number of other differences plus the common ones
+    that a class lacks.
+    """
+    elements = compared.select("id", "cluster", "classes", F.explode("differences").alias("e"))
+    common = elements.groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("n"), F.first("classes").alias("classes"))
+    common = common.where("2 * n > classes").select("cluster", "e")
+    shared = elements.join(common, ["cluster", "e"]).groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    nearness = 2 * F.coalesce("shared", F.lit(0)) - F.size("differences")
+    nearest = F.max(F.struct(nearness.alias("near"), "id")).getField("id")
+    return compared.join(shared, "id", "left").groupBy("cluster").agg(nearest.alias("hub"), F.first("classes").alias("classes"))
+
+
 def hub_bounds(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """For each class of `members` (key, id, pivot, size): hub, linked (with the hub) and r, g, c, reach.
 
@@ -160,14 +191,14 @@ def hub_bounds(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     clusters = components(members.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     places = members.groupBy(F.col("id").alias("node")).agg(F.sum("size").alias("places"))
     placed = cut_lineage(places.join(clusters, "node").select(F.col("node").alias("id"), "places", F.col("label").alias("cluster")))
-    hubs = placed.groupBy("cluster").agg(F.max(F.struct("places", "id")).getField("id").alias("hub"))
-    hub_sets = hubs.join(sets.select(F.col("id").alias("hub"), F.col("members").alias("of_hub")), "hub")
-    own = placed.select("id", "cluster").join(sets, "id")
-    missing, added = F.array_except("of_hub", "members"), F.array_except("members", "of_hub")
-    # What is missing is told from what is added by its flipped bits.
-    differences = F.concat(added, F.transform(missing, lambda e: F.bitwise_not(e)))
-    sizes = [F.size("of_hub").alias("z"), F.size(missing).alias("d"), F.size(added).alias("a")]
-    compared = saved(own.join(hub_sets, "cluster").select("id", "cluster", "hub", *sizes, differences.alias("differences")))
+    hubs = placed.groupBy("cluster").agg(
+        F.max(F.struct("places", "id")).getField("id").alias("hub"), F.count(F.lit(1)).alias("classes")
+    )
+    guess = compared_with(hubs, placed, sets)
+    large = guess.where(F.col("classes") >= CENTRED)
+    compared = saved(
+        guess.where(F.col("classes") < CENTRED).union(compared_with(centres(large), placed, sets))
+    )
     alone = (
         compared.select("id", "cluster", F.explode("differences").alias("e"))
         .groupBy("cluster", "e")
