@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.llm import langid, line_dedup, minhash, mixing, packing
-from turnmill.llm.common import crc_fold, documents, shared_dir
+from turnmill.llm.common import crc_fold, documents, shared_dir, small_batches
 
 #: A language is taken as found if its share of the likelihood is at least this.
 SURE = 0.5
@@ -22,6 +22,7 @@ SURE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without text or letters, and those whose language stays open."""
+    small_batches(spark)
     labelled = docs.where(crc_fold(F.col("doc_id"), 4) != 2).select(F.col("doc_id").alias("id"), "lang", "text")
     found = langid.identify(docs, langid.train(labelled))
     sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE)
@@ -30,12 +31,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that an earlier line matches; documents that lose all their words go."""
+    small_batches(spark)
     cut = line_dedup.without_repeated_lines(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
+    small_batches(spark)
     kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
@@ -47,6 +50,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens; a document that the mix repeats is packed as often."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

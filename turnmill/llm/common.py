@@ -13,8 +13,16 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows in this session: whole texts are long rows, and a batch is held in memory
+    several times (outside the heap, in transit, and in the Python worker)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(int(spark.conf.get(name)), 1000)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The `documents` table below a data folder (any path that Spark reads)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

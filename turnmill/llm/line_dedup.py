@@ -7,8 +7,9 @@ positions leave possible, and in a parity bitmap's distance, all of which never
 lose a similar pair. What is left is verified on the full sets, and a line with
 an earlier match is removed.
 
-Lines with equal sets form a class. The join first tests each class against the
-earliest one under its two rarest tokens, which settles the members of large
+Lines with equal words, in any order, form a class. First each class is tested
+against the earliest one under a few keys that similar sets mostly share (the
+smallest tokens under some hash functions). That settles the members of large
 groups of near copies; pairs of settled classes are then left out of the join.
 Rarity comes from a count table of fixed size: any common order of tokens gives
 the same result, so words that share a cell only cost some speed.
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +28,12 @@ from pyspark.sql import functions as F
 from turnmill.llm.common import cut_lineage, saved
 from turnmill.llm.filters import FILTER_BITS, doc_slot, passes, slot_filter
 from turnmill.llm.minhash import similar
-from turnmill.llm.words import Spans, line_spans, lists, mix, reduce_rows, slices, span_hashes, word_spans
+from turnmill.llm.words import Spans, gather, line_spans, lists, mix, reduce_rows, slices, span_hashes, word_spans
 
 #: Cells of the token count table (8 bytes each on the driver, 4 in tasks).
 CELLS = 1 << 21
-FIRST_TOKENS = 2
+#: Keys for the first test, and how many smallest tokens make one.
+KEYS, MINIMA = 3, 3
 PERCENT = 80
 
 
@@ -53,44 +56,60 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     return np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
 
 
-class LineSets:
-    """The lines of a slice as sets of word hashes, each set in the order of rarity."""
+class Lines:
+    """The lines of a slice with their word hashes; `row` and `number` place the lines that have words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, counts: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.lines: Spans = line_spans(data, offsets)
         words = word_spans(data, offsets)
-        hashes = span_hashes(data, words)
-        line = np.searchsorted(self.lines.start, words.start, "right") - 1
-        often = counts[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]
-        order = np.lexsort((hashes, often, line))
+        self.hashes = span_hashes(data, words)
+        self.bounds = np.searchsorted(words.start, np.append(self.lines.start, len(data)))
+        self.filled = np.flatnonzero(np.diff(self.bounds))
+        self.row = self.lines.rows[self.filled]
+        self.number = (self.filled - self.lines.bounds[self.row]).astype(np.int32)
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent sums of the words' hashes: a 128-bit name for each filled line's words, in any order."""
+        one = reduce_rows(np.add, mix(self.hashes ^ np.uint64(0xA5A5A5A5)), self.bounds, 0)
+        two = reduce_rows(np.add, mix(self.hashes + np.uint64(0x5DEECE66D)), self.bounds, 0)
+        return one[self.filled].view(np.int64), two[self.filled].view(np.int64)
+
+
+class TokenSets:
+    """The distinct tokens of some of the `lines`, each set in the order of rarity if `counts` are given."""
+
+    def __init__(self, lines: Lines, chosen: np.ndarray, counts: np.ndarray | None = None):
+        length = lines.bounds[chosen + 1] - lines.bounds[chosen]
+        hashes = gather(lines.hashes, lines.bounds[chosen], length)
+        line = np.repeat(np.arange(len(chosen)), length)
+        often = np.zeros(len(hashes), np.int32) if counts is None else counts[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]
+        order = np.lexsort((hashes, line) if counts is None else (hashes, often, line))
         hashes, often, line = hashes[order], often[order], line[order]
         new = np.ones(len(line), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
         self.tokens, self.often, self.line = hashes[new], often[new], line[new]
-        self.bounds = np.searchsorted(self.line, np.arange(len(self.lines.start) + 1))
+        self.bounds = np.searchsorted(self.line, np.arange(len(chosen) + 1))
         self.sizes = np.diff(self.bounds)
-        self.filled = np.flatnonzero(self.sizes)
-
-    def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent sums of the tokens' hashes: a 128-bit name of each line's set."""
-        one = reduce_rows(np.add, mix(self.tokens ^ np.uint64(0xA5A5A5A5)), self.bounds, 0)
-        two = reduce_rows(np.add, mix(self.tokens + np.uint64(0x5DEECE66D)), self.bounds, 0)
-        return one.view(np.int64), two.view(np.int64)
 
-    def row_and_number(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each filled line: its text's row in the slice and its number there, from 0."""
-        row = self.lines.rows[self.filled]
-        return row, (self.filled - self.lines.bounds[row]).astype(np.int32)
+    def keys(self) -> np.ndarray:
+        """KEYS numbers per set, each from the smallest tokens under MINIMA hash functions."""
+        out = np.zeros((len(self.sizes), KEYS), np.uint64)
+        for k in range(KEYS):
+            for m in range(MINIMA):
+                n = np.uint64(MINIMA * k + m + 1)
+                least = reduce_rows(np.minimum, (self.tokens ^ mix(np.array([n]))) * (mix(np.array([n + np.uint64(99)])) | np.uint64(1)), self.bounds, 0)
+                out[:, k] = mix(out[:, k] * np.uint64(31) + least + n)
+        return out
 
 
 def required(total: Column, percent: int) -> Column:
     """Least intersection of two similar sets whose sizes add up to `total`."""
-    return F.ceil(percent * total / F.lit(100.0 + percent))
+    return ((percent * total + (99 + percent)) / F.lit(100 + percent)).cast("int")  # rounded up
 
 
 def line_classes(texts: DataFrame, counts, percent: int) -> DataFrame:
-    """One row per distinct set of words: class (a number), doc_id and line (the first one's), times, n, one, two,
-    bits (parity bitmap), tokens and places (the prefix, without tokens that occur once).
+    """One row per distinct bag of words: class (a number), doc_id and line (the first one's), times, n, one, two,
+    bits (parity bitmap), keys, tokens and places (the prefix, without tokens that occur once).
 
     Tokens are cut to 32 bits here: that may add candidates, but loses none.
     """
@@ -98,35 +117,36 @@ def line_classes(texts: DataFrame, counts, percent: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(1)):
-                sets = LineSets(data, offsets, counts.value)
-                row, number = sets.row_and_number()
+                lines = Lines(data, offsets)
+                sets = TokenSets(lines, lines.filled, counts.value)
                 place = np.arange(len(sets.line)) - sets.bounds[sets.line]
                 prefix = sets.sizes - -(-percent * sets.sizes // 100) + 1
                 kept = np.flatnonzero((place < prefix[sets.line]) & (sets.often > 1))
-                edges = np.searchsorted(sets.line[kept], np.append(sets.filled, len(sets.sizes)))
-                one, two = sets.digests()
+                edges = np.searchsorted(sets.line[kept], np.arange(len(sets.sizes) + 1))
+                one, two = lines.digests()
                 parity = np.uint64(1) << (sets.tokens >> np.uint64(58))
                 bits = reduce_rows(np.bitwise_xor, parity, sets.bounds, 0).view(np.int64)
-                f = sets.filled
+                keys = sets.keys().view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(low, high - low).take(pa.array(row)),
-                        pa.array(number),
-                        pa.array(sets.sizes[f].astype(np.int32)),
-                        pa.array(one[f]),
-                        pa.array(two[f]),
-                        pa.array(bits[f]),
+                        batch.column(0).slice(low, high - low).take(pa.array(lines.row)),
+                        pa.array(lines.number),
+                        pa.array(sets.sizes.astype(np.int32)),
+                        pa.array(one),
+                        pa.array(two),
+                        pa.array(bits),
+                        lists(keys, KEYS * np.arange(len(sets.sizes) + 1), pa.int64()),
                         lists((sets.tokens[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), edges, pa.int32()),
                         lists(place[kept], edges, pa.int32()),
                     ],
-                    ["doc_id", "line", "n", "one", "two", "bits", "tokens", "places"],
+                    ["doc_id", "line", "n", "one", "two", "bits", "keys", "tokens", "places"],
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = texts.select("doc_id", "text").mapInArrow(
-        work, f"doc_id {kind}, line int, n int, one long, two long, bits long, tokens array<int>, places array<int>"
+        work, f"doc_id {kind}, line int, n int, one long, two long, bits long, keys array<long>, tokens array<int>, places array<int>"
     )
-    rest = F.struct("n", "bits", "tokens", "places")
+    rest = F.struct("n", "bits", "keys", "tokens", "places")
     first = rows.groupBy("one", "two").agg(
         F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.first(rest).alias("rest")
     )
@@ -134,7 +154,7 @@ def line_classes(texts: DataFrame, counts, percent: int) -> DataFrame:
     return saved(classes.withColumn("class", F.monotonically_increasing_id()))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, counts, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The later classes of those `pairs` (a, b) that are similar."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = cut_lineage(classes.select("class", "doc_id", "line", "one", "two").join(wanted, "class"))
@@ -147,16 +167,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, counts, pe
         for batch in batches:
             batch = batch.filter(pa.array(passes(docs.value, batch.column(0).to_numpy() - 1)))
             for _, _, data, offsets in slices(batch.column(1)):
-                sets = LineSets(data, offsets, counts.value)
-                one, two = sets.digests()
-                f = sets.filled[passes(own.value, one[sets.filled] & mask)]
-                chosen = np.zeros(len(sets.sizes), bool)
-                chosen[f] = True
-                edges = np.concatenate([[0], np.cumsum(sets.sizes[f])])
-                tokens = sets.tokens[chosen[sets.line]].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[f]), pa.array(two[f]), lists(tokens, edges, pa.int64())], ["one", "two", "members"]
-                )
+                lines = Lines(data, offsets)
+                one, two = lines.digests()
+                kept = passes(own.value, one & mask)
+                sets = TokenSets(lines, lines.filled[kept])
+                members = lists(sets.tokens.view(np.int64), sets.bounds, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(one[kept]), pa.array(two[kept]), members], ["one", "two", "members"])
 
     found = texts.select(doc_slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(work, "one long, two long, members array<long>")
     place = F.struct("doc_id", "line", "one", "two").alias("place")
@@ -167,7 +183,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, counts, pe
     return matched.select(F.when(F.col("p") > F.col("q"), F.col("a")).otherwise(F.col("b")).alias("class")).distinct()
 
 
-def matched_classes(classes: DataFrame, texts: DataFrame, counts, percent: int) -> DataFrame:
+def matched_classes(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The classes with an earlier similar one."""
 
     def fits(x: str, y: str, nx: Column, ny: Column) -> Column:
@@ -183,34 +199,40 @@ def matched_classes(classes: DataFrame, texts: DataFrame, counts, percent: int)
         pair = [F.least(f"{x}.class", f"{y}.class").alias("a"), F.greatest(f"{x}.class", f"{y}.class").alias("b")]
         return rows.select(*pair).distinct()
 
-    leading = classes.select("doc_id", "line", "class", "n", "bits", F.explode(F.slice("tokens", 1, FIRST_TOKENS)).alias("token"))
+    leading = classes.select("doc_id", "line", "class", "n", "bits", F.explode("keys").alias("token"))
     earliest = leading.groupBy("token").agg(F.min(F.struct("doc_id", "line", "class", "n", "bits")).alias("e")).select("token", "e.*")
     x, y = leading.drop("doc_id", "line").alias("x"), earliest.drop("doc_id", "line").alias("y")
     tries = x.join(y, (F.col("x.token") == F.col("y.token")) & fits("x", "y", F.col("x.n"), F.col("y.n")))
-    settled = cut_lineage(_verified(cut_lineage(ordered(tries, "x", "y")), classes, texts, counts, percent))
+    settled = cut_lineage(_verified(cut_lineage(ordered(tries, "x", "y")), classes, texts, percent))
 
     flagged = classes.select("class", "n", "bits", "tokens", "places").join(
         settled.withColumn("settled", F.lit(1)), "class", "left"
     )
-    state = F.shiftleft(F.col("n").cast("long"), 32) + F.coalesce("settled", F.lit(0))
-    postings = flagged.select("class", "bits", state.alias("state"), F.explode(F.arrays_zip("tokens", "places")).alias("p"))
-    postings = postings.select("class", "bits", F.col("p.tokens").alias("token"), (F.col("state") + F.shiftleft("p.places", 1)).alias("state"))
-
-    def part(side: str) -> tuple[Column, Column, Column]:
-        """n, place and settled, packed into one number to keep the shuffle small."""
+    n, settled_flag = F.col("n").cast("long"), F.coalesce("settled", F.lit(0))
+    postings = flagged.select("class", "bits", n.alias("n"), settled_flag.alias("s"), F.explode(F.arrays_zip("tokens", "places")).alias("p"))
+    # The shorter set of a pair has the shared token within its first n less what both must share: it is indexed there.
+    indexed = (F.col("p.places") <= F.col("n") - required(2 * F.col("n"), percent)).cast("int")
+    state = F.shiftleft("n", 32) + F.shiftleft("p.places", 2) + 2 * indexed + F.col("s")
+    postings = postings.select("class", "bits", F.col("p.tokens").alias("token"), state.alias("state"))
+
+    def part(side: str) -> tuple[Column, Column, Column, Column]:
+        """n, place, indexed and settled, packed into one number to keep the shuffle small."""
         s = F.col(f"{side}.state")
-        return F.shiftright(s, 32).cast("int"), F.shiftright(s.bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int"), s.bitwiseAND(F.lit(1))
+        low = s.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        return F.shiftright(s, 32).cast("int"), F.shiftright(low, 2), F.shiftright(low, 1).bitwiseAND(1), low.bitwiseAND(1)
 
-    (nx, px, sx), (ny, py, sy) = part("x"), part("y")
-    # The shorter set of a pair has the shared token early: y.place is at most y.n less what both must share. Asked
-    # together with y.n <= x.n, so that both sides stay the same table and share one shuffle.
-    indexed = F.greatest(py - (ny - required(2 * ny, percent)).cast("int"), ny - nx) <= 0
+    (nx, px, _, sx), (ny, py, iy, sy) = part("x"), part("y")
+    # Each condition takes in both sides, so that both stay the same table and share one shuffle; cheap ones come first.
     enough = F.least(nx - px, ny - py) >= required(nx + ny, percent)
     pairs = postings.alias("x").join(
         postings.alias("y"),
-        (F.col("x.token") == F.col("y.token")) & indexed & fits("x", "y", nx, ny) & enough & (sx + sy < 2),
+        (F.col("x.token") == F.col("y.token"))
+        & (F.greatest(1 - iy, ny - nx) <= 0)
+        & (sx + sy < 2)
+        & fits("x", "y", nx, ny)
+        & enough,
     )
-    others = _verified(cut_lineage(ordered(pairs, "x", "y")), classes, texts, counts, percent)
+    others = _verified(cut_lineage(ordered(pairs, "x", "y")), classes, texts, percent)
     return settled.union(others).distinct()
 
 
@@ -231,7 +253,7 @@ def removed_lines(
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(token_counts(texts))
     classes = line_classes(texts, counts, percent)
-    matched = matched_classes(classes, texts, counts, percent).withColumn("matched", F.lit(True))
+    matched = matched_classes(classes, texts, percent).withColumn("matched", F.lit(True))
     verdicts = classes.select("class", "one", "two", "times", F.struct("doc_id", "line").alias("first")).join(matched, "class", "left")
     verdicts = cut_lineage(verdicts.where("times > 1 or matched").drop("class", "times"))
     mask = (1 << FILTER_BITS) - 1
@@ -240,18 +262,17 @@ def removed_lines(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(1)):
-                sets = LineSets(data, offsets, counts.value)
-                row, number = sets.row_and_number()
-                one, two = (x[sets.filled] for x in sets.digests())
-                filled = np.bincount(row, minlength=high - low)
+                lines = Lines(data, offsets)
+                one, two = lines.digests()
+                filled = np.bincount(lines.row, minlength=high - low)
                 kept = passes(own.value, one & mask)
-                row, number, one, two = row[kept], number[kept], one[kept], two[kept]
+                row, number, one, two = lines.row[kept], lines.number[kept], one[kept], two[kept]
                 edges = np.searchsorted(row, np.arange(high - low + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, high - low),
                         batch.column(2).slice(low, high - low),
-                        pa.array(sets.lines.counts.astype(np.int64)),
+                        pa.array(lines.lines.counts.astype(np.int64)),
                         pa.array(filled.astype(np.int64)),
                         lists(number, edges, pa.int32()),
                         lists(one, edges, pa.int64()),
@@ -292,14 +313,25 @@ def without_repeated_lines(
 
     All columns are kept as they are, but for the text. See removed_lines.
     """
-    verdicts = removed_lines(docs, percent=percent, id_col=id_col, text_col=text_col)
-    verdicts = verdicts.select(
-        F.col("doc_id").alias("_v_doc"), F.col("key").alias("_v_key"), F.col("n_filled").alias("_v_filled"), F.col("removed").alias("_v_gone")
+    verdicts = removed_lines(docs, percent=percent, id_col=id_col, text_col=text_col).where(F.size("removed") > 0)
+    verdicts = cut_lineage(
+        verdicts.select(
+            F.col("doc_id").alias("_v_doc"), F.col("key").alias("_v_key"), F.col("n_filled").alias("_v_filled"), F.col("removed").alias("_v_gone")
+        )
     )
+    touched_slots = docs.sparkSession.sparkContext.broadcast(slot_filter(verdicts, doc_slot(F.col("_v_doc"))))
+
+    @F.pandas_udf("boolean")
+    def touched(slot: pd.Series) -> pd.Series:
+        return pd.Series(passes(touched_slots.value, slot.to_numpy() - 1))
+
+    # Only documents that lose lines, and the few that share a slot with these, go through the join.
+    maybe = touched(doc_slot(docs[id_col]))
+    part = docs.where(maybe)
     text = F.col(f"`{text_col}`")
-    same = docs[id_col].eqNullSafe(F.col("_v_doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_v_key"))
+    same = part[id_col].eqNullSafe(F.col("_v_doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_v_key"))
     lines = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_v_gone", i))
-    cut = F.when(F.size("_v_gone") > 0, F.array_join(lines, "\n")).otherwise(text)
-    emptied = (F.size("_v_gone") > 0) & (F.size("_v_gone") == F.col("_v_filled"))
+    cut = F.when(F.col("_v_gone").isNotNull(), F.array_join(lines, "\n")).otherwise(text)
+    emptied = F.coalesce(F.size("_v_gone") == F.col("_v_filled"), F.lit(False))
     columns = [cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(verdicts, same).where(~emptied).select(*columns)
+    return docs.where(~maybe).union(part.join(verdicts, same, "left").where(~emptied).select(*columns))
