@@ -3,9 +3,10 @@
 A line is the set of its words. Sets are ordered by token rarity; two similar
 sets then share one of their first tokens, so only these are indexed (prefix
 filter). Candidates must also fit in length, in what the shared token's
-positions leave possible, and in a parity bitmap's distance, all of which never
-lose a similar pair. What is left is verified on the full sets, and a line with
-an earlier match is removed.
+positions leave possible, and in the distance of parity bitmaps (a small one
+first, then a wide one for long lines), all of which never lose a similar pair.
+What is left is verified on the full sets, and a line with an earlier match is
+removed.
 
 Lines with equal words, in any order, form a class. First each class is tested
 against the earliest one under a few keys that similar sets mostly share (the
@@ -35,6 +36,8 @@ CELLS = 1 << 21
 #: Keys for the first test, and how many smallest tokens make one.
 KEYS, MINIMA = 3, 3
 PERCENT = 80
+#: 64-bit words of the wide parity bitmap (a power of two), which still tells lines of hundreds of words apart.
+WIDE = 8
 
 
 def token_counts(texts: DataFrame) -> np.ndarray:
@@ -91,6 +94,13 @@ class TokenSets:
         self.bounds = np.searchsorted(self.line, np.arange(len(chosen) + 1))
         self.sizes = np.diff(self.bounds)
 
+    def wide(self) -> np.ndarray:
+        """WIDE words per set: for each bit, whether an odd number of tokens fall on it."""
+        place = self.tokens >> np.uint64(64 - (64 * WIDE - 1).bit_length())
+        parity = np.zeros((len(place), WIDE), np.uint64)
+        parity[np.arange(len(place)), (place >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (place & np.uint64(63))
+        return reduce_rows(np.bitwise_xor, parity, self.bounds, 0)
+
     def keys(self) -> np.ndarray:
         """KEYS numbers per set, each from the smallest tokens under MINIMA hash functions."""
         out = np.zeros((len(self.sizes), KEYS), np.uint64)
@@ -154,6 +164,15 @@ def line_classes(texts: DataFrame, counts, percent: int) -> DataFrame:
     return saved(classes.withColumn("class", F.monotonically_increasing_id()))
 
 
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) that can be similar by their wide bitmaps, which are much smaller than the full sets."""
+    x = sets.select(F.col("class").alias("a"), F.col("n").alias("nx"), F.col("wide").alias("x"))
+    y = sets.select(F.col("class").alias("b"), F.col("n").alias("ny"), F.col("wide").alias("y"))
+    total = F.col("nx") + F.col("ny")
+    differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(WIDE)), F.lit(0))
+    return pairs.join(x, "a").join(y, "b").where(differ <= total - 2 * required(total, percent)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The later classes of those `pairs` (a, b) that are similar."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
@@ -172,14 +191,20 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
                 kept = passes(own.value, one & mask)
                 sets = TokenSets(lines, lines.filled[kept])
                 members = lists(sets.tokens.view(np.int64), sets.bounds, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(one[kept]), pa.array(two[kept]), members], ["one", "two", "members"])
+                wide = lists(sets.wide().view(np.int64).ravel(), WIDE * np.arange(len(sets.sizes) + 1), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one[kept]), pa.array(two[kept]), pa.array(sets.sizes.astype(np.int32)), wide, members],
+                    ["one", "two", "n", "wide", "members"],
+                )
 
-    found = texts.select(doc_slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(work, "one long, two long, members array<long>")
+    found = texts.select(doc_slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(
+        work, "one long, two long, n int, wide array<long>, members array<long>"
+    )
     place = F.struct("doc_id", "line", "one", "two").alias("place")
-    sets = saved(wanted.join(found.dropDuplicates(["one", "two"]), ["one", "two"]).select("class", place, "members"))
+    sets = saved(wanted.join(found.dropDuplicates(["one", "two"]), ["one", "two"]).select("class", place, "n", "wide", "members"))
     left = sets.select(F.col("class").alias("a"), F.col("place").alias("p"), F.col("members").alias("left"))
     right = sets.select(F.col("class").alias("b"), F.col("place").alias("q"), F.col("members").alias("right"))
-    matched = pairs.join(left, "a").join(right, "b").where(similar(F.col("left"), F.col("right"), percent))
+    matched = _near(pairs, sets, percent).join(left, "a").join(right, "b").where(similar(F.col("left"), F.col("right"), percent))
     return matched.select(F.when(F.col("p") > F.col("q"), F.col("a")).otherwise(F.col("b")).alias("class")).distinct()
 
 
