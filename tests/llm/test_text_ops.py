@@ -1,5 +1,6 @@
 """Near and line dedup, language-model scores, chat formatting and the pipeline against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -275,6 +276,37 @@ def test_without_training_rows_or_rows(spark):
     assert lm.lattice_scores(table(spark, []), F.lit(True)).count() == 0
 
 
+def test_scores_are_probabilities_over_all_words(spark):
+    """Known words, the end and 18,000 unseen words share at most one; junk is far less likely than what can be spelt."""
+    training = [(i, words(random.Random(i), 40), "en", "a", 0) for i in range(20)]
+    known = sorted({x for _, t, *_ in training for x in tokens(t)})
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    unseen = [x for n in (1, 2, 3) for x in map("".join, itertools.product(letters, repeat=n)) if x not in known]
+    junk = "".join(random.Random(1).choice(letters) for _ in range(2000))
+    alone = ["", *known, *unseen, junk, "seaside"]
+    rows = training + [(100 + i, x, "en", "a", 0) for i, x in enumerate(alone)]
+    out = lm.lattice_scores(table(spark, rows), F.col("doc_id") < 100).where("not training").collect()
+    score = {alone[r["doc_id"] - 100]: r["score"] for r in out}
+    share = {x: 10 ** (s - score[""]) for x, s in score.items() if x}
+    seen = sum(share[x] for x in known)
+    assert 0.3 < seen < seen + sum(share[x] for x in unseen) < 1 - 10 ** score[""]
+    assert score[junk] < score["seaside"] - 1000
+
+
+def test_lattice_mass_is_that_of_words():
+    """Against a sum over the pieces, each character without a piece spelt in bytes."""
+    lattice = lm.Lattice(lm.default_vocabulary(), np.zeros(32000), 10.0)
+    legal = lambda x: not re.search("[A-Z \\t-\\r]", x)
+    first = sum(math.exp(p) for x, p in lattice.first.items() if legal(x))
+    step = sum(math.exp(p) for x, p in lattice.later.items() if legal(x))
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        if c not in lattice.later and legal(c):
+            step += math.exp(sum(lattice.bytes[b] for b in c.encode()))
+    stop = math.exp(lattice.stop)
+    by_length = first * stop - math.exp(lattice.first[""]) * stop + sum(first * step**k * stop for k in range(1, 3000))
+    assert math.exp(lattice.log_mass) == pytest.approx(by_length)
+
+
 def test_held_out_scores_beat_the_base(spark):
     rows = queries.op9_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1 for r in rows)

@@ -3,13 +3,14 @@
 The pieces of an existing subword vocabulary span a lattice over each word. A
 word starts with a piece that marks a word's start, goes on with others and
 stops; pieces have unigram probabilities, the file's scores (as a rank prior)
-sharpened by how often the vocabulary's own segmentation of the training words
-uses them. A forward recursion in log space sums all segmentations. One more
-edge spans the whole word, with its training frequency smoothed as in the base
-model: something is added to each count, and there is one unseen type, whose
-share goes to any unseen word. What is added, and the weight of the lattice
-against that edge, are those of `ADDED` and `WEIGHTS` under which the training
-words are likeliest when each occurrence is left out of its own count.
+sharpened by how often the vocabulary's own segmentation of the distinct training
+words uses them. A forward recursion in log space sums all segmentations, and is
+divided by the lattice's mass on words, so that all words sum to one. A training
+word has one more edge that spans it, with its count less a discount. What the
+discounts set free, and one discount more, is spread over all words by the
+lattice's spelling probability; a new word has no other share. The discount is
+that of `DISCOUNTS` under which the training words are likeliest when each
+occurrence is left out of the counts.
 
 Pieces don't cross words: a text's log-probability is the sum over its tokens,
 and each distinct word is worked out once, in a word table made by a shuffle.
@@ -20,6 +21,7 @@ others join the table.
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,11 +39,11 @@ HEAD = 400_000
 HOLD = 300_000
 #: Weight of the vocabulary's own scores against the training counts, in pieces.
 PRIOR = 1000.0
-#: What training chooses from to add to each word's count.
-ADDED = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
-#: Weights of the lattice against the whole-word edge that training chooses from.
-WEIGHTS = (0.0005, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4)
+#: What training chooses from to take off each word's count.
+DISCOUNTS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 MARK = "▁"
+#: What no word holds: ASCII white space, and the letters that are folded.
+NOT_IN_WORDS = frozenset(" \t\n\v\f\r" + string.ascii_uppercase)
 LN10 = math.log(10)
 
 
@@ -86,6 +88,25 @@ class Lattice:
             if model.is_byte(i):
                 self.bytes[int(names[i][1:-1], 16)] = log[i]
         self.longest = max(map(len, [*self.first, *self.later]))
+        self.log_mass = self._log_mass()
+
+    def _log_mass(self) -> float:
+        """log of the share of all that the lattice generates that are words: not empty, of characters that words hold."""
+        first = sum(math.exp(p) for x, p in self.first.items() if NOT_IN_WORDS.isdisjoint(x))
+        later = sum(math.exp(p) for x, p in self.later.items() if NOT_IN_WORDS.isdisjoint(x))
+        b, c = np.exp(self.bytes), np.arange(0x110000)
+        spelt = np.select(
+            [c < 0x80, c < 0x800, c < 0x10000],
+            [
+                b[c & 0x7F],
+                b[0xC0 | c >> 6 & 0x1F] * b[0x80 | c & 0x3F],
+                b[0xE0 | c >> 12 & 0xF] * b[0x80 | c >> 6 & 0x3F] * b[0x80 | c & 0x3F],
+            ],
+            b[0xF0 | c >> 18] * b[0x80 | c >> 12 & 0x3F] * b[0x80 | c >> 6 & 0x3F] * b[0x80 | c & 0x3F],
+        )
+        spelt[0xD800:0xE000] = 0  # surrogates
+        spelt[[ord(x) for x in {*NOT_IN_WORDS, *self.later} if len(x) == 1]] = 0
+        return self.stop + math.log(first / (1 - later - spelt.sum()) - math.exp(self.first.get("", -math.inf)))
 
     def log_probability(self, word: str) -> float:
         """Forward recursion: alpha[j] is the log of the sum over all ways to segment the first j characters."""
@@ -152,27 +173,28 @@ def word_table(texts: DataFrame) -> DataFrame:
 
 
 def piece_counts(table: DataFrame, path: str) -> tuple[np.ndarray, float]:
-    """How often the vocabulary's segmentation of the training words uses each piece, and how many words there are."""
+    """How often the vocabulary's segmentation of the distinct training words uses each piece, and how many words there are.
+
+    A word counts once however frequent it is: the lattice spells words that are new, and these are like rare ones.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = _vocabulary(path), None
         for batch in batches:
             ids = model.encode(batch.column(0).to_pylist(), num_threads=1)
-            n = batch.column(1).to_numpy()
             flat = np.fromiter((i for x in ids for i in x), np.int64)
-            weights = np.repeat(n, [len(x) for x in ids]).astype(np.float64)
-            own = np.bincount(flat, weights, model.get_piece_size())
+            own = np.bincount(flat, minlength=model.get_piece_size()).astype(np.float64)
             total = own if total is None else total + own
         if total is not None:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
 
     used = table.where("n > 0")
-    found = used.select("word", "n").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = used.select("word").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     counts = np.zeros(_vocabulary(path).get_piece_size())
     for row in found.collect():  # at most one row for each piece of the vocabulary
         counts[row["piece"]] = row["n"]
-    return counts, float(used.agg(F.sum("n")).first()[0] or 0)
+    return counts, float(used.count())
 
 
 def head_threshold(table: DataFrame, most: int) -> int:
@@ -201,7 +223,7 @@ def lattice_scores(
 
     Returns doc_id, training, n_tokens (words and one end), n_known (tokens that occur
     in training), train_tokens, base_score (unigrams with 0.5 added to each count) and
-    score (the lattice model's), both log10. A null text is an empty one, just an end.
+    score (the lattice model's, a distribution over all words and the end), both log10. A null text is an empty one, just an end.
     Without training rows base_score is 0. Rows that repeat are scored one by one; an empty table gives an empty table.
     """
     path = vocabulary or default_vocabulary()
@@ -211,36 +233,40 @@ def lattice_scores(
     sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     ends = texts.where("training").count()
     tokens, types = sums[0] + ends, sums[1] + (ends > 0)
-    end_share = ends / tokens if tokens else 0.5
+    end_share = (ends + 1) / (tokens + 2)
     scale = tokens + 0.5 * (types + 1)
     lattice = spark.sparkContext.broadcast(Lattice(path, *piece_counts(table, path)))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forward = lattice.value.log_probability
+        forward, mass = lattice.value.log_probability, lattice.value.log_mass
         for batch in batches:
-            spelt = np.array([forward(w) for w in batch.column(1).to_pylist()]) / LN10
+            spelt = (np.array([forward(w) for w in batch.column(1).to_pylist()]) - mass) / LN10
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spelt)], ["hash", "n", "spelt"])
 
     spelt = saved(table.mapInArrow(spell, "hash long, n long, spelt double"))
-    word_share = math.log10(1 - end_share) if end_share < 1 else -math.inf
+    word_share = math.log10(1 - end_share)
 
-    def mixture(n: Column, added: float, weight: float) -> Column:
-        """log10 of the whole word's and the lattice's probability, weighted and added without underflow."""
-        whole = F.log10((n + added) / F.lit(tokens + added * (types + 1))) + F.lit(math.log10(1 - weight))
-        pieces = F.col("spelt") + F.lit(word_share + math.log10(weight))
+    def mixture(n: Column, discount: float, tokens: int, types: Column) -> Column:
+        """log10 of a word's discounted share and of what the lattice spells it with, added without underflow."""
+        scale = math.log10(tokens + discount)
+        whole = F.log10(n - discount) - F.lit(scale)
+        pieces = F.col("spelt") + F.log10((types + 1) * discount) + F.lit(word_share - scale)
         gap = F.least(whole, pieces) - F.greatest(whole, pieces)
-        return F.greatest(whole, pieces) + F.log10(1 + F.pow(F.lit(10.0), gap))
+        return F.when(n > 0, F.greatest(whole, pieces) + F.log10(1 + F.pow(F.lit(10.0), gap))).otherwise(pieces)
 
-    choices = [(added, weight) for added in ADDED for weight in WEIGHTS]
-    left_out = [F.sum(F.col("n") * mixture(F.col("n") - 1, *c)).alias(f"c{i}") for i, c in enumerate(choices)]
+    once = (F.col("n") == 1).cast("int")
+    left_out = [
+        F.sum(F.col("n") * mixture(F.col("n") - 1, d, max(tokens - 1, 0), F.lit(types) - once)).alias(f"d{i}")
+        for i, d in enumerate(DISCOUNTS)
+    ]
     likely = spelt.where("n > 0").agg(*left_out).first()
-    added, weight = choices[max(range(len(choices)), key=lambda i: likely[i] if likely[i] is not None else 0.0)]
+    discount = DISCOUNTS[max(range(len(DISCOUNTS)), key=lambda i: likely[i] if likely[i] is not None else 0.0)]
     scored = spelt.select(
         "hash",
         "n",
         (F.col("n") > 0).alias("known"),
         F.log10((F.col("n") + 0.5) / F.lit(scale)).alias("base"),
-        mixture(F.col("n"), added, weight).alias("model"),
+        mixture(F.col("n"), discount, tokens, F.lit(types)).alias("model"),
     )
 
     least = head_threshold(table, head)
@@ -249,9 +275,8 @@ def lattice_scores(
     order = np.argsort(keys)
     columns = [top.column(c).to_numpy()[order] for c in ("base", "model")]
     frequent = spark.sparkContext.broadcast((keys[order], *columns))
-    whole_end = (ends + added) / (tokens + added * (types + 1))
     end_base = math.log10((ends + 0.5) / scale)
-    end_model = math.log10((1 - weight) * whole_end + weight * end_share)
+    end_model = math.log10((max(ends - discount, 0) + discount * (types + 1) * end_share) / (tokens + discount))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, known_base, known_model = frequent.value
