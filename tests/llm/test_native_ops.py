@@ -1,5 +1,6 @@
 """Mixing, exact dedup and sharding against brute force."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -7,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.util import DOCS, SF, awkward_rows, table
+from tests.llm.util import DOCS, SF, awkward_rows, table, words
 from turnmill.llm import exact_dedup, mixing, queries, sharding
 
 
@@ -142,6 +143,44 @@ def test_shards(spark):
     assert sharding.shard_documents(table(spark, []), 5).count() == 0
 
 
+@pytest.mark.parametrize("sizes,shards", [([5, 1, 9, 2, 2, 7], 3), ([10], 4), ([1] * 20, 6), ([30] + [1] * 60, 10), ([3, 8, 8, 1, 1, 1, 8], 4)])
+def test_cuts_stay_under_the_capacity_and_near_equal_parts(spark, sizes, shards):
+    ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    col = F.array(*[F.lit(e).cast("long") for e in ends])
+    capacity = next(c for c in range(max(sizes), sum(sizes) + 1) if greedy(sizes, c) <= shards)
+    cuts = spark.range(1).select(sharding.cut_ends(col, F.lit(capacity).cast("long"), shards)).first()[0]
+    assert len(cuts) == shards and cuts[-1] == ends[-1] and cuts == sorted(cuts) and set(cuts) <= set(ends)
+    assert max(b - a for a, b in zip([0, *cuts], cuts)) <= capacity  # noqa: B905
+    if sizes == [30] + [1] * 60:
+        assert sorted(Counter(b - a for a, b in zip([0, *cuts], cuts)).items()) == [(6, 3), (7, 6), (30, 1)]  # noqa: B905
+
+
+def test_one_group_with_a_third_of_the_bytes_has_its_own_shard(spark):
+    rng = random.Random(4)
+    rows = [(i, words(rng, 30), "en", "a", 0) for i in range(2000)]
+    hot = "the same text again and again"
+    rest = sum(len(t.encode()) + 16 for _, t, *_ in rows)
+    rows += [(5000 + i, hot, "en", "a", 0) for i in range(rest // 2 // (len(hot) + 16))]
+    unit = table(spark, [(1, hot, None, None, None)]).select(F.pmod(F.xxhash64("text"), F.lit(sharding.UNITS))).first()[0]
+    near = spark.range(1_000_000).select(F.concat(F.lit("t"), "id").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(sharding.UNITS)) == unit)
+    beside = [r["t"] for r in near.collect()]
+    assert beside  # texts that share the hot unit stay with the cold rows
+    rows += [(90_000 + i, t, "en", "a", 0) for i, t in enumerate(beside)]
+    out = sharding.shard_documents(table(spark, rows), 40).collect()
+    size, texts, slots = Counter(), defaultdict(set), defaultdict(list)
+    for r in out:
+        size[r["shard"]] += r["size"]
+        texts[r["shard"]].add(r["text_crc32"])
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == len(rows) and set(size) == set(range(40))
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    home, = [s for s, t in texts.items() if zlib.crc32(hot.encode()) in t]
+    assert len(texts[home]) == 1
+    others = [b for s, b in size.items() if s != home]
+    largest = max(len(t.encode()) + 16 for _, t, *_ in rows)
+    assert max(others) - min(others) <= 2 * largest and max(others) < 1.2 * sum(others) / 39
+
+
 def test_shards_of_the_documents_are_near_equal(spark):
     out = queries.op10_sharding(spark, "/root/testdata/sf0.1").groupBy("shard").agg(F.sum("size").alias("b")).collect()
     sizes = [r["b"] for r in out]

@@ -1,11 +1,14 @@
 """Sharding by minimax contiguous partition (DataFrame operations only).
 
 Equal texts form an atomic group: they hash to the same unit, and a unit is
-never split. The `UNITS` units, in hash order, have sizes; the smallest shard
-capacity for which a greedy left-to-right pass needs no more shards than there
-are is found by binary search, and the units are cut there. The sequence that
-is searched has at most `UNITS` numbers however large the table is, so it fits
-one row; documents are only counted, joined with the broadcast units and ranked.
+never split. A group above an equal share of the bytes is a unit of its own and
+has a shard of its own; the other units, in hash order, go to the other shards.
+The smallest capacity for which a greedy left-to-right pass needs no more shards
+than there are is found by binary search. Each shard is then cut where it comes
+nearest to an equal part of what is left, as far as that capacity allows. The
+sequence that is searched has at most `UNITS` numbers however large the table is,
+so it fits one row; documents are only counted, joined with the broadcast units
+and ranked.
 """
 
 from __future__ import annotations
@@ -55,15 +58,40 @@ def minimax_capacity(sizes: Column, shards: int) -> Column:
 
 
 def cut_ends(ends: Column, capacity: Column, shards: int) -> Column:
-    """Running totals at which greedy filling ends each shard; `ends` are the units' running totals."""
+    """Running totals at which each shard ends: nearest to equal parts of what is left, none above `capacity`.
 
-    def cut(cuts: Column, _: Column) -> Column:
-        start = F.coalesce(F.try_element_at(cuts, F.lit(-1)), F.lit(0).cast("long"))
-        reach = F.array_max(F.filter(ends, lambda e: e <= start + capacity))
-        return F.when(F.size(cuts) == 0, F.array(reach)).otherwise(F.concat(cuts, F.array(reach)))
+    `ends` are the units' running totals. A cut leaves no more than the shards after it can hold, which
+    greedy filling from the right tells. Each shard gets a unit while there are any.
+    """
+    zero = F.lit(0).cast("long")
+    total = F.coalesce(F.array_max(ends), zero)
+
+    def leave(least: Column, _: Column) -> Column:
+        found = F.array_min(F.filter(ends, lambda e: e >= F.element_at(least, -1) - capacity))
+        enough = F.element_at(least, -1) <= capacity
+        return F.concat(least, F.array(F.when(enough, zero).otherwise(found)))
+
+    def cut(s: Column, left: Column) -> Column:
+        start = F.coalesce(F.try_element_at(s["cuts"], F.lit(-1)), zero)
+        equal = start + (total - start) / left
+        fits = F.filter(ends, lambda e: (e > start) & (e <= start + capacity) & (e >= F.element_at(s["least"], left)))
+        nearest = F.array_min(F.transform(fits, lambda e: F.struct(F.abs(e - equal).alias("off"), e.alias("end"))))
+        end = F.coalesce(nearest["end"], start)
+        return F.struct(s["least"].alias("least"), F.concat(s["cuts"], F.array(end)).alias("cuts"))
 
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), empty, cut)
+    # least[k]: where the last k - 1 shards may begin at the earliest
+    least = F.aggregate(F.sequence(F.lit(1), F.lit(shards)), F.array(total), leave)
+    begin = F.struct(least.alias("least"), F.array().cast("array<bigint>").alias("cuts"))
+    return F.aggregate(F.sequence(F.lit(shards), F.lit(1), F.lit(-1)), begin, cut, lambda s: s["cuts"])
+
+
+def above_equal_share(sizes: list[int], total: int, shards: int) -> int:
+    """How many of the largest units, `sizes` downwards, are above an equal share of what the larger ones leave."""
+    for k, size in enumerate(sizes):
+        if size * (shards - k) <= total:
+            return k
+        total -= size
+    return len(sizes)
 
 
 def shard_documents(
@@ -72,8 +100,8 @@ def shard_documents(
     """One row per row of `docs`: doc_id, size, text_crc32, shard (0 to shards - 1), slot.
 
     Sizes are UTF-8 bytes of the text plus `overhead`; a null text has no bytes and
-    is grouped with the empty text. No shard is larger than the best contiguous cut
-    allows, so shards differ by less than a unit unless one group alone is larger.
+    is grouped with the empty text. A group above an equal share has the shard to
+    itself; no other shard is larger than the best contiguous cut of the other units allows.
     `slot` counts from 0 without gaps in each shard. Equal rows get different slots;
     a null id sorts first. An empty table gives an empty table; other columns are ignored.
     """
@@ -84,30 +112,51 @@ def shard_documents(
             ident.alias("doc_id"),
             (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.pmod(F.xxhash64(text), F.lit(UNITS)).cast("int").alias("unit"),
+            F.xxhash64(text).alias("hash"),
             F.pmod(F.xxhash64(ident), F.lit(BINS)).cast("int").alias("bin"),
         )
     )
+
+    def largest(by: str) -> tuple[list, int]:
+        """The rows of units that have a shard of their own, largest first, and all bytes."""
+        sums = rows.groupBy(by).agg(F.sum("size").alias("bytes"))
+        top = sums.orderBy(F.desc("bytes"), by).limit(shards).collect()
+        total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        return top[: above_equal_share([r["bytes"] for r in top], total, shards)], total
+
+    rows = rows.withColumn("unit", F.pmod("hash", F.lit(UNITS)).cast("int"))
+    hot, total = largest("unit")
+    if hot:  # their large groups become units of their own, and leave what shares the unit
+        share = (total - sum(r["bytes"] for r in hot)) / (shards - len(hot))
+        groups = rows.where(F.col("unit").isin([r["unit"] for r in hot])).groupBy("hash").agg(F.sum("size").alias("bytes"))
+        split = groups.where(F.col("bytes") > share).orderBy(F.desc("bytes"), "hash").limit(shards).collect()
+        if split:
+            at = F.array_position(F.array(*[F.lit(r["hash"]) for r in split]), F.col("hash")).cast("int")
+            rows = rows.withColumn("unit", F.when(at > 0, at + (UNITS - 1)).otherwise(F.col("unit")))
+        hot, _ = largest("unit")
+    rows = rows.drop("hash")
     bins = rows.groupBy("unit", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     units = bins.groupBy("unit").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    alone = F.array_position(F.array(*[F.lit(r["unit"]) for r in hot]).cast("array<int>"), F.col("unit")).cast("int")
+    units = units.withColumn("alone", alone)
     in_order = W.partitionBy(F.lit(0)).orderBy("unit")
-    units = units.withColumn("end", F.sum("bytes").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    sequence = units.agg(F.array_sort(F.collect_list(F.struct("unit", "bytes", "end"))).alias("u"))
-    capacity = minimax_capacity(F.col("u.bytes"), shards)
-    cuts = sequence.withColumn("capacity", capacity).select(cut_ends(F.col("u.end"), F.col("capacity"), shards).alias("cuts"))
-    shard = F.size(F.filter("cuts", lambda c: c < F.col("end")))
+    cold = units.where("alone = 0")
+    cold = cold.withColumn("end", F.sum("bytes").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    sequence = cold.agg(F.array_sort(F.collect_list(F.struct("unit", "bytes", "end"))).alias("u"))
+    left = shards - len(hot)
+    capacity = minimax_capacity(F.col("u.bytes"), left)
+    cuts = sequence.withColumn("capacity", capacity).select(cut_ends(F.col("u.end"), F.col("capacity"), left).alias("cuts"))
+    shard = F.size(F.filter("cuts", lambda c: c < F.col("end"))) + len(hot)
     before_unit = W.partitionBy("shard").orderBy("unit").rowsBetween(W.unboundedPreceding, -1)
-    plan = (
-        units.crossJoin(F.broadcast(cuts))  # one row of cuts
-        .withColumn("shard", shard)
-        .select("unit", "shard", F.coalesce(F.sum("n").over(before_unit), F.lit(0)).alias("unit_start"))
-    )
+    placed = cold.crossJoin(F.broadcast(cuts)).select("unit", "n", shard.alias("shard"))  # one row of cuts
+    own = units.where("alone > 0").select("unit", "n", (F.col("alone") - 1).alias("shard"))
+    plan = placed.unionAll(own).select("unit", "shard", F.coalesce(F.sum("n").over(before_unit), F.lit(0)).alias("unit_start"))
     before_bin = W.partitionBy("unit").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     starts = bins.select("unit", "bin", F.coalesce(F.sum("n").over(before_bin), F.lit(0)).alias("bin_start"))
     rank = F.row_number().over(W.partitionBy("unit", "bin").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
         rows.join(starts, ["unit", "bin"])
-        .join(F.broadcast(plan), "unit")  # at most UNITS rows
+        .join(F.broadcast(plan), "unit")  # at most UNITS + shards rows
         .select(
             "doc_id",
             "size",
