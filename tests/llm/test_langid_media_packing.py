@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,6 +122,14 @@ def test_damage_is_found():
         media.decode_png(stored[:-12])
 
 
+def test_stored_rows_are_filtered(spark):
+    for r in media.store_media(table(spark)).collect():
+        at = r["media"].index(b"IDAT")
+        (length,) = struct.unpack_from(">I", r["media"], at - 4)
+        first = zlib.decompressobj().decompress(r["media"][at + 4 : at + 4 + length], 1)
+        assert first[0] != media.NONE
+
+
 def test_media_columns(spark):
     stored = media.store_media(table(spark).withColumn("media", F.lit(1)))
     out = {(r["doc_id"], r["n_bytes"]): r for r in media.read_media(stored).collect()}

@@ -149,8 +149,8 @@ def cosine_hash(payload: np.ndarray) -> str:
     return np.packbits(low > np.median(low[1:])).tobytes().hex()
 
 
-def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_type: int = NONE) -> DataFrame:
-    """doc_id, n_bytes and the binary column `media`: each text's UTF-8 bytes, padded, as a PNG.
+def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_type: int = SUB) -> DataFrame:
+    """doc_id, n_bytes and the binary column `media`: each text's UTF-8 bytes, padded, as a PNG of filtered rows.
 
     A null text is an empty one: one image row of padding. Equal texts give equal
     images. Ids may be null or repeat; other columns are ignored; an empty table stays empty.
