@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at once; bounds the memory of temporary arrays. A longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _STEP = 0x9E3779B97F4A7C15
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
@@ -19,7 +20,16 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Maps A-Z to a-z and keeps all other bytes.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-_tables: dict[str, np.ndarray] = {}
+#: glibc's malloc_trim; other C libraries go without.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_tables: dict[int, np.ndarray] = {}
+
+
+def free_memory() -> None:
+    """Gives back what Arrow and the C library keep of freed memory; for the end of a task, as its worker waits for others."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,12 +45,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
 
 
-def _powers(name: str, base: int, n: int) -> np.ndarray:
-    if name not in _tables or len(_tables[name]) < n:
-        steps = np.full(max(n, SLICE_BYTES), base, np.uint64)
+def _powers(base: int) -> np.ndarray:
+    """base**0, base**1, ... modulo 2**64, enough for a block of SLICE_BYTES."""
+    if base not in _tables:
+        steps = np.full(SLICE_BYTES, base, np.uint64)
         steps[0] = 1
-        _tables[name] = np.cumprod(steps)
-    return _tables[name][:n]
+        _tables[base] = np.cumprod(steps)
+    return _tables[base]
 
 
 def slices(strings: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -105,18 +116,36 @@ def span_hashes(data: np.ndarray, spans: Spans, fold: bool = True) -> np.ndarray
     """64-bit hashes of the pieces' bytes, A-Z lower-cased if `fold`.
 
     Hashes are polynomials in the bytes' random values. A running sum of
-    value * step**position gives each piece's by one subtraction.
+    value * step**position gives each piece's by one subtraction. The sums run
+    over blocks of at most SLICE_BYTES, however long the text or a piece is.
     """
-    if not len(spans.start):
-        return np.zeros(0, np.uint64)
     table = _BYTES[FOLD] if fold else _BYTES
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    values = table[data]
-    values *= _powers("up", _STEP, len(data))
-    np.cumsum(values, out=total[1:])
-    found = total[spans.end] - total[spans.start]
-    found *= _powers("down", _STEP_INVERSE, len(data))[spans.start]
+    up, down = _powers(_STEP), _powers(_STEP_INVERSE)
+    found = np.empty(len(spans.start), np.uint64)
+
+    def running(low: int, high: int) -> np.ndarray:
+        total = np.empty(high - low + 1, np.uint64)
+        total[0] = 0
+        values = table[data[low:high]]
+        values *= up[: high - low]
+        np.cumsum(values, out=total[1:])
+        return total
+
+    first = 0
+    while first < len(found):
+        low = int(spans.start[first])
+        last = int(np.searchsorted(spans.end, low + SLICE_BYTES, "right"))
+        if last > first:
+            start, end = spans.start[first:last] - low, spans.end[first:last] - low
+            total = running(low, int(end[-1]) + low)
+            found[first:last] = (total[end] - total[start]) * down[start]
+        else:  # one piece that is longer than a block
+            last, value = first + 1, 0
+            for at in range(low, int(spans.end[first]), SLICE_BYTES):
+                part = running(at, min(at + SLICE_BYTES, int(spans.end[first])))
+                value += int(part[-1]) * pow(_STEP, at - low, 1 << 64)
+            found[first] = value & ((1 << 64) - 1)
+        first = last
     return mix(found)
 
 
