@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -65,15 +66,23 @@ def test_code_lengths_are_exact(spark):
     got = model.bits(data, offsets)
     for i, q in enumerate(queries_):
         for k, lang in enumerate(model.languages):
-            assert got[i, k] == pytest.approx(brute_bits([t.encode() for t in learn[lang]], q.encode()), rel=1e-4, abs=1e-6)
+            assert got[i, k] / langid.UNIT == pytest.approx(brute_bits([t.encode() for t in learn[lang]], q.encode()), rel=1e-6, abs=1e-5)
 
 
-def test_pruned_contexts_fall_back(spark):
-    rows = [(i, "abcabcabd" * 3, "x", None, None) for i in range(3)] + [(9, "xyz" * 9, "y", None, None)]
-    model = langid.train(table(spark, rows).withColumnRenamed("doc_id", "id"), cells=60)
-    data = np.frombuffer(b"abcxyz", np.uint8)
-    assert np.isfinite(model.bits(data, np.array([0, 3, 6]))).all()
-    assert model.cells.size <= 200
+def test_long_texts_are_scored_in_blocks():
+    """32 MB of text: equal to the sum over its bytes' own code lengths, wherever blocks and rows end."""
+    grams, n = np.unique(langid.byte_runs(np.frombuffer(b"some text to learn from. " * 9, np.uint8), np.array([0, 225]), 0, 225), return_counts=True)
+    model = langid.Model(["x", "y"], [langid.build_tree(grams, n.astype(float)), langid.build_tree(grams[:9], n[:9].astype(float))])
+    part = np.frombuffer(("learning from text, é " * 50).encode(), np.uint8)
+    times = (32 << 20) // len(part)
+    long = np.tile(part, times)
+    offsets = np.array([0, 3, 3, len(long)])
+    got = model.bits(long, offsets)
+    one, two, three = (model.bits(np.tile(part, k), np.array([0, k * len(part)]))[0] for k in (1, 2, 3))
+    assert (two - one == three - two).all()  # from the second copy on, each costs the same
+    tail = model.bits(part, np.array([0, 3, len(part)]))
+    assert (got[0] == tail[0]).all() and (got[1] == 0).all()
+    assert (got[2] == tail[1] + (times - 1) * (two - one)).all()
 
 
 def test_language_id_edge_cases(spark):
@@ -180,6 +189,23 @@ def test_ids_are_the_vocabularys(spark):
         assert all(p["ids_crc32"] == zlib.crc32(np.array(p["ids"], "<u4").tobytes()) for p in pieces)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \t", "\u3000 "])
+def test_long_runs_of_white_space(run, monkeypatch):
+    """Ids around long runs are the vocabulary's; two million blanks don't exhaust the pattern."""
+    monkeypatch.setattr(packing, "RUN", 50)
+    monkeypatch.setattr(packing, "LONG_RUN", re.compile(packing.LONG_RUN.pattern.replace("20000", "50")))
+    tokenise = packing.Tokeniser(packing.default_ranks())
+    texts = [run * 40, run * 60, "a" + run * 60, run * 60 + "b", f"a{run * 60}b c{run * 90}", f"x {run * 70}\u3000y" + run * 10]
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, _ = tokenise(data, np.array([0, len(data)]))
+        assert ids.tolist() == tokens(text)
+    monkeypatch.undo()
+    data = np.frombuffer((" " * 2_000_000 + "end").encode(), np.uint8)
+    ids, _ = tokenise(data, np.array([0, len(data)]))
+    assert len(ids) == 2_000_000 and (ids[:-1] == ids[0]).all()
+
+
 def check_placed(rows, capacity):
     filled = defaultdict(list)
     for r in rows:

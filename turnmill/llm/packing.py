@@ -12,6 +12,7 @@ the pieces are ranked by hash bins, so that no task sees all of one length.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,13 +25,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnmill.llm.common import cut_lineage
-from turnmill.llm.words import SPACE, Spans, gather, reduce_rows, slices, span_hashes
+from turnmill.llm.words import SPACE, Spans, free_memory, gather, reduce_rows, slices, span_hashes
 
 CAPACITY = 1024
 EOS = 2
 BINS = 1024
 #: Distinct chunks that a worker keeps tokenised.
 CACHE = 200_000
+#: From so many characters on, a run of white space is encoded apart. The class is the pattern's own white space.
+RUN = 20_000
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = re.compile(f"(?<!{_WHITE}){_WHITE}{{{RUN},}}")
 PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,16 +45,15 @@ PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 @lru_cache(maxsize=1)
 def _encoding(path: str):
     """The byte-level BPE as ranks. They are the same vocabulary as the `tokenizers` file, and encode faster."""
+    import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    # The split pattern that belongs to this vocabulary (fixed value).
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         sizes[rank] = len(token)
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
 def default_ranks() -> str:
@@ -79,7 +83,16 @@ class Tokeniser:
         self.pool = np.zeros(0, np.uint32)
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.asarray(self.encoding.encode_ordinary(text), np.uint32)
+        """Ids of a text. Its longest runs of white space would exhaust the pattern's stack, so these are cut out first:
+        by the pattern a run but for its last character is one piece (at the end of the text, the whole run)."""
+        parts, begin = [], 0
+        for run in LONG_RUN.finditer(text) if len(text) >= RUN else ():
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            parts.append(self.encoding.encode_ordinary(text[begin : run.start()]))
+            parts.append(self.encoding._encode_single_piece(text[run.start() : end]))
+            begin = end
+        parts.append(self.encoding.encode_ordinary(text[begin:]))
+        return np.concatenate([np.asarray(p, np.uint32) for p in parts])
 
     @staticmethod
     def _wide_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -219,6 +232,7 @@ def token_pieces(
                     columns.append(pa.array(tokens, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        free_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
