@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,13 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows in this session: whole texts are long rows, and a batch is held in memory
-    several times (outside the heap, in transit, and in the Python worker)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(name, str(min(int(spark.conf.get(name)), 1000)))
+    """Bounds this session's Arrow batches to 1,000 rows and 4 MB: whole texts are long rows, and a batch is held in
+    memory several times (outside the heap, in transit, and in the Python worker). Spark reads the setting when a
+    query runs, so it stays set."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        spark.conf.set(name, str(min(held, most) if held > 0 else most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +55,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Like `cut_lineage`, as Parquet: for large tables, and where columns are read apart."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Like `cut_lineage`, as compressed Parquet: for large tables, and where columns are read apart."""
+    return Shelf(df.sparkSession).put(df)
+
+
+class Shelf:
+    """Tables in the shared folder that an operator needs for a while, and lets go together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/tables/{uuid.uuid4()}"
+        self.tables = 0
+        self.broadcasts: list[Broadcast] = []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.tables}"
+        self.tables += 1
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def broadcast(self, value) -> Broadcast:
+        self.broadcasts.append(self.spark.sparkContext.broadcast(value))
+        return self.broadcasts[-1]
+
+    def clear(self) -> None:
+        """Deletes the tables and broadcasts. Nothing that is still to be worked out may read them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        for value in self.broadcasts:
+            value.destroy()
+        self.tables, self.broadcasts = 0, []
 
 
 def ascii_lower(text: Column) -> Column:

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import cut_lineage, saved
+from turnmill.llm.common import Shelf, row_struct, saved, unpack
 from turnmill.llm.filters import FILTER_BITS, doc_slot, passes, slot_filter
 from turnmill.llm.minhash import similar
-from turnmill.llm.words import Spans, gather, line_spans, lists, mix, reduce_rows, slices, span_hashes, word_spans
+from turnmill.llm.words import Spans, free_memory, gather, line_spans, lists, mix, reduce_rows, slices, span_hashes, word_spans
 
 #: Cells of the token count table (8 bytes each on the driver, 4 in tasks).
 CELLS = 1 << 21
@@ -51,6 +51,7 @@ def token_counts(texts: DataFrame) -> np.ndarray:
                 total += np.bincount((hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+        free_memory()
 
     counted = texts.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # at most CELLS rows
@@ -117,7 +118,7 @@ def required(total: Column, percent: int) -> Column:
     return ((percent * total + (99 + percent)) / F.lit(100 + percent)).cast("int")  # rounded up
 
 
-def line_classes(texts: DataFrame, counts, percent: int) -> DataFrame:
+def line_classes(texts: DataFrame, counts, percent: int, shelf: Shelf) -> DataFrame:
     """One row per distinct bag of words: class (a number), doc_id and line (the first one's), times, n, one, two,
     bits (parity bitmap), keys, tokens and places (the prefix, without tokens that occur once).
 
@@ -151,6 +152,7 @@ def line_classes(texts: DataFrame, counts, percent: int) -> DataFrame:
                     ],
                     ["doc_id", "line", "n", "one", "two", "bits", "keys", "tokens", "places"],
                 )
+        free_memory()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = texts.select("doc_id", "text").mapInArrow(
@@ -161,7 +163,7 @@ def line_classes(texts: DataFrame, counts, percent: int) -> DataFrame:
         F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.first(rest).alias("rest")
     )
     classes = first.select("first.*", "times", "rest.*", "one", "two")
-    return saved(classes.withColumn("class", F.monotonically_increasing_id()))
+    return shelf.put(classes.withColumn("class", F.monotonically_increasing_id()))
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,14 +175,15 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(differ <= total - 2 * required(total, percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The later classes of those `pairs` (a, b) that are similar."""
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
+    """The later classes of those `pairs` (a, b) that are similar, kept on `shelf`; all else that is made here is deleted."""
+    own_shelf = Shelf(texts.sparkSession)
+    pairs = own_shelf.put(pairs)
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = cut_lineage(classes.select("class", "doc_id", "line", "one", "two").join(wanted, "class"))
-    spark = texts.sparkSession
-    docs = spark.sparkContext.broadcast(slot_filter(wanted, doc_slot(F.col("doc_id"))))
+    wanted = own_shelf.put(classes.select("class", "doc_id", "line", "one", "two").join(wanted, "class"))
+    docs = own_shelf.broadcast(slot_filter(wanted, doc_slot(F.col("doc_id"))))
     mask = (1 << FILTER_BITS) - 1
-    own = spark.sparkContext.broadcast(slot_filter(wanted, F.col("one").bitwiseAND(F.lit(mask)) + 1))
+    own = own_shelf.broadcast(slot_filter(wanted, F.col("one").bitwiseAND(F.lit(mask)) + 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,19 +199,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
                     [pa.array(one[kept]), pa.array(two[kept]), pa.array(sets.sizes.astype(np.int32)), wide, members],
                     ["one", "two", "n", "wide", "members"],
                 )
+        free_memory()
 
     found = texts.select(doc_slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(
         work, "one long, two long, n int, wide array<long>, members array<long>"
     )
     place = F.struct("doc_id", "line", "one", "two").alias("place")
-    sets = saved(wanted.join(found.dropDuplicates(["one", "two"]), ["one", "two"]).select("class", place, "n", "wide", "members"))
+    sets = own_shelf.put(wanted.join(found.dropDuplicates(["one", "two"]), ["one", "two"]).select("class", place, "n", "wide", "members"))
     left = sets.select(F.col("class").alias("a"), F.col("place").alias("p"), F.col("members").alias("left"))
     right = sets.select(F.col("class").alias("b"), F.col("place").alias("q"), F.col("members").alias("right"))
     matched = _near(pairs, sets, percent).join(left, "a").join(right, "b").where(similar(F.col("left"), F.col("right"), percent))
-    return matched.select(F.when(F.col("p") > F.col("q"), F.col("a")).otherwise(F.col("b")).alias("class")).distinct()
+    later = F.when(F.col("p") > F.col("q"), F.col("a")).otherwise(F.col("b"))
+    later = shelf.put(matched.select(later.alias("class")).distinct())
+    own_shelf.clear()
+    return later
 
 
-def matched_classes(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
     """The classes with an earlier similar one."""
 
     def fits(x: str, y: str, nx: Column, ny: Column) -> Column:
@@ -228,7 +235,7 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int) -> DataF
     earliest = leading.groupBy("token").agg(F.min(F.struct("doc_id", "line", "class", "n", "bits")).alias("e")).select("token", "e.*")
     x, y = leading.drop("doc_id", "line").alias("x"), earliest.drop("doc_id", "line").alias("y")
     tries = x.join(y, (F.col("x.token") == F.col("y.token")) & fits("x", "y", F.col("x.n"), F.col("y.n")))
-    settled = cut_lineage(_verified(cut_lineage(ordered(tries, "x", "y")), classes, texts, percent))
+    settled = _verified(ordered(tries, "x", "y"), classes, texts, percent, shelf)
 
     flagged = classes.select("class", "n", "bits", "tokens", "places").join(
         settled.withColumn("settled", F.lit(1)), "class", "left"
@@ -257,14 +264,14 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int) -> DataF
         & fits("x", "y", nx, ny)
         & enough,
     )
-    others = _verified(cut_lineage(ordered(pairs, "x", "y")), classes, texts, percent)
+    others = _verified(ordered(pairs, "x", "y"), classes, texts, percent, shelf)
     return settled.union(others).distinct()
 
 
 def removed_lines(
     docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, key (a hash of the text), n_lines, n_filled, removed.
+    """One row per row of `docs`: doc_id, key (a hash of the text), n_lines, n_filled, removed.
 
     Lines are what line feeds separate, numbered from 0; a line's words are split at
     ASCII white space and lower-cased in A-Z. A line is `removed` (its number is in
@@ -272,17 +279,18 @@ def removed_lines(
     intersection at least `percent` hundredths of the union. Lines without words
     stay. A null text is one empty line. A null id comes first in the order. Rows
     that repeat id and text are one document, so neither copy removes the other's
-    lines; rows of one id with different texts are ordered by line number. An empty
-    table gives an empty table; other columns are ignored.
+    lines, and each gets the same answer; rows of one id with different texts are
+    ordered by line number. An empty table gives an empty table; other columns are ignored.
     """
+    shelf = Shelf(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = docs.sparkSession.sparkContext.broadcast(token_counts(texts))
-    classes = line_classes(texts, counts, percent)
-    matched = matched_classes(classes, texts, percent).withColumn("matched", F.lit(True))
+    counts = shelf.broadcast(token_counts(texts))
+    classes = line_classes(texts, counts, percent, shelf)
+    matched = matched_classes(classes, texts, percent, shelf).withColumn("matched", F.lit(True))
     verdicts = classes.select("class", "one", "two", "times", F.struct("doc_id", "line").alias("first")).join(matched, "class", "left")
-    verdicts = cut_lineage(verdicts.where("times > 1 or matched").drop("class", "times"))
+    verdicts = saved(verdicts.where("times > 1 or matched").drop("class", "times"))
     mask = (1 << FILTER_BITS) - 1
-    own = docs.sparkSession.sparkContext.broadcast(slot_filter(verdicts, F.col("one").bitwiseAND(F.lit(mask)) + 1))
+    own = shelf.broadcast(slot_filter(verdicts, F.col("one").bitwiseAND(F.lit(mask)) + 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,6 +313,7 @@ def removed_lines(
                     ],
                     ["doc_id", "key", "n_lines", "n_filled", "line", "one", "two"],
                 )
+        free_memory()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     lined = saved(
@@ -312,19 +321,19 @@ def removed_lines(
             work, f"doc_id {kind}, key long, n_lines long, n_filled long, line array<int>, one array<long>, two array<long>"
         )
     )
+    shelf.clear()
     single = lined.select("doc_id", "key", F.explode(F.arrays_zip("line", "one", "two")).alias("x")).select("doc_id", "key", "x.*")
     later = F.struct("doc_id", "line") > F.col("first")
     gone = (
         single.join(verdicts, ["one", "two"])
         .where(F.col("matched").isNotNull() | later)
-        .groupBy("doc_id", "key")
+        .groupBy(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key"))
         .agg(F.sort_array(F.collect_set("line")).alias("removed"))
     )
-    documents = lined.select("doc_id", "key", "n_lines", "n_filled").distinct()
-    same = documents["doc_id"].eqNullSafe(gone["doc_id"]) & (documents["key"] == gone["key"])
-    return documents.join(gone, same, "left").select(
-        documents["doc_id"],
-        documents["key"],
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("key") == F.col("of_key"))
+    return lined.drop("line", "one", "two").join(gone, same, "left").select(
+        "doc_id",
+        "key",
         "n_lines",
         "n_filled",
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
@@ -336,15 +345,12 @@ def without_repeated_lines(
 ) -> DataFrame:
     """The rows of `docs` with matched lines cut from their texts; rows that lose all their words go.
 
-    All columns are kept as they are, but for the text. See removed_lines.
+    All columns are kept as they are, but for the text. See removed_lines for nulls,
+    ties, repeated rows and empty tables.
     """
-    verdicts = removed_lines(docs, percent=percent, id_col=id_col, text_col=text_col).where(F.size("removed") > 0)
-    verdicts = cut_lineage(
-        verdicts.select(
-            F.col("doc_id").alias("_v_doc"), F.col("key").alias("_v_key"), F.col("n_filled").alias("_v_filled"), F.col("removed").alias("_v_gone")
-        )
-    )
-    touched_slots = docs.sparkSession.sparkContext.broadcast(slot_filter(verdicts, doc_slot(F.col("_v_doc"))))
+    found = removed_lines(docs, percent=percent, id_col=id_col, text_col=text_col).where(F.size("removed") > 0)
+    verdicts = saved(found.select("doc_id", "key", "n_filled", "removed").dropDuplicates(["doc_id", "key"]))
+    touched_slots = docs.sparkSession.sparkContext.broadcast(slot_filter(verdicts, doc_slot(F.col("doc_id"))))
 
     @F.pandas_udf("boolean")
     def touched(slot: pd.Series) -> pd.Series:
@@ -352,11 +358,14 @@ def without_repeated_lines(
 
     # Only documents that lose lines, and the few that share a slot with these, go through the join.
     maybe = touched(doc_slot(docs[id_col]))
-    part = docs.where(maybe)
-    text = F.col(f"`{text_col}`")
-    same = part[id_col].eqNullSafe(F.col("_v_doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_v_key"))
-    lines = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_v_gone", i))
-    cut = F.when(F.col("_v_gone").isNotNull(), F.array_join(lines, "\n")).otherwise(text)
-    emptied = F.coalesce(F.size("_v_gone") == F.col("_v_filled"), F.lit(False))
-    columns = [cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    part = docs.where(maybe).select(row_struct(docs).alias("row"), F.col(id_col).alias("ident"), key.alias("text_key"))
+    same = part["ident"].eqNullSafe(verdicts["doc_id"]) & (part["text_key"] == verdicts["key"])
+    lines = F.split(F.col("row").getField(text_col), "\n", -1)
+    whole = F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed").alias("kept"))
+    # One pass over the lines: the split text is bound once, as the element of an array.
+    left = F.transform(F.array(whole), lambda s: F.array_join(F.transform(s["kept"], lambda i: s["lines"][i]), "\n"))[0]
+    cut = F.when(F.col("removed").isNotNull(), left).otherwise(F.col("row").getField(text_col))
+    emptied = F.coalesce(F.size("removed") == F.col("n_filled"), F.lit(False))
+    columns = [cut.alias(c) if c == text_col else own for c, own in zip(docs.columns, unpack(docs, "row", docs.columns), strict=True)]
     return docs.where(~maybe).union(part.join(verdicts, same, "left").where(~emptied).select(*columns))
