@@ -16,6 +16,7 @@ import corpus_pipeline
 from tests.llm.util import awkward_rows, table, words
 from turnmill.llm import chat, line_dedup, lm, minhash, queries
 from turnmill.llm import words as w
+from turnmill.llm.common import crc_fold
 from turnmill.llm.components import components
 
 
@@ -211,35 +212,56 @@ def test_text_without_repeated_lines(spark):
     assert Counter(tuple(r) for r in out.collect()) == expected
 
 
-def test_lattice_sums_all_segmentations():
-    counts = np.zeros(32000)
-    lattice = lm.Lattice(lm.default_vocabulary(), counts, 10.0)
-
-    def brute(word):
-        total = 0.0
-
-        def walk(i, log):
-            nonlocal total
-            if i == len(word):
-                total += math.exp(log)
-                return
-            for j in range(i + 1, len(word) + 1):
-                if word[i:j] in lattice.later:
-                    walk(j, log + lattice.later[word[i:j]])
-            if word[i] not in lattice.later:
-                walk(i + 1, log + sum(lattice.bytes[b] for b in word[i].encode()))
-
-        for k in range(len(word) + 1):
-            if word[:k] in lattice.first:
-                walk(k, lattice.first[word[:k]])
-        return math.log(total) + lattice.stop
-
-    for word in ["the", "thing", "é", "a", "xyz!", "💡", "unlikely"]:
-        assert lattice.log_probability(word) == pytest.approx(brute(word))
-    assert math.isfinite(lattice.log_probability("z" * 20000))
+def segmentations(lattice, word):
+    """(log-probability, pieces) of each way to spell `word`; a character without a piece is spelt in bytes."""
+    found = []
+
+    def walk(i, log, used):
+        if i == len(word):
+            found.append((log, used))
+            return
+        for j in range(i + 1, len(word) + 1):
+            if word[i:j] in lattice.later:
+                walk(j, log + lattice.later[word[i:j]], [*used, word[i:j]])
+        if word[i] not in lattice.later:
+            walk(i + 1, log + sum(lattice.bytes[b] for b in word[i].encode()), [*used, *word[i].encode()])
+
+    for k in range(len(word) + 1):
+        if word[:k] in lattice.first:
+            walk(k, lattice.first[word[:k]], [lm.MARK + word[:k]])
+    return found
+
+
+SPELT = ["the", "thing", "é", "a", "xyz!", "💡", "unlikely", "日本", "ünder", "x💡y"]
+
+
+def test_lattice_sums_all_segmentations(monkeypatch):
+    lattice = lm.Lattice(lm.default_vocabulary())
+    n = np.arange(1.0, len(SPELT) + 1)
+    got, used = lattice.log_probability(SPELT, n)
+    expected = Counter()
+    for word, times, log in zip(SPELT, n, got, strict=True):
+        ways = segmentations(lattice, word)
+        total = sum(math.exp(x) for x, _ in ways)
+        assert log == pytest.approx(math.log(total) + lattice.stop)
+        for x, pieces in ways:
+            for piece in pieces:
+                expected[piece] += times * math.exp(x) / total
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=lm.default_vocabulary())
+    names = {i: int(model.id_to_piece(i)[1:-1], 16) if model.is_byte(i) else model.id_to_piece(i) for i in np.flatnonzero(used).tolist()}
+    assert {names[i]: used[i] for i in names} == pytest.approx(dict(expected))
     assert sum(map(math.exp, lattice.first.values())) == pytest.approx(1)
     inner = [*lattice.later.values(), *lattice.bytes]
     assert sum(map(math.exp, inner)) + math.exp(lattice.stop) == pytest.approx(1)
+    # Long words go by stretches; where these end makes no difference.
+    long = ["z" * 20000, "abé💡" * 1500, "the"]
+    whole = lattice.log_probability(long, np.ones(3))
+    monkeypatch.setattr(lm, "STRETCH", 77)
+    parts = lattice.log_probability(long, np.ones(3))
+    assert whole[0] == pytest.approx(parts[0]) and whole[1] == pytest.approx(parts[1])
+    assert np.isfinite(whole[0]).all()
 
 
 @pytest.mark.parametrize("head", [5, 100_000])
@@ -276,6 +298,40 @@ def test_without_training_rows_or_rows(spark):
     assert lm.lattice_scores(table(spark, []), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_scores_are_the_marginals_of_whole_texts(spark, rounds):
+    """Against the definition: all segmentations of each word, weights by forward-backward counts over all of them."""
+    rows = [(i, " ".join(SPELT[i % 5 :: 3] + ["The"] * (i % 3)), "en", "a", 0) for i in range(12)]
+    rows += [(20, None, None, None, None), (21, "", "en", "a", 0), (22, "unseen word\n thé", "en", "a", 0)]
+    training = [r for r in rows if r[0] % 4 != 1]
+    count = Counter(x for _, t, *_ in training for x in tokens(t))
+    lattice = lm.Lattice(lm.default_vocabulary())
+    for _ in range(rounds):
+        used = Counter()
+        for word, n in count.items():
+            ways = segmentations(lattice, word)
+            total = sum(math.exp(x) for x, _ in ways)
+            for x, pieces in ways:
+                for piece in pieces:
+                    used[piece] += n * math.exp(x) / total
+        counts = np.zeros(lattice.size)
+        for i in range(lattice.size):
+            name = lm._vocabulary(lm.default_vocabulary()).id_to_piece(i)
+            counts[i] = used[int(name[1:-1], 16) if re.fullmatch("<0x..>", name) else name]
+        lattice = lm.Lattice(lm.default_vocabulary(), counts, float(sum(count.values())))
+    ends, n_tokens = len(training), sum(count.values()) + len(training)
+    end = (ends + 1) / (n_tokens + 2)
+    out = lm.lattice_scores(table(spark, rows), F.col("doc_id") % 4 != 1, rounds=rounds).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        text = next(t for d, t, *_ in rows if d == r["doc_id"])
+        expected = math.log10(end)
+        for word in tokens(text):
+            total = sum(math.exp(x) for x, _ in segmentations(lattice, word))
+            expected += math.log10(1 - end) + (math.log(total) + lattice.stop - lattice.log_mass) / lm.LN10
+        assert r["score"] == pytest.approx(expected)
+
+
 def test_scores_are_probabilities_over_all_words(spark):
     """Known words, the end and 18,000 unseen words share at most one; junk is far less likely than what can be spelt."""
     training = [(i, words(random.Random(i), 40), "en", "a", 0) for i in range(20)]
@@ -288,14 +344,14 @@ def test_scores_are_probabilities_over_all_words(spark):
     out = lm.lattice_scores(table(spark, rows), F.col("doc_id") < 100).where("not training").collect()
     score = {alone[r["doc_id"] - 100]: r["score"] for r in out}
     share = {x: 10 ** (s - score[""]) for x, s in score.items() if x}
-    seen = sum(share[x] for x in known)
-    assert 0.3 < seen < seen + sum(share[x] for x in unseen) < 1 - 10 ** score[""]
+    assert 0 < sum(share.values()) < 1 - 10 ** score[""]
+    assert sum(share[x] for x in known) > sum(share[x] for x in unseen[: len(known)])
     assert score[junk] < score["seaside"] - 1000
 
 
 def test_lattice_mass_is_that_of_words():
     """Against a sum over the pieces, each character without a piece spelt in bytes."""
-    lattice = lm.Lattice(lm.default_vocabulary(), np.zeros(32000), 10.0)
+    lattice = lm.Lattice(lm.default_vocabulary())
     legal = lambda x: not re.search("[A-Z \\t-\\r]", x)
     first = sum(math.exp(p) for x, p in lattice.first.items() if legal(x))
     step = sum(math.exp(p) for x, p in lattice.later.items() if legal(x))
@@ -307,10 +363,14 @@ def test_lattice_mass_is_that_of_words():
     assert math.exp(lattice.log_mass) == pytest.approx(by_length)
 
 
-def test_held_out_scores_beat_the_base(spark):
+def test_training_helps_on_held_out_texts(spark):
+    """Weights learnt from training texts against the vocabulary's own scores, on the held-out fold."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = queries.op9_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1 for r in rows)
-    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+    untrained = lm.lattice_scores(docs, crc_fold(F.col("doc_id"), 5) != 1, rounds=0).where("not training").collect()
+    assert len(rows) == len(untrained)
+    assert sum(r["score"] for r in rows) > 0.65 * sum(r["score"] for r in untrained)
 
 
 def test_preference_format(spark):

@@ -2,18 +2,16 @@
 
 The pieces of an existing subword vocabulary span a lattice over each word. A
 word starts with a piece that marks a word's start, goes on with others and
-stops; pieces have unigram probabilities, the file's scores (as a rank prior)
-sharpened by how often the vocabulary's own segmentation of the distinct training
-words uses them. A forward recursion in log space sums all segmentations, and is
-divided by the lattice's mass on words, so that all words sum to one. A training
-word has one more edge that spans it, with its count less a discount. What the
-discounts set free, and one discount more, is spread over all words by the
-lattice's spelling probability; a new word has no other share. The discount is
-that of `DISCOUNTS` under which the training words are likeliest when each
-occurrence is left out of the counts.
-
-Pieces don't cross words: a text's log-probability is the sum over its tokens,
-and each distinct word is worked out once, in a word table made by a shuffle.
+stops; characters without a piece are spelt in byte pieces. Pieces have unigram
+probabilities: a share `OWN` is dealt by the vocabulary's own scores, the rest by
+how often training texts use each piece, summed over all segmentations (`ROUNDS`
+of forward-backward counts that start from the vocabulary's scores alone). A
+forward recursion in log space sums all segmentations of a word, and is divided
+by the lattice's mass on words, so that all words sum to one.
+
+Pieces don't cross words: a text's marginal log-probability is the sum over its
+tokens, and each distinct word is worked out once, in a word table made by a
+shuffle. The recursion runs over many words at once, padded to like lengths.
 The most frequent words, at most `HEAD`, are broadcast; occurrences of all
 others join the table.
 """
@@ -27,24 +25,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import saved
-from turnmill.llm.words import lists, reduce_rows, slices, span_hashes, span_strings, word_spans
+from turnmill.llm.common import Shelf
+from turnmill.llm.words import free_memory, lists, mix, reduce_rows, slices, span_hashes, span_strings, word_spans
 
-#: Most words in the broadcast table: 24 bytes each.
+#: Most words in the broadcast table: 28 bytes each.
 HEAD = 400_000
 #: Distinct words that a task holds before it passes its counts on.
 HOLD = 300_000
-#: Weight of the vocabulary's own scores against the training counts, in pieces.
-PRIOR = 1000.0
-#: What training chooses from to take off each word's count.
-DISCOUNTS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
+#: Share of all piece probability that is dealt by the vocabulary's own scores.
+OWN = 0.1
+#: How often the pieces' counts are worked out anew.
+ROUNDS = 2
+#: Words whose lattices a task works out together, and cells (positions times pieces that may end there) of one step.
+GATHER, CELLS = 30_000, 1 << 20
+#: Characters of a word that are worked out at once.
+STRETCH = 2048
 MARK = "▁"
 #: What no word holds: ASCII white space, and the letters that are folded.
 NOT_IN_WORDS = frozenset(" \t\n\v\f\r" + string.ascii_uppercase)
 LN10 = math.log(10)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @lru_cache(maxsize=1)
@@ -60,10 +65,41 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+class Pieces:
+    """Looks up many strings of code points: `find` gives each hash's place among the strings, or -1."""
+
+    def __init__(self, names: list[str], ids: list[int]):
+        hashes = np.array([self.name_hash(x) for x in names], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], np.array(ids, np.int32)[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.hashes >> np.uint64(44)] = True
+
+    @staticmethod
+    def name_hash(name: str) -> int:
+        codes = np.frombuffer(name.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        return int(mix((mix(codes + np.uint64(1)) * _powers(_STEP, len(codes) + 1)[:-1]).sum(keepdims=True))[0])
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(hashes.shape, -1, np.int32)
+        some = np.nonzero(self.maybe[hashes >> np.uint64(44)])
+        wanted = hashes[some]
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        out[some] = np.where(self.hashes[at] == wanted, self.ids[at], -1)
+        return out
+
+
 class Lattice:
-    """log-probabilities of words under the pieces' unigram model; `counts` are the pieces' training counts."""
+    """log-probabilities of words under the pieces' unigram model; `counts` are the pieces' counts in training texts,
+    `stops` the number of words there."""
 
-    def __init__(self, path: str, counts: np.ndarray, n_words: float):
+    def __init__(self, path: str, counts: np.ndarray | None = None, stops: float = 0.0):
         model = _vocabulary(path)
         size = model.get_piece_size()
         usable = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i))]
@@ -75,19 +111,26 @@ class Lattice:
         inner &= ~starts
         # A better score ranks higher; ranks as probabilities by Zipf's law.
         rank = np.argsort(np.argsort([-model.get_score(i) for i in range(size)], kind="stable"), kind="stable")
-        weight = counts + PRIOR / (rank + 2.7)
-        stop = (n_words + 1) / (n_words + counts[inner].sum() + 2)
+        zipf = 1 / (rank + 2.7)
+        counts = np.zeros(size) if counts is None else counts
+        going_on = counts[inner].sum()
+        stop = (stops + 1) / (stops + going_on + 2)
         log = np.full(size, -np.inf)
-        log[starts] = np.log(weight[starts] / weight[starts].sum())
-        log[inner] = np.log(weight[inner] / weight[inner].sum()) + math.log(1 - stop)
-        self.stop = math.log(stop)
+        for group, scale in ((starts, 1.0), (inner, 1 - stop)):
+            seen = counts[group].sum()
+            own = zipf[group] / zipf[group].sum()
+            log[group] = np.log(scale * (OWN * own + (1 - OWN) * counts[group] / seen if seen else own))
+        self.size, self.log, self.stop = size, log, math.log(stop)
+        byte_ids = {int(names[i][1:-1], 16): i for i in usable if model.is_byte(i)}
+        later = [i for i in usable if inner[i] and not model.is_byte(i)]
         self.first = {names[i][len(MARK) :]: log[i] for i in usable if starts[i]}
-        self.later = {names[i]: log[i] for i in usable if inner[i] and not model.is_byte(i)}
-        self.bytes = [-np.inf] * 256
-        for i in usable:
-            if model.is_byte(i):
-                self.bytes[int(names[i][1:-1], 16)] = log[i]
+        self.later = {names[i]: log[i] for i in later}
+        self.byte_ids = np.array([byte_ids[b] for b in range(256)])
+        self.bytes = log[self.byte_ids].tolist()
         self.longest = max(map(len, [*self.first, *self.later]))
+        self.bare = next((i for i in usable if names[i] == MARK), -1)
+        self.first_pieces = Pieces([names[i][len(MARK) :] for i in usable if starts[i]], [i for i in usable if starts[i]])
+        self.later_pieces = Pieces([names[i] for i in later], later)
         self.log_mass = self._log_mass()
 
     def _log_mass(self) -> float:
@@ -108,38 +151,122 @@ class Lattice:
         spelt[[ord(x) for x in {*NOT_IN_WORDS, *self.later} if len(x) == 1]] = 0
         return self.stop + math.log(first / (1 - later - spelt.sum()) - math.exp(self.first.get("", -math.inf)))
 
-    def log_probability(self, word: str) -> float:
+    def log_probability(self, words: list[str], n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """The words' log-probabilities, all segmentations summed; and, if the words' frequencies `n` are given, how
+        often each piece is used in them, all segmentations weighed by their probability."""
+        length = np.array([len(w) for w in words], np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        begin = np.cumsum(length) - length
+        out = np.empty(len(words))
+        used = None if n is None else np.zeros(self.size)
+        order = np.argsort(length, kind="stable")
+        grade = np.ceil(np.log2(np.maximum(length[order], 4)) * 2)  # lengths within a factor of 1.4 go together
+        edges = np.flatnonzero(np.diff(grade, prepend=-1, append=-1))
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            width = int(length[order[high - 1]])
+            step = max(CELLS // (width * self.longest), 1)
+            for at in range(low, high, step):
+                rows = order[at : min(at + step, high)]
+                padded = np.zeros((len(rows), width), np.uint32)
+                inside = np.arange(width) < length[rows, None]
+                padded[inside] = codes[np.repeat(begin[rows], length[rows]) + np.nonzero(inside)[1]]
+                out[rows] = self._forward(padded, length[rows], None if n is None else n[rows], used)
+        return out, used
+
+    def _arcs(self, padded: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that end at the positions low + 1 .. high: by position, word and length (from the longest down), and
+        those that start the word there; -1 where there is none."""
+        rows, most = len(padded), self.longest
+        begin = max(low - most, 0)
+        sums = np.zeros((rows, high - begin + 1), np.uint64)
+        sums[:, 1:] = np.cumsum(mix(padded[:, begin:high].astype(np.uint64) + np.uint64(1)) * _powers(_STEP, high - begin), axis=1)
+        back = _powers(_BACK, high - begin + 1)
+        later = np.full((high - low, rows, most), -1, np.int32)
+        for size in range(1, min(most, high) + 1):
+            start = np.arange(max(low + 1, size), high + 1) - size
+            ends = sums[:, start + size - begin]
+            later[start + size - 1 - low, :, most - size] = self.later_pieces.find(mix((ends - sums[:, start - begin]) * back[start - begin])).T
+        first = np.full((high - low, rows), -1, np.int32)
+        if low < most:
+            upto = min(high, most)
+            first[: upto - low] = self.first_pieces.find(mix(sums[:, low + 1 : upto + 1])).T
+        return later, first
+
+    def _spelt(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log-probability of characters spelt in bytes; and the bytes' pieces, -1 beyond the last."""
+        c = codes[:, None].astype(np.int64)
+        size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        k = np.arange(4)
+        tail = 0x80 | (c >> 6 * np.maximum(size - 1 - k, 0) & 0x3F)
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size] | c >> 6 * (size - 1)
+        ids = np.where(k < size, self.byte_ids[np.where(k == 0, lead, tail)], -1)
+        return np.where(ids < 0, 0, self.log[ids]).sum(1), ids
+
+    def _forward(self, padded: np.ndarray, length: np.ndarray, n: np.ndarray | None, used: np.ndarray | None) -> np.ndarray:
         """Forward recursion: alpha[j] is the log of the sum over all ways to segment the first j characters."""
-        n = len(word)
-        arriving: list[list[float]] = [[] for _ in range(n + 1)]
-        for length in range(min(n, self.longest) + 1):
-            if (p := self.first.get(word[:length])) is not None:
-                arriving[length].append(p)
-        later = self.later
-        for i in range(n):
-            if not arriving[i]:
-                continue
-            alpha = _log_sum(arriving[i])
-            arriving[i] = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (p := later.get(word[i:j])) is not None:
-                    arriving[j].append(alpha + p)
-            if word[i] not in later:  # no piece for this character: its bytes
-                arriving[i + 1].append(alpha + sum(self.bytes[b] for b in word[i].encode()))
-        return _log_sum(arriving[n]) + self.stop
-
-
-def _log_sum(values: list[float]) -> float:
-    if len(values) == 1:
-        return values[0]
-    top = max(values, default=-math.inf)
-    return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
+        rows, width = padded.shape
+        most = self.longest
+        log = np.append(self.log, -np.inf)  # the last one is for -1
+        alpha = np.full((width + 1 + most, rows), -np.inf)  # position j is in row j + most
+        alpha[most] = log[self.bare]
+        kept = []
+        for low in range(0, width, STRETCH):
+            high = min(low + STRETCH, width)
+            later, first = self._arcs(padded, low, high)
+            single = later[:, :, most - 1] < 0
+            spelt = np.full(single.shape, -np.inf)
+            spelt[single], _ = self._spelt(padded[:, low:high].T[single])
+            weight, start = log[later], log[first]
+            weight[:, :, most - 1] = np.where(single, spelt, weight[:, :, most - 1])
+            for j in range(low + 1, high + 1):
+                arriving = weight[j - low - 1] + alpha[j : j + most].T
+                top = np.maximum(arriving.max(1), start[j - low - 1])
+                safe = np.where(np.isfinite(top), top, 0)
+                total = np.exp(arriving - safe[:, None]).sum(1) + np.exp(start[j - low - 1] - safe)
+                with np.errstate(divide="ignore"):
+                    alpha[j + most] = safe + np.log(total)
+            if n is not None:
+                kept.append((low, high))
+        whole = alpha[length + most, np.arange(rows)]
+        if n is not None:
+            self._backward(padded, length, n, used, alpha, whole, kept)
+        return whole + self.stop
+
+    def _backward(self, padded, length, n, used, alpha, whole, stretches) -> None:
+        """Adds to `used` what each piece is used, from the end back: beta[j] sums all ways to segment what follows j."""
+        rows, width = padded.shape
+        most = self.longest
+        log = np.append(self.log, -np.inf)
+        beta = np.full((width + 1, rows), -np.inf)
+        beta[length, np.arange(rows)] = 0
+        share = np.log(np.maximum(n, 1e-300)) - whole
+        total = np.zeros(self.size + 1)  # the last one is for -1
+        for low, high in reversed(stretches):
+            later, first = self._arcs(padded, low, high)
+            single = later[:, :, most - 1] < 0
+            weight, start = log[later], log[first]
+            weight[:, :, most - 1][single], spelt_ids = self._spelt(padded[:, low:high].T[single])
+            uses = np.zeros_like(weight)
+            for j in range(high, low, -1):
+                there = beta[j]
+                arcs = weight[j - low - 1] + there[:, None]
+                reach = min(most, j)  # arcs that start before the word have no weight
+                own = beta[j - reach : j]
+                own[:] = np.logaddexp(own, arcs[:, most - reach :].T)
+                uses[j - low - 1] = np.exp(arcs + alpha[j : j + most].T + share[:, None])
+            spelt = uses[:, :, most - 1][single]
+            begun = np.exp(start + beta[low + 1 : high + 1] + share)
+            for ids, times in ((later, uses), (first, begun), (spelt_ids, np.repeat(spelt, spelt_ids.shape[1]))):
+                total += np.bincount(np.where(ids < 0, self.size, ids).ravel(), times.ravel(), self.size + 1)
+        used += total[: self.size]
+        if self.bare >= 0:
+            used[self.bare] += np.exp(log[self.bare] + beta[0] + share).sum()
 
 
 def word_table(texts: DataFrame) -> DataFrame:
-    """(hash, word, n) of all words in `texts` (text, training): n counts those where `training` holds, so it may be 0.
+    """(hash, size, word, n) of all words in `texts` (text, training): n counts those where `training` holds, so it may be 0.
 
-    Tasks add up their own counts before the shuffle.
+    `size` is the word's length in bytes. Tasks add up their own counts before the shuffle.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,34 +294,42 @@ def word_table(texts: DataFrame) -> DataFrame:
                         held = []
         if held:
             yield out(*merged())
+        free_memory()
 
     counted = texts.select("text", "training").mapInArrow(count, "hash long, word string, n long")
-    return counted.groupBy("hash", "word").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("hash", "word").agg(F.sum("n").alias("n"))
+    return counted.select("hash", F.octet_length("word").alias("size"), "word", "n")
 
 
-def piece_counts(table: DataFrame, path: str) -> tuple[np.ndarray, float]:
-    """How often the vocabulary's segmentation of the distinct training words uses each piece, and how many words there are.
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in larger lots, so that a step of the recursion has many words."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(len(b) for b in held) >= GATHER:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
-    A word counts once however frequent it is: the lattice spells words that are new, and these are like rare ones.
-    """
+
+def piece_counts(table: DataFrame, lattice: Broadcast) -> np.ndarray:
+    """How often the training words use each piece of the lattice, all segmentations weighed by their probability."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, total = _vocabulary(path), None
-        for batch in batches:
-            ids = model.encode(batch.column(0).to_pylist(), num_threads=1)
-            flat = np.fromiter((i for x in ids for i in x), np.int64)
-            own = np.bincount(flat, minlength=model.get_piece_size()).astype(np.float64)
-            total = own if total is None else total + own
-        if total is not None:
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
-
-    used = table.where("n > 0")
-    found = used.select("word").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-    counts = np.zeros(_vocabulary(path).get_piece_size())
+        own = lattice.value
+        total = np.zeros(own.size)
+        for lot in _gathered(batches):
+            total += own.log_probability(lot.column(0).to_pylist(), lot.column(1).to_numpy().astype(np.float64))[1]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
+        free_memory()
+
+    found = table.where("n > 0").select("word", "n").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = np.zeros(lattice.value.size)
     for row in found.collect():  # at most one row for each piece of the vocabulary
         counts[row["piece"]] = row["n"]
-    return counts, float(used.count())
+    return counts
 
 
 def head_threshold(table: DataFrame, most: int) -> int:
@@ -218,84 +353,77 @@ def lattice_scores(
     text_col: str = "text",
     vocabulary: str | None = None,
     head: int = HEAD,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Scores every text of `docs` after learning from the rows where the column `training` holds.
 
     Returns doc_id, training, n_tokens (words and one end), n_known (tokens that occur
     in training), train_tokens, base_score (unigrams with 0.5 added to each count) and
-    score (the lattice model's, a distribution over all words and the end), both log10. A null text is an empty one, just an end.
-    Without training rows base_score is 0. Rows that repeat are scored one by one; an empty table gives an empty table.
+    score (the lattice's marginal probability of the text), both log10. A null text is an
+    empty one, just an end; ids may be null or repeat and are passed on. Without training
+    rows base_score is 0 and the vocabulary's own scores are the lattice's. Rows that repeat
+    are scored one by one; an empty table gives an empty table; other columns are ignored.
+    Words are told apart by a 64-bit hash and their length.
     """
     path = vocabulary or default_vocabulary()
     spark = docs.sparkSession
+    shelf, result = Shelf(spark), Shelf(spark)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), training.alias("training"))
-    table = saved(word_table(texts))
+    table = shelf.put(word_table(texts))
     sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     ends = texts.where("training").count()
     tokens, types = sums[0] + ends, sums[1] + (ends > 0)
     end_share = (ends + 1) / (tokens + 2)
     scale = tokens + 0.5 * (types + 1)
-    lattice = spark.sparkContext.broadcast(Lattice(path, *piece_counts(table, path)))
+    lattice = shelf.broadcast(Lattice(path))
+    for _ in range(rounds if sums[0] else 0):
+        lattice = shelf.broadcast(Lattice(path, piece_counts(table, lattice), float(sums[0])))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forward, mass = lattice.value.log_probability, lattice.value.log_mass
-        for batch in batches:
-            spelt = (np.array([forward(w) for w in batch.column(1).to_pylist()]) - mass) / LN10
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spelt)], ["hash", "n", "spelt"])
-
-    spelt = saved(table.mapInArrow(spell, "hash long, n long, spelt double"))
-    word_share = math.log10(1 - end_share)
-
-    def mixture(n: Column, discount: float, tokens: int, types: Column) -> Column:
-        """log10 of a word's discounted share and of what the lattice spells it with, added without underflow."""
-        scale = math.log10(tokens + discount)
-        whole = F.log10(n - discount) - F.lit(scale)
-        pieces = F.col("spelt") + F.log10((types + 1) * discount) + F.lit(word_share - scale)
-        gap = F.least(whole, pieces) - F.greatest(whole, pieces)
-        return F.when(n > 0, F.greatest(whole, pieces) + F.log10(1 + F.pow(F.lit(10.0), gap))).otherwise(pieces)
-
-    once = (F.col("n") == 1).cast("int")
-    left_out = [
-        F.sum(F.col("n") * mixture(F.col("n") - 1, d, max(tokens - 1, 0), F.lit(types) - once)).alias(f"d{i}")
-        for i, d in enumerate(DISCOUNTS)
-    ]
-    likely = spelt.where("n > 0").agg(*left_out).first()
-    discount = DISCOUNTS[max(range(len(DISCOUNTS)), key=lambda i: likely[i] if likely[i] is not None else 0.0)]
+        own = lattice.value
+        for lot in _gathered(batches):
+            spelt = (own.log_probability(lot.column(2).to_pylist())[0] - own.log_mass) / LN10
+            lot = lot.combine_chunks()
+            columns = [lot.column(c).combine_chunks() for c in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spelt)], ["hash", "size", "n", "spelt"])
+        free_memory()
+
+    spelt = result.put(table.mapInArrow(spell, "hash long, size int, n long, spelt double"))
     scored = spelt.select(
         "hash",
+        "size",
         "n",
         (F.col("n") > 0).alias("known"),
         F.log10((F.col("n") + 0.5) / F.lit(scale)).alias("base"),
-        mixture(F.col("n"), discount, tokens, F.lit(types)).alias("model"),
+        (F.col("spelt") + F.lit(math.log10(1 - end_share))).alias("model"),
     )
-
     least = head_threshold(table, head)
-    top = scored.where(F.col("n") >= least).select("hash", "base", "model").toArrow()  # at most `head` rows
+    top = scored.where(F.col("n") >= least).select("hash", "size", "base", "model").toArrow()  # at most `head` rows
     keys = top.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    columns = [top.column(c).to_numpy()[order] for c in ("base", "model")]
-    frequent = spark.sparkContext.broadcast((keys[order], *columns))
+    columns = [top.column(c).to_numpy()[order] for c in ("size", "base", "model")]
+    frequent = shelf.broadcast((keys[order], *columns))
     end_base = math.log10((ends + 0.5) / scale)
-    end_model = math.log10((max(ends - discount, 0) + discount * (types + 1) * end_share) / (tokens + discount))
+    end_model = math.log10(end_share)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, known_base, known_model = frequent.value
+        known, known_size, known_base, known_model = frequent.value
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(1)):
                 spans = word_spans(data, offsets)
-                hashes = span_hashes(data, spans)
+                hashes, size = span_hashes(data, spans), (spans.end - spans.start).astype(np.int32)
                 at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+                hit = (known[at] == hashes) & (known_size[at] == size) if len(known) else np.zeros(len(hashes), bool)
                 sums = [reduce_rows(np.add, hit.astype(np.int64), spans.bounds, 0)]
                 for values in (known_base, known_model):
                     own = np.zeros(len(hashes))
                     own[hit] = values[at[hit]]
                     sums.append(reduce_rows(np.add, own, spans.bounds, 0.0))
-                rows, rest = spans.rows[~hit], hashes[~hit]
-                sort = np.lexsort((rest, rows))
-                rows, rest = rows[sort], rest[sort]
+                rows, rest, size = spans.rows[~hit], hashes[~hit], size[~hit]
+                sort = np.lexsort((size, rest, rows))
+                rows, rest, size = rows[sort], rest[sort], size[sort]
                 fresh = np.ones(len(rest), bool)
-                fresh[1:] = (rest[1:] != rest[:-1]) | (rows[1:] != rows[:-1])
+                fresh[1:] = (rest[1:] != rest[:-1]) | (rows[1:] != rows[:-1]) | (size[1:] != size[:-1])
                 first = np.flatnonzero(fresh)
                 times = np.diff(first, append=len(rest))
                 bounds = np.searchsorted(rows[first], np.arange(high - low + 1))
@@ -306,24 +434,29 @@ def lattice_scores(
                         pa.array(spans.counts.astype(np.int64)),
                         *map(pa.array, sums),
                         lists(rest[first].view(np.int64), bounds, pa.int64()),
+                        lists(size[first], bounds, pa.int32()),
                         lists(times, bounds, pa.int32()),
                     ],
-                    ["doc_id", "training", "words", "known", "base", "model", "rare", "times"],
+                    ["doc_id", "training", "words", "known", "base", "model", "rare", "sizes", "times"],
                 )
+        free_memory()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     looked_up = texts.mapInArrow(
         look_up,
-        f"doc_id {kind}, training boolean, words long, known long, base double, model double, rare array<long>, times array<int>",
+        f"doc_id {kind}, training boolean, words long, known long, base double, model double, "
+        "rare array<long>, sizes array<int>, times array<int>",
     )
     # The row numbers hold from here on: they are read from what is saved.
-    rows = saved(looked_up.withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
-        "row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times")
+    rows = result.put(looked_up.withColumn("row", F.monotonically_increasing_id()))
+    shelf.clear()
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "sizes", "times")).alias("x")).select(
+        "row", F.col("x.rare").alias("hash"), F.col("x.sizes").alias("size"), F.col("x.times").alias("times")
     )
-    others = scored.where(F.col("n") < least).drop("n")
+    # One row for each key, should two words ever share it.
+    others = scored.where(F.col("n") < least).groupBy("hash", "size").agg(*[F.max(c).alias(c) for c in ("known", "base", "model")])
     parts = (
-        rare.join(others, "hash")
+        rare.join(others, ["hash", "size"])
         .groupBy("row")
         .agg(
             F.sum(F.col("known").cast("long") * F.col("times")).alias("more_known"),
@@ -332,7 +465,7 @@ def lattice_scores(
         )
     )
     zero = F.lit(0)
-    return rows.drop("rare", "times").join(parts, "row", "left").select(
+    return rows.drop("rare", "sizes", "times").join(parts, "row", "left").select(
         "doc_id",
         "training",
         (F.col("words") + 1).alias("n_tokens"),
