@@ -15,8 +15,8 @@ def _mark(edges: DataFrame):
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): for each node of `links` the smallest node reachable from it.
 
-    Each step aggregates a node's neighbours before the join, so a node with very
-    many neighbours is one row on that side, and the join's other side may be split.
+    Each step aggregates a node's neighbours and writes that before the join, so a node with
+    very many neighbours is one row on that side, and Spark can split the join's other side.
     Steps are checkpointed: a lost executor costs one step. The number of steps is
     logarithmic in the components' sizes. Loops and repeated links are harmless.
     """
@@ -25,9 +25,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = _mark(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut_lineage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         rest = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(rest.union(least.select("u", F.col("m").alias("v"))).distinct())
         after = _mark(edges)

@@ -26,17 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import cut_lineage, saved
+from turnmill.llm.common import Shelf, cut_lineage
 from turnmill.llm.components import components
 from turnmill.llm.filters import FILTER_BITS, doc_slot, passes, slot_filter
-from turnmill.llm.words import lists, mix, reduce_rows, slices, span_hashes, word_spans
+from turnmill.llm.words import free_memory, lists, mix, reduce_rows, slices, span_hashes, word_spans
 
 SHINGLE = 5
 PERMUTATIONS = 108
 ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
-#: From so many classes on, a cluster's hub is its centre; in smaller ones it is a guess from the buckets.
-CENTRED = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLY = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 _FLIP = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64) * _STEP)
@@ -105,17 +103,17 @@ def sketch(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*columns, lists(kept, edges, pa.int64())], ["doc_id", "n", "digest", "bands"]
                 )
+        free_memory()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n long, digest binary, bands array<long>")
 
 
-def full_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+def full_sets(texts: DataFrame, nodes: DataFrame, shelf: Shelf) -> DataFrame:
     """(id, members): the full sets of `nodes` (id, rep, digest), worked out again from the texts of their `rep`."""
-    spark = texts.sparkSession
-    docs = spark.sparkContext.broadcast(slot_filter(nodes, doc_slot(F.col("rep"))))
+    docs = shelf.broadcast(slot_filter(nodes, doc_slot(F.col("rep"))))
     head = F.conv(F.hex(F.substring("digest", 1, FILTER_BITS // 8)), 16, 10).cast("long") + 1
-    names = spark.sparkContext.broadcast(slot_filter(nodes, head))
+    names = shelf.broadcast(slot_filter(nodes, head))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +126,11 @@ def full_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
                 members = np.concatenate([*[s for _, s in sets], np.zeros(0, np.uint64)]).view(np.int64)
                 columns = [pa.array([d for d, _ in sets], pa.binary()), lists(members, edges, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["digest", "members"])
+        free_memory()
 
     found = texts.select(doc_slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(work, "digest binary, members array<long>")
     named = found.join(nodes.select("id", "digest"), "digest").groupBy("id").agg(F.first("members").alias("members"))
-    return saved(named)
+    return shelf.put(named)
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
@@ -148,20 +147,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
-def compared_with(hubs: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
+def compared_with(hubs: DataFrame, placed: DataFrame, sets: DataFrame, shelf: Shelf) -> DataFrame:
     """For each class of `placed` (id, cluster) what differs from its cluster's hub (cluster, hub, classes):
     z, d and a are the sizes of the hub, of what is missing and of what is added."""
-    hub_sets = hubs.join(sets.select(F.col("id").alias("hub"), F.col("members").alias("of_hub")), "hub")
+    hub_sets = shelf.put(hubs.join(sets.select(F.col("id").alias("hub"), F.col("members").alias("of_hub")), "hub"))
     own = placed.select("id", "cluster").join(sets, "id")
     missing, added = F.array_except("of_hub", "members"), F.array_except("members", "of_hub")
     # What is missing is told from what is added by its flipped bits.
     differences = F.concat(added, F.transform(missing, lambda e: F.bitwise_not(e)))
     sizes = [F.size("of_hub").alias("z"), F.size(missing).alias("d"), F.size(added).alias("a")]
     found = own.join(hub_sets, "cluster").select("id", "cluster", "hub", "classes", *sizes, differences.alias("differences"))
-    return saved(found)
+    return shelf.put(found)
 
 
-def centres(compared: DataFrame) -> DataFrame:
+def centres(compared: DataFrame, shelf: Shelf) -> DataFrame:
     """(cluster, hub, classes): the class nearest to what most classes of its cluster have in common.
 
     A difference from the old hub that more than half of the classes have is common. The
@@ -170,14 +169,14 @@ def centres(compared: DataFrame) -> DataFrame:
     """
     elements = compared.select("id", "cluster", "classes", F.explode("differences").alias("e"))
     common = elements.groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("n"), F.first("classes").alias("classes"))
-    common = common.where("2 * n > classes").select("cluster", "e")
+    common = shelf.put(common.where("2 * n > classes").select("cluster", "e"))
     shared = elements.join(common, ["cluster", "e"]).groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
     nearness = 2 * F.coalesce("shared", F.lit(0)) - F.size("differences")
     nearest = F.max(F.struct(nearness.alias("near"), "id")).getField("id")
     return compared.join(shared, "id", "left").groupBy("cluster").agg(nearest.alias("hub"), F.first("classes").alias("classes"))
 
 
-def hub_bounds(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def hub_bounds(members: DataFrame, sets: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
     """For each class of `members` (key, id, pivot, size): hub, linked (with the hub) and r, g, c, reach.
 
     If x lacks d elements of the hub z and has a others, two classes x and y of the
@@ -194,11 +193,8 @@ def hub_bounds(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hubs = placed.groupBy("cluster").agg(
         F.max(F.struct("places", "id")).getField("id").alias("hub"), F.count(F.lit(1)).alias("classes")
     )
-    guess = compared_with(hubs, placed, sets)
-    large = guess.where(F.col("classes") >= CENTRED)
-    compared = saved(
-        guess.where(F.col("classes") < CENTRED).union(compared_with(centres(large), placed, sets))
-    )
+    guess = compared_with(hubs, placed, sets, shelf)
+    compared = compared_with(centres(guess, shelf), placed, sets, shelf)
     alone = (
         compared.select("id", "cluster", F.explode("differences").alias("e"))
         .groupBy("cluster", "e")
@@ -212,18 +208,19 @@ def hub_bounds(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bounds = bounds.withColumn("r", F.col("d") + F.col("a") - F.coalesce("alone", F.lit(0)))
     bounds = bounds.withColumn("g", (1 - t) * F.col("d") + t * F.col("a")).withColumn("c", (1 - 2 * t) * F.col("z"))
     bounds = cut_lineage(bounds)
-    reach = bounds.groupBy("cluster").agg(F.max(F.col("r") - F.col("g")).alias("reach"))
+    reach = cut_lineage(bounds.groupBy("cluster").agg(F.max(F.col("r") - F.col("g")).alias("reach")))
     linked = 100 * (F.col("z") - F.col("d")) >= percent * (F.col("z") + F.col("a"))
     return cut_lineage(bounds.join(reach, "cluster").select("id", "hub", linked.alias("linked"), "r", "g", "c", "reach"))
 
 
-def class_links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def class_links(nodes: DataFrame, texts: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
     """(a, b): verified links between classes, enough to connect all that the links connect."""
     keyed = nodes.select(F.explode("bands").alias("key"), "id", "n")
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = saved(keyed.join(shared, "key"))
-    sets = full_sets(texts, cut_lineage(nodes.select("id", "rep", "digest").join(members.select("id").distinct(), "id")))
-    bounds = hub_bounds(members, sets, percent)
+    # Here and below, what is aggregated is written before it is joined, so that Spark can split a hot key's other side.
+    members = shelf.put(keyed.join(shelf.put(shared), "key"))
+    sets = full_sets(texts, shelf.put(nodes.select("id", "rep", "digest").join(members.select("id").distinct(), "id")), shelf)
+    bounds = hub_bounds(members, sets, percent, shelf)
     hub_links = bounds.where("linked and id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     # Classes that the hub doesn't hold: each with the bucket minimum that it meets in most bands.
     met = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"))
@@ -237,14 +234,14 @@ def class_links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     open_ = members.select("key", "id", "n").join(held, "id")
     labels = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     main = labels.groupBy("key").agg(F.max(F.struct("size", "label")).getField("label").alias("main"), F.count(F.lit(1)).alias("labels"))
-    open_ = cut_lineage(open_.join(main.where("labels > 1").drop("labels"), "key"))
+    open_ = cut_lineage(open_.join(cut_lineage(main.where("labels > 1").drop("labels")), "key"))
     # What is outside its bucket's main label with what has another one, where the bounds allow a link.
     x, y = open_.where("label <> main").alias("x"), open_.alias("y")
     enough = F.least("x.r", "y.r") >= F.col("x.g") + F.col("y.g") - F.col("x.c") - 1e-6
     sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & enough & sizes)
     pairs = cut_lineage(joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-    return hub_links.union(first).union(verified(pairs, sets, percent))
+    return shelf.put(hub_links.union(first).union(verified(pairs, sets, percent)))
 
 
 def near_duplicates(
@@ -262,19 +259,21 @@ def near_duplicates(
     empty table; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = saved(sketch(texts))
+    shelf, result = Shelf(docs.sparkSession), Shelf(docs.sparkSession)
+    sketched = result.put(sketch(texts))
     filled = sketched.where("n > 0")
     classes = filled.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    nodes = saved(classes.withColumn("id", F.monotonically_increasing_id()))
-    links = class_links(nodes, texts, percent)
+    nodes = shelf.put(classes.withColumn("id", F.monotonically_increasing_id()))
+    links = class_links(nodes, texts, percent, shelf)
     several = filled.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
     first, other = nodes.select(F.col("digest").alias("x"), F.col("id").alias("a")), nodes.select("digest", F.col("id").alias("b"))
     same_id = filled.join(several, "doc_id").select("x", "digest").join(first, "x").join(other, "digest").select("a", "b")
     labels = components(links.union(same_id))
     owners = nodes.select("id", "digest", "rep").join(labels.withColumnRenamed("node", "id"), "id", "left")
     owners = owners.withColumn("label", F.coalesce("label", "id"))
-    smallest = owners.groupBy("label").agg(F.min("rep").alias("component_id"))
-    component = owners.join(smallest, "label").select("digest", "component_id")
+    smallest = cut_lineage(owners.groupBy("label").agg(F.min("rep").alias("component_id")))
+    component = result.put(owners.join(smallest, "label").select("digest", "component_id"))
+    shelf.clear()
     linked = filled.select("doc_id", "n", "digest").join(component, "digest").select("doc_id", "n", "component_id")
     alone = sketched.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.union(alone).select(
