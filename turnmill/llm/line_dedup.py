@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ from turnmill.llm.filters import FILTER_BITS, doc_slot, passes, slot_filter
 from turnmill.llm.minhash import similar
 from turnmill.llm.words import Spans, free_memory, gather, line_spans, lists, mix, reduce_rows, slices, span_hashes, word_spans
 
-#: Cells of the token count table (8 bytes each on the driver, 4 in tasks).
-CELLS = 1 << 21
+#: Cells of the token count table (a byte each, 4 while a task counts). Words that share a cell only cost some speed.
+CELLS = 1 << 23
 #: Keys for the first test, and how many smallest tokens make one.
 KEYS, MINIMA = 3, 3
 PERCENT = 80
@@ -41,23 +42,31 @@ WIDE = 8
 
 
 def token_counts(texts: DataFrame) -> np.ndarray:
-    """How often the words of each cell occur in `texts`; tasks add up their own before the shuffle."""
+    """How often the words of each cell occur in `texts`, as a grade: 8 for each doubling, 0 for none or once.
+
+    Tasks add up their own counts before the shuffle; the driver gets at most a grade for each cell.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.int32)
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
-                hashes = span_hashes(data, word_spans(data, offsets))
-                total += np.bincount((hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                cells, n = np.unique(_cells(span_hashes(data, word_spans(data, offsets))), return_counts=True)
+                total[cells] += n.astype(np.int32)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
         free_memory()
 
-    counted = texts.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # at most CELLS rows
-    counts = np.zeros(CELLS, np.int64)
-    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
+    counted = texts.select("text").mapInArrow(count, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
+    grade = F.least(F.floor(F.log2(F.col("n").cast("double")) * 8), F.lit(255)).cast("short")
+    found = counted.where("n > 1").select("cell", grade.alias("grade")).toArrow()  # at most CELLS rows
+    grades = np.zeros(CELLS, np.uint8)
+    grades[found.column("cell").to_numpy()] = found.column("grade").to_numpy()
+    return grades
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 class Lines:
@@ -80,14 +89,14 @@ class Lines:
 
 
 class TokenSets:
-    """The distinct tokens of some of the `lines`, each set in the order of rarity if `counts` are given."""
+    """The distinct tokens of some of the `lines`, each set in the order of rarity if grades of frequency are given."""
 
-    def __init__(self, lines: Lines, chosen: np.ndarray, counts: np.ndarray | None = None):
+    def __init__(self, lines: Lines, chosen: np.ndarray, grades: np.ndarray | None = None):
         length = lines.bounds[chosen + 1] - lines.bounds[chosen]
         hashes = gather(lines.hashes, lines.bounds[chosen], length)
         line = np.repeat(np.arange(len(chosen)), length)
-        often = np.zeros(len(hashes), np.int32) if counts is None else counts[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]
-        order = np.lexsort((hashes, line) if counts is None else (hashes, often, line))
+        often = np.zeros(len(hashes), np.uint8) if grades is None else grades[_cells(hashes)]
+        order = np.lexsort((hashes, line) if grades is None else (hashes, often, line))
         hashes, often, line = hashes[order], often[order], line[order]
         new = np.ones(len(line), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
@@ -118,22 +127,23 @@ def required(total: Column, percent: int) -> Column:
     return ((percent * total + (99 + percent)) / F.lit(100 + percent)).cast("int")  # rounded up
 
 
-def line_classes(texts: DataFrame, counts, percent: int, shelf: Shelf) -> DataFrame:
+def line_classes(texts: DataFrame, grades: Broadcast, percent: int, shelf: Shelf) -> DataFrame:
     """One row per distinct bag of words: class (a number), doc_id and line (the first one's), times, n, one, two,
-    bits (parity bitmap), keys, tokens and places (the prefix, without tokens that occur once).
+    bits (parity bitmap), keys and tokens (the prefix, with 0 for tokens that occur once).
 
-    Tokens are cut to 32 bits here: that may add candidates, but loses none.
+    Tokens are cut to 32 bits (and never 0) here: that may add candidates, but loses none.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(1)):
                 lines = Lines(data, offsets)
-                sets = TokenSets(lines, lines.filled, counts.value)
-                place = np.arange(len(sets.line)) - sets.bounds[sets.line]
+                sets = TokenSets(lines, lines.filled, grades.value)
                 prefix = sets.sizes - -(-percent * sets.sizes // 100) + 1
-                kept = np.flatnonzero((place < prefix[sets.line]) & (sets.often > 1))
-                edges = np.searchsorted(sets.line[kept], np.arange(len(sets.sizes) + 1))
+                edges = np.concatenate([[0], np.cumsum(prefix)])
+                kept = gather(np.arange(len(sets.line)), sets.bounds[:-1], prefix)
+                short = (sets.tokens[kept] >> np.uint64(32)).astype(np.uint32)
+                short = np.where(sets.often[kept] > 0, np.maximum(short, 1), 0).astype(np.uint32)
                 one, two = lines.digests()
                 parity = np.uint64(1) << (sets.tokens >> np.uint64(58))
                 bits = reduce_rows(np.bitwise_xor, parity, sets.bounds, 0).view(np.int64)
@@ -147,18 +157,17 @@ def line_classes(texts: DataFrame, counts, percent: int, shelf: Shelf) -> DataFr
                         pa.array(two),
                         pa.array(bits),
                         lists(keys, KEYS * np.arange(len(sets.sizes) + 1), pa.int64()),
-                        lists((sets.tokens[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), edges, pa.int32()),
-                        lists(place[kept], edges, pa.int32()),
+                        lists(short.view(np.int32), edges, pa.int32()),
                     ],
-                    ["doc_id", "line", "n", "one", "two", "bits", "keys", "tokens", "places"],
+                    ["doc_id", "line", "n", "one", "two", "bits", "keys", "tokens"],
                 )
         free_memory()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = texts.select("doc_id", "text").mapInArrow(
-        work, f"doc_id {kind}, line int, n int, one long, two long, bits long, keys array<long>, tokens array<int>, places array<int>"
+        work, f"doc_id {kind}, line int, n int, one long, two long, bits long, keys array<long>, tokens array<int>"
     )
-    rest = F.struct("n", "bits", "keys", "tokens", "places")
+    rest = F.struct("n", "bits", "keys", "tokens")
     first = rows.groupBy("one", "two").agg(
         F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.first(rest).alias("rest")
     )
@@ -237,15 +246,15 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: S
     tries = x.join(y, (F.col("x.token") == F.col("y.token")) & fits("x", "y", F.col("x.n"), F.col("y.n")))
     settled = _verified(ordered(tries, "x", "y"), classes, texts, percent, shelf)
 
-    flagged = classes.select("class", "n", "bits", "tokens", "places").join(
+    flagged = classes.select("class", "n", "bits", "tokens").join(
         settled.withColumn("settled", F.lit(1)), "class", "left"
     )
     n, settled_flag = F.col("n").cast("long"), F.coalesce("settled", F.lit(0))
-    postings = flagged.select("class", "bits", n.alias("n"), settled_flag.alias("s"), F.explode(F.arrays_zip("tokens", "places")).alias("p"))
+    postings = flagged.select("class", "bits", n.alias("n"), settled_flag.alias("s"), F.posexplode("tokens").alias("place", "token"))
     # The shorter set of a pair has the shared token within its first n less what both must share: it is indexed there.
-    indexed = (F.col("p.places") <= F.col("n") - required(2 * F.col("n"), percent)).cast("int")
-    state = F.shiftleft("n", 32) + F.shiftleft("p.places", 2) + 2 * indexed + F.col("s")
-    postings = postings.select("class", "bits", F.col("p.tokens").alias("token"), state.alias("state"))
+    indexed = (F.col("place") <= F.col("n") - required(2 * F.col("n"), percent)).cast("int")
+    state = F.shiftleft("n", 32) + F.shiftleft("place", 2) + 2 * indexed + F.col("s")
+    postings = postings.where("token <> 0").select("class", "bits", "token", state.alias("state"))
 
     def part(side: str) -> tuple[Column, Column, Column, Column]:
         """n, place, indexed and settled, packed into one number to keep the shuffle small."""
@@ -284,8 +293,7 @@ def removed_lines(
     """
     shelf = Shelf(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = shelf.broadcast(token_counts(texts))
-    classes = line_classes(texts, counts, percent, shelf)
+    classes = line_classes(texts, shelf.broadcast(token_counts(texts)), percent, shelf)
     matched = matched_classes(classes, texts, percent, shelf).withColumn("matched", F.lit(True))
     verdicts = classes.select("class", "one", "two", "times", F.struct("doc_id", "line").alias("first")).join(matched, "class", "left")
     verdicts = saved(verdicts.where("times > 1 or matched").drop("class", "times"))
