@@ -172,7 +172,8 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE) -> Model:
     totals = [(r["lang"], min(1.0, per_language / r["n"])) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
     if not totals:
         return Model([], [])
-    chances = spark.createDataFrame(totals, "lang string, chance double")  # a local table: its size is known
+    # From an Arrow table Spark makes a local relation, whose size it knows, so that the texts needn't be shuffled.
+    chances = spark.createDataFrame(pa.table({"lang": [x for x, _ in totals], "chance": [x for _, x in totals]}))
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1 << 32)) / F.lit(float(1 << 32))
     table = gram_counts(rows.select("id", "lang", "text").join(chances, "lang").where(draw < F.col("chance"))).toArrow()
     langs = table.column("lang").to_pylist()
