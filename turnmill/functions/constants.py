@@ -76,3 +76,13 @@ SIZE_LIMITS = [(100, "small"), (500, "medium"), (1000, "large")]
 PRESSURE_LIMITS = [(1000, "low"), (10000, "medium"), (100000, "high")]
 BUDGETS = [("minimal", 1.0, 0.8), ("standard", 5.0, 4.0), ("premium", 20.0, 16.0), ("unlimited", 1000.0, None)]
 OPERATION_LIMIT, SESSION_LIMIT, DAILY_LIMIT, BURST_LIMIT, LEAST_HOURS = 0.1, 10.0, 50.0, 2.0, 0.1
+
+# Fixed values of evaluation: words of refusal, and a template's marks by class.
+REFUSALS = ["cannot", "don't know", "insufficient", "not enough", "unable"]
+TEMPLATE_EXACT = ["Thanks!", "OK sounds good", "Great!", "Yes"]
+TEMPLATE_FIELDS = ["{name}", "{phone}", "{address}"]
+TEMPLATE_LINKS = ["connects to", "reports to", "works with"]
+PATTERNS = [("personal_assistant", "personal_assistant"), ("technical", "technical_discussion"), ("casual", "casual_chat"), ("task_planning", "task_planning"), ("knowledge", "knowledge_query")]
+BENCHMARK_MESSAGES = ["ok", "got it", "My name is Alice Chen", "What is machine learning?", "thanks", "I live in San Francisco", "sounds good", "My phone number is 555-1234"]
+BENCHMARK_CASES = [("thanks", "discard"), ("My name is John", "store"), ("What is the weather?", "store"), ("ok", "discard"), ("I work at Google", "store"), ("got it", "discard")]
+NAIVE_CENTS, NAIVE_USD, LABEL_USD = 12, 0.001, 0.01

@@ -198,3 +198,18 @@ def policy_analysis(c: Column) -> dict[str, Column]:
         "has_structured_data": structured,
         "priority": F.when(structured | question, "high").when(F.length(c) > 500, "medium").otherwise("low"),
     }
+
+
+def pattern_features(pattern: Column, confidence: Column, entities: Column, flags: Column) -> dict[str, Column]:
+    """Eleven features of a labelled sample: its confidence, its conversation's pattern, and what its label says of the content."""
+    as_int = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    found = F.coalesce(F.size(entities), F.lit(0))
+    return {
+        "confidence": confidence,
+        **{f"pattern_{name}": as_int(pattern == value) for name, value in C.PATTERNS},
+        "detected_entities_count": found,
+        "has_detected_entities": (found > 0).cast("int"),
+        "content_has_entities": as_int(flags["has_entities"]),
+        "content_has_relationships": as_int(flags["has_relationships"]),
+        "content_is_question": as_int(flags["is_question"]),
+    }

@@ -83,6 +83,14 @@ def budgets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(C.BUDGETS, "budget string, conversation_limit double, critical_above double")
 
 
+def with_budget_limits(rows: DataFrame, dimension: DataFrame) -> DataFrame:
+    """`rows` (with budget) and its limits; an unknown budget has the standard conversation limit."""
+    joined = rows.join(dimension.select("budget", "conversation_limit"), "budget", "left")
+    limits = {"operation_limit": C.OPERATION_LIMIT, "session_limit": C.SESSION_LIMIT, "daily_limit": C.DAILY_LIMIT, "burst_limit": C.BURST_LIMIT}
+    limit = F.coalesce("conversation_limit", F.lit(5.0)).alias("conversation_limit")
+    return joined.select(*rows.columns, limit, *[F.lit(v).alias(k) for k, v in limits.items()])
+
+
 def file_store_cost(c: Column) -> Column:
     return 1e-5 * F.least(F.length(c) / 1000.0, F.lit(2.0))
 

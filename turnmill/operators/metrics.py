@@ -7,18 +7,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnmill.functions import constants as C
+from turnmill.functions import text as T
 
 
 def ranked_values(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, c, before, n): distinct values with their counts, how many are smaller, and the key's total.
 
     Quantiles by position need only this table: values are counted before they are
-    sorted, so that a key with very many rows isn't gathered in one array.
+    sorted, and sorted by ranges: a range is the value's sign, exponent and leading binary
+    digits, so that a key's values are dealt to many tasks in order.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy(key)
-    before = F.coalesce(F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumn("before", before).withColumn("n", F.sum("c").over(w))
+    counted = counted.withColumn("_bin", _value_range(F.col(value).cast("double")))
+    bins = counted.groupBy(F.col(key).alias("_k"), F.col("_bin").alias("_b")).agg(F.sum("c").alias("_c"))
+    w = W.partitionBy("_k")
+    smaller = F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("_start", smaller).withColumn("n", F.sum("_c").over(w)).drop("_c")
+    within = W.partitionBy(key, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    counted = counted.withColumn("before", F.coalesce(F.sum("c").over(within), F.lit(0)))
+    joined = counted.join(bins, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bin") == F.col("_b")))
+    return joined.select(key, value, "c", (F.col("before") + F.col("_start")).alias("before"), "n")
+
+
+def _value_range(v: Column) -> Column:
+    """A number that grows with `v`: 64 steps for each doubling, negative values mirrored; NaN is above all."""
+    size = F.least(F.abs(v), F.lit(1.7e308))
+    doubling = F.floor(F.log2(F.greatest(size, F.lit(1e-300))) - 1e-9)
+    step = F.floor((size / F.pow(F.lit(2.0), doubling) - 1) * 64)
+    grade = (doubling + 1100) * 80 + F.greatest(F.lit(0), F.least(step, F.lit(79)))
+    return F.when(F.isnan(v), F.lit(1 << 40)).when(size < 1e-300, 0).otherwise(F.signum(v) * grade).cast("long")
 
 
 def value_at(position: Column) -> Column:
@@ -92,16 +109,48 @@ def class_scores(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     return out.select("label", "support", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
-def weighted_scores(scores: DataFrame) -> DataFrame:
-    """Averages of class_scores by support; the weighted recall is the accuracy."""
+def weighted_scores(scores: DataFrame, costs: Column) -> DataFrame:
+    """Averages of class_scores: by support (the weighted recall is the accuracy), and F1 with weights 1 / (cost + 0.1), so
+    that cheap classes count more."""
     mean = lambda c: (F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"weighted_{c}")
-    return scores.agg(mean("precision"), mean("recall"), mean("f1"))
+    weight = 1.0 / (costs + 0.1)
+    return scores.agg(mean("precision"), mean("recall"), mean("f1"), (F.sum(F.col("f1") * weight) / F.sum(weight)).alias("cost_weighted_f1"))
 
 
-def cost_weighted_f1(scores: DataFrame, costs: Column) -> DataFrame:
-    """F1 averaged with weights 1 / (cost + 0.1): cheap classes count more."""
-    weight = 1.0 / (costs + 0.1)
-    return scores.agg((F.sum(F.col("f1") * weight) / F.sum(weight)).alias("cost_weighted_f1"))
+def medians(rows: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
+    """(key, and one median for each of `columns`), all from one ranking; nulls are left out, keys without any value are missing."""
+    values = F.array(*[F.struct(F.lit(name).alias("name"), value.cast("double").alias("v")) for name, value in columns.items()])
+    stacked = rows.select(F.col(key).alias("k"), F.explode(values).alias("x")).select(F.struct("k", "x.name").alias("kn"), "x.v")
+    ranked = ranked_values(stacked, "kn", "v")
+    n = F.col("n")
+    middle = (value_at(F.floor((n + 1) / 2)) + value_at(F.floor((n + 2) / 2))) / 2
+    found = ranked.groupBy("kn", "n").agg(middle.alias("median"))
+    wide = [F.max(F.when(F.col("kn.name") == name, F.col("median"))).alias(name) for name in columns]
+    return found.groupBy(F.col("kn.k").alias(key)).agg(*wide)
+
+
+def set_f1(expected: Column, predicted: Column) -> Column:
+    """F1 of two distinct arrays: 1 if both are empty, 0 if one is."""
+    hits = F.size(F.array_intersect(expected, predicted))
+    sizes = F.size(expected) + F.size(predicted)
+    return F.when(sizes == 0, 1.0).otherwise(2.0 * hits / F.greatest(sizes, F.lit(1)))
+
+
+def answer_correct(question_type: Column, question: Column, expected: Column, answer: Column) -> Column:
+    """Long-chat answers: a question to abstain from needs words of refusal, any other enough of the expected words."""
+    abstain = (question_type == "abstention") | question.contains("_abs")
+    words = lambda c: F.array_distinct(T.words(F.lower(c)))
+    return F.when(abstain, T.has_part(answer, C.REFUSALS)).otherwise(overlap_correct(words(expected), words(answer)))
+
+
+def confidence_analysis(rows: DataFrame, actual: str, predicted: str, confidence: str, threshold: float = 0.7) -> DataFrame:
+    """One row: accuracy, abstention_rate (below the threshold) and high_conf_accuracy (0 if nothing is above)."""
+    right, sure = (F.col(actual) == F.col(predicted)).cast("int"), F.col(confidence) >= threshold
+    return rows.agg(
+        F.avg(right).alias("accuracy"),
+        (1 - F.avg(sure.cast("int"))).alias("abstention_rate"),
+        F.coalesce(F.avg(F.when(sure, right)), F.lit(0.0)).alias("high_conf_accuracy"),
+    )
 
 
 def fitted_coefficients(samples: DataFrame, key: str) -> DataFrame:
@@ -110,22 +159,30 @@ def fitted_coefficients(samples: DataFrame, key: str) -> DataFrame:
     Robust medians: costs from rows with a cost, latencies from rows with one. What a
     token adds is taken above the rounded median cost, in a second pass.
     """
-    cost, ms = F.col("observed_cents"), F.col("observed_ms")
-    first = samples.groupBy(key).agg(
-        F.median(F.when(F.col("op") == "store", cost)).alias("store"),
-        F.median(F.when(F.col("op") == "retrieve", cost)).alias("retrieve"),
-        F.median(cost).alias("middle"),
-        F.median(cost / (F.greatest(F.lit(1), F.col("k")) + 1e-6)).alias("per_k"),
+    cost = F.col("observed_cents")
+    first = samples.select(key).distinct().join(
+        medians(
+            samples,
+            key,
+            {
+                "store": F.when(F.col("op") == "store", cost),
+                "retrieve": F.when(F.col("op") == "retrieve", cost),
+                "middle": cost,
+                "per_k": cost / (F.greatest(F.lit(1), F.col("k")) + 1e-6),
+            },
+        ),
+        key,
+        "left",
     )
     joined = samples.join(first.select(key, F.bround("middle").alias("base")), key)
     extra = F.greatest(F.lit(0.0), cost - F.col("base")) / (F.col("n_tokens") + 1e-6)
-    second = joined.groupBy(key).agg(F.median(F.when((F.col("n_tokens") > 0) & cost.isNotNull(), extra)).alias("extra"))
+    second = medians(joined, key, {"extra": F.when((F.col("n_tokens") > 0) & cost.isNotNull(), extra)})
     latency = p95_by_definition(samples, key, "observed_ms").select(key, "n", "p50", F.col("exclusive").alias("p95"))
     m = F.col("middle")
     priced = m.isNotNull()
     zero = lambda c: F.when(priced, c).otherwise(0.0)
     return (
-        first.join(second, key)
+        first.join(second, key, "left")
         .join(latency, key, "left")
         .select(
             key,

@@ -13,6 +13,8 @@ from turnmill.functions import text as T
 from turnmill.functions.features import content_flags, content_type, priority
 
 CLASS_IDS = {"discard": 0, "store": 1, "compress": 2}
+#: The five classes of learned routing, by number.
+CLASS_NAMES = ["Discard", "Key-Value", "Vector", "Graph", "Summary"]
 
 
 def three_class(c: Column) -> Column:
@@ -186,3 +188,14 @@ def routed(turns: DataFrame, budget: str = "standard") -> DataFrame:
         (F.lit(C.P50_MS) + (C.P95_MS - C.P50_MS) * 0.25).alias("predicted_ms"),
         "turn_count",
     )
+
+
+def with_default(predicted: Column, confidence: Column) -> tuple[Column, Column]:
+    """A model's class and confidence, or the vector class with 0.5 where it gives none."""
+    return F.coalesce(predicted, F.lit(CLASS_NAMES.index("Vector"))), F.when(predicted.isNull(), 0.5).otherwise(confidence)
+
+
+def alternatives(class_id: Column) -> Column:
+    """The first three other classes (class, name, probability); no model tells their probability, so it is 0.1."""
+    every = F.array(*[F.struct(F.lit(i).alias("class"), F.lit(n).alias("name"), F.lit(0.1).alias("probability")) for i, n in enumerate(CLASS_NAMES)])
+    return F.slice(F.filter(every, lambda x: x["class"] != class_id), 1, 3)

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnmill.functions import constants as C
+from turnmill.operators.prefix import group_ranks
 
 
 def with_recent_turns(turns: DataFrame, n: int) -> DataFrame:
@@ -57,6 +58,50 @@ def budget_ledger(
     )
 
 
+def lru_trace(events: DataFrame, capacity: int, passes: str = "passes") -> DataFrame:
+    """(session_id, item_id): what each session's store holds at the end of its trace, in no order.
+
+    `events` has session_id, seq, op and item_id. A `store` adds the item after evicting the
+    least recently used one at capacity; a `retrieve` touches all held items for which the
+    SQL condition `passes` on item_id and the event's own columns holds, given as the array
+    column of that name (item ids that pass), in the order in which they came. Traces are
+    read as a stream: a session's state is its items, at most `capacity`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, started = None, False
+        held: dict = {}  # in the order of use; the value is the order of arrival
+        arrived = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([current] * len(held), session_type), pa.array(list(held), item_type)], ["session_id", "item_id"]
+            )
+
+        for batch in batches:
+            session_type, item_type = batch.schema.field(0).type, batch.schema.field(2).type
+            for key, op, item, passing in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+                if not started or key != current:
+                    if started and held:
+                        yield out()
+                    current, started, held, arrived = key, True, {}, 0
+                if op == "store":
+                    if len(held) >= capacity:
+                        held.pop(next(iter(held)))
+                    held[item] = arrived
+                    arrived += 1
+                else:
+                    wanted = set(passing or ())
+                    for x in sorted((x for x in held if x in wanted), key=held.get):
+                        held[x] = held.pop(x)
+        if started and held:
+            yield out()
+
+    kind = {c: events.schema[c].dataType.simpleString() for c in ("session_id", "item_id")}
+    ordered = events.repartition("session_id").sortWithinPartitions("session_id", "seq")
+    return ordered.select("session_id", "op", "item_id", passes).mapInArrow(run, f"session_id {kind['session_id']}, item_id {kind['item_id']}")
+
+
 def last_items(items: DataFrame, capacity: int, by: str, order: list[str]) -> DataFrame:
     """What a store of that capacity still holds after taking all items in order, per key."""
     w = W.partitionBy(by).orderBy(*[F.desc(c) for c in order])
@@ -70,33 +115,29 @@ def hash_order(key: Column, seed: str) -> Column:
 
 def stratified_split(rows: DataFrame, label: str, key: str, seed: str = "42", validation: float = 0.2, test: float = 0.2) -> DataFrame:
     """Adds `split` (train, validation, test): fixed shares of each label."""
-    w = W.partitionBy(label)
-    at = (F.row_number().over(w.orderBy("_h", key)) - 1) / F.count(F.lit(1)).over(w)
-    split = F.when(at < test, "test").when(at < test + validation, "validation").otherwise("train")
-    return rows.withColumn("_h", hash_order(F.col(key), seed)).withColumn("split", split).drop("_h")
+    ranked = group_ranks(rows, label, hash_order(F.col(key), seed), key, "_r", "_n")
+    at = (F.col("_r") - 1) / F.col("_n")
+    return ranked.withColumn("split", F.when(at < test, "test").when(at < test + validation, "validation").otherwise("train")).drop("_r", "_n")
 
 
 def shadow_split(rows: DataFrame, stratum: str, key: str, share: float = 0.25, seed: str = "7") -> DataFrame:
     """Adds `shadow`: a share of each stratum, at least one row."""
-    w = W.partitionBy(stratum)
-    n = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) * share))
-    rows = rows.withColumn("_h", hash_order(F.col(key), seed))
-    return rows.withColumn("shadow", F.row_number().over(w.orderBy("_h", key)) <= n).drop("_h")
+    ranked = group_ranks(rows, stratum, hash_order(F.col(key), seed), key, "_r", "_n")
+    return ranked.withColumn("shadow", F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_r", "_n")
 
 
 def stratified_folds(rows: DataFrame, label: str, key: str, k: int = 5, seed: str = "42") -> DataFrame:
     """Adds `fold` 0 to k - 1, even within each label."""
-    rows = rows.withColumn("_h", hash_order(F.col(key), seed))
-    return rows.withColumn("fold", F.pmod(F.row_number().over(W.partitionBy(label).orderBy("_h", key)) - 1, F.lit(k))).drop("_h")
+    ranked = group_ranks(rows, label, hash_order(F.col(key), seed), key, "_r", "_n")
+    return ranked.withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(k))).drop("_r", "_n")
 
 
 def capped_classes(rows: DataFrame, label: str, key: str, seed: str = "42") -> DataFrame:
     """At most 2 * max(20, n // (3 * classes)) rows of each class: balances a training set."""
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("classes")).first()
     cap = 2 * max(20, totals["n"] // max(1, 3 * totals["classes"]))
-    rows = rows.withColumn("_h", hash_order(F.col(key), seed))
-    w = W.partitionBy(label).orderBy("_h", key)
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_h", "_r")
+    ranked = group_ranks(rows, label, hash_order(F.col(key), seed), key, "_r", "_n")
+    return ranked.where(F.col("_r") <= cap).drop("_r", "_n")
 
 
 def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -39,19 +39,18 @@ def filter_lenient(spark, sf_dir):
 
 
 @query(
-    rf"""WITH {TURNS} SELECT session_id, turn_no, length(content) BETWEEN 2 AND 2000 AND regexp_matches(content, '\S') AS valid_example,
-    length(content) BETWEEN 1 AND 10000 AND speaker IN ('user', 'assistant') AS valid_request FROM t"""
+    rf"""WITH {TURNS} SELECT session_id, turn_no, length(content) BETWEEN 2 AND 2000 AND regexp_matches(content, '\S') AND item_id % 5 <= 3 AND length(content) * 100 <= 10000
+    AND turn_no % 7 <> 3 AND item_id % 11 <> 5 AS valid_example, length(content) BETWEEN 1 AND 10000 AND speaker IN ('user', 'assistant') AND session_id % 13 <> 4 AS valid_request FROM t"""
 )
 def validity(spark, sf_dir):
-    rows = policies.with_session_context(turns(spark, sf_dir))
-    from turnmill.functions.features import training_context_features
-
-    made = training_context_features(F.col("content"), F.col("speaker"), F.col("turn_count"))
-    capped = F.transform(made, lambda x: F.least(x, F.lit(9999.0)))
-    return rows.select(
+    # Features beyond the range, not a number or too few, labels beyond the last class, and names with a blank occur.
+    raw = [F.length("content") * 100.0, F.when(F.col("turn_no") % 7 == 3, float("nan")).otherwise(F.col("turn_no")), *map(F.lit, [0.5] * 7)]
+    made = F.when(F.col("item_id") % 11 == 5, F.array(*raw)).otherwise(F.array(*raw, F.lit(1.0)))
+    session = F.concat(F.when(F.col("session_id") % 13 == 4, "s ").otherwise("s-"), F.col("session_id").cast("string"))
+    return turns(spark, sf_dir).select(
         *KEY,
-        filters.valid_example(F.col("content"), F.lit(1), capped).alias("valid_example"),
-        filters.valid_request(F.col("content"), F.col("speaker"), F.concat(F.lit("s-"), F.col("session_id").cast("string"))).alias("valid_request"),
+        filters.valid_example(F.col("content"), F.col("item_id") % 5, made).alias("valid_example"),
+        filters.valid_request(F.col("content"), F.col("speaker"), session).alias("valid_request"),
     )
 
 
@@ -98,16 +97,18 @@ def manifest_check(spark, sf_dir):
 # --- retrieval ----------------------------------------------------------------------------------------------------
 
 _TERMS = f"""k AS (SELECT item_id AS query_id, text AS query FROM benchmark), n AS (SELECT count(*)::DOUBLE AS n FROM d),
-    dt AS (SELECT doc_id, len({R.tokens('content')}) AS len, unnest({R.tokens('content')}) AS term FROM d),
-    dc AS (SELECT doc_id, len, term, count(*) AS c FROM dt GROUP BY ALL),
+    dl AS MATERIALIZED (SELECT doc_id, {R.tokens('content')} AS t FROM d), dt AS (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM dl),
+    dc AS MATERIALIZED (SELECT doc_id, len, term, count(*) AS c FROM dt GROUP BY ALL),
     idf AS (SELECT term, ln((SELECT n FROM n) / count(*)) AS idf FROM dc GROUP BY term),
-    dw AS (SELECT doc_id, term, c::DOUBLE / len * idf AS w FROM dc JOIN idf USING (term) WHERE idf <> 0),
+    dw AS MATERIALIZED (SELECT doc_id, term, c::DOUBLE / len * idf AS w FROM dc JOIN idf USING (term) WHERE idf <> 0),
     dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY doc_id),
-    qt AS (SELECT query_id, len({R.tokens('query')}) AS len, unnest({R.tokens('query')}) AS term FROM k),
+    ql AS MATERIALIZED (SELECT query_id, {R.tokens('query')} AS t FROM k), qt AS MATERIALIZED (SELECT query_id, len(t) AS len, unnest(t) AS term FROM ql),
     qw AS (SELECT query_id, term, count(*)::DOUBLE / len * any_value(idf) AS q FROM qt JOIN idf USING (term) WHERE idf <> 0 GROUP BY query_id, len, term),
     qn AS (SELECT query_id, sqrt(sum(q * q)) AS norm FROM qw GROUP BY query_id),
-    tf AS (SELECT query_id, doc_id, round(sum(w * q) / (any_value(dn.norm) * any_value(qn.norm)), 9) AS score
-           FROM dw JOIN qw USING (term) JOIN dn USING (doc_id) JOIN qn USING (query_id) GROUP BY query_id, doc_id)"""
+    ts AS MATERIALIZED (SELECT query_id, doc_id, round(sum(w * q) / (any_value(dn.norm) * any_value(qn.norm)), 9) AS score
+           FROM dw JOIN qw USING (term) JOIN dn USING (doc_id) JOIN qn USING (query_id) GROUP BY query_id, doc_id),
+    tf AS (SELECT a.query_id, d.doc_id, coalesce(ts.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM qt) a CROSS JOIN d
+           LEFT JOIN ts ON ts.query_id = a.query_id AND ts.doc_id = d.doc_id)"""
 _JACCARD = f"""s AS (SELECT doc_id, list_distinct({R.tokens('content')}) AS t FROM d), u AS (SELECT item_id AS query_id, list_distinct({R.tokens('text')}) AS t FROM benchmark),
     st AS (SELECT doc_id, len(t) AS n, unnest(t) AS token FROM s), ut AS (SELECT query_id, len(t) AS m, unnest(t) AS token FROM u),
     ja AS (SELECT query_id, doc_id, count(*)::DOUBLE / (n + m - count(*)) AS jaccard FROM st JOIN ut USING (token) GROUP BY query_id, doc_id, n, m)"""
@@ -250,16 +251,16 @@ def chunk_tokens(spark, sf_dir):
     return rows.select("doc_id", "chunk", F.array_join("c", " ").alias("text"))
 
 
-@query(
-    rf"""WITH {DOCS}, a AS (SELECT doc_id, content, string_split(content, '.') AS s, string_split(content, chr(10)) AS lines FROM d),
+_SUMMARY = rf"""a AS (SELECT doc_id, source, content, string_split(content, '.') AS s, string_split(content, chr(10)) AS lines FROM d),
     b AS (SELECT *, len(s) AS n, greatest(1, floor(len(s) * 0.3::DOUBLE)::INT) AS target FROM a),
     c AS (SELECT *, greatest(1, ((n - 2) // greatest(target - 2, 1))::INT) AS step FROM b),
     e AS (SELECT *, list_sort(list_distinct([0] || CASE WHEN target > 2 AND n > 2 THEN list_slice(range(1, greatest(n - 2, 1) + 1, step), 1, target - 2) ELSE [] END
           || CASE WHEN target > 1 THEN [n - 1] ELSE [] END)) AS idx FROM c),
-    f AS (SELECT *, array_to_string(list_transform(idx, lambda i: regexp_replace(s[i + 1], '^\s+|\s+$', '', 'g')), '. ') AS j FROM e)
-    SELECT doc_id, CASE WHEN {R.token_estimate('content')} > 300 THEN CASE WHEN ends_with(j, '.') THEN j ELSE j || '.' END ELSE content END AS summary,
-    array_to_string(lines[1 : greatest(1, len(lines) // 3)], chr(10)) AS first_third FROM f"""
-)
+    f AS (SELECT *, array_to_string(list_transform(idx, lambda i: regexp_replace(s[i + 1], '^\s+|\s+$', '', 'g')), '. ') AS j FROM e),
+    y AS (SELECT doc_id, source, content, lines, CASE WHEN {R.token_estimate('content')} > 300 THEN CASE WHEN ends_with(j, '.') THEN j ELSE j || '.' END ELSE content END AS summary FROM f)"""
+
+
+@query(f"WITH {DOCS}, {_SUMMARY} SELECT doc_id, summary, array_to_string(lines[1 : greatest(1, len(lines) // 3)], chr(10)) AS first_third FROM y")
 def extractive_summary(spark, sf_dir):
     c = F.col("content")
     return documents(spark, sf_dir).select("doc_id", summaries.extractive(c, least_tokens=300).alias("summary"), summaries.first_third(c).alias("first_third"))
@@ -336,9 +337,9 @@ def latency_refit(spark, sf_dir):
     return metrics.fitted_coefficients(samples, "backend").drop("p95_ms")
 
 
-@query("SELECT event_id, op FROM (SELECT event_id, event_type AS op, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 500")
+@query("SELECT event_id, op FROM (SELECT event_id, event_type AS op, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10000")
 def newest_samples(spark, sf_dir):
-    return metrics.newest_samples(telemetry(spark, sf_dir), "op", ["ts", "event_id"], 500).select("event_id", "op")
+    return metrics.newest_samples(telemetry(spark, sf_dir), "op", ["ts", "event_id"]).select("event_id", "op")
 
 
 @query(
@@ -386,9 +387,7 @@ def class_scores(spark, sf_dir):
 )
 def weighted_f1(spark, sf_dir):
     scores = metrics.class_scores(predictions(spark, sf_dir), "quality", "predicted")
-    costed = scores.withColumn("w", 1 / (F.col("label") + 0.1))
-    mean = lambda c: (F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"weighted_{c}")
-    return costed.agg(mean("precision"), mean("recall"), mean("f1"), (F.sum(F.col("f1") * F.col("w")) / F.sum("w")).alias("cost_weighted_f1"))
+    return metrics.weighted_scores(scores, F.col("label"))
 
 
 @query(
@@ -481,16 +480,18 @@ def dataset_stats(spark, sf_dir):
 
 
 @query(
-    f"""WITH {DOCS}, x AS (SELECT source, len({R.words('content')}) AS before, least(len({R.words('content')}), 100) AS after FROM d)
-    SELECT source, count(*) AS summaries, sum(before)::BIGINT AS words_before, sum(after)::BIGINT AS words_after, avg(after::DOUBLE / greatest(1, before)) AS mean_ratio FROM x GROUP BY source"""
+    f"""WITH {DOCS}, {_SUMMARY}, x AS (SELECT source, {R.token_estimate('content')} AS before, {R.token_estimate('summary')} AS after FROM y)
+    SELECT source, count(*) AS summaries, sum(before)::BIGINT AS tokens_before, sum(after)::BIGINT AS tokens_after, avg(after::DOUBLE / greatest(1, before)) AS mean_ratio FROM x GROUP BY source"""
 )
 def summary_stats(spark, sf_dir):
-    before = T.word_count(F.col("content"))
-    rows = documents(spark, sf_dir).select("source", before.alias("before"), F.least(before, F.lit(100)).alias("after"))
+    content = F.col("content")
+    rows = documents(spark, sf_dir).select(
+        "source", T.token_estimate(content).alias("before"), T.token_estimate(summaries.extractive(content, least_tokens=300)).alias("after")
+    )
     return rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("summaries"),
-        F.sum("before").alias("words_before"),
-        F.sum("after").alias("words_after"),
+        F.sum("before").alias("tokens_before"),
+        F.sum("after").alias("tokens_after"),
         F.avg(F.col("after") / F.greatest(F.lit(1), F.col("before"))).alias("mean_ratio"),
     )
 

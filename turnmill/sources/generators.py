@@ -35,6 +35,42 @@ EVALUATION_TEXTS = [
     "I need to remember to call item0 about item1",
     "I had a really interesting discussion about item0 today. We covered many topics including item1, item2, and item3. The conversation lasted over an hour and we made significant progress on understanding the challenges and opportunities in this space. I think the key insights were around item4 and how we can leverage item5 to improve our approach.",
 ]
+# Sentences of the golden items.
+ORDER, ORDER_QUERY = "Order %d for %s is ready for pickup at 5pm on 04/2%d/2025.", "What's the pickup time for order %d?"
+CREDIT = " policy clarifies edge-cases. Customers with annual plans receive pro-rated credit if they downgrade within 30 days; otherwise credits apply on the next billing cycle. This note supersedes prior guidance."
+UPDATED, SUMMARIZE, ABOUT = "Our updated ", "Can you summarize the new ", " policy about billing credits?"
+JOINED, WHICH = "%s joined %s as a %s on 2025-03-%d.", "Which company did %s join?"
+SCHEDULE, ANYTHING = "What actionable item should I schedule?", "Is there anything to store here?"
+
+# Texts of generated data; {n} stands for a number.
+TURN_PATTERNS = [
+    ("personal_assistant", ["My locker code is {n}, please keep it.", "What did I plan for day {n}?", "Thanks, that helps."]),
+    ("technical_discussion", ["The service reads from queue {n} and writes to a table.", "How do I rotate key {n}?", "ok"]),
+    ("casual_chat", ["Nice weather on day {n}!", "Did you see match {n}?", "Sure."]),
+    ("task_planning", ["Task {n} is due on Friday and needs two reviews.", "Who takes task {n}?", "Got it."]),
+    ("knowledge_query", ["What is theorem {n} about?", "Chapter {n} explains how tides follow the moon.", "I see."]),
+]
+CLASS_TEXTS = [
+    ["ok", "thanks", "bye"],
+    ["My account number is {n}.", "The meeting {n} starts at noon on Tuesday.", "Ana moved to flat {n} last week."],
+    ["Long report {n}: first we listed all open points, then we went through each of them, and in the end we agreed on what comes next."] * 3,
+]
+CONVERSATIONS = [
+    ("booking", ["I need a table for {n} people.", "For which evening?", "Friday at eight.", "Booked for Friday at eight."]),
+    ("support", ["My printer shows error {n}.", "Is it plugged in?", "Yes, since this morning.", "Then hold the reset key for ten seconds."]),
+    ("travel", ["Which train goes to platform {n}?", "The one at noon.", "Does it stop on the way?", "Once, for five minutes."]),
+    ("cooking", ["How long does recipe {n} take?", "About an hour.", "Can I halve it?", "Yes, with a smaller pan."]),
+    ("health", ["I walked {n} kilometres today.", "Well done.", "My target is twelve.", "I keep that in mind."]),
+    ("greeting", ["hello", "hi", "thanks", "bye"]),
+]
+SCENARIOS = [("calm", "Note {n}: nothing new."), ("busy", "Please move appointment {n} to Monday."), ("silent", "ok"), ("lost", "Where did I leave key {n}?")]
+SAMPLE_TURNS = [
+    ("user", "Hello, I am planning a trip to the coast."),
+    ("assistant", "When would you like to leave?"),
+    ("user", "On the third of May, with two friends."),
+    ("assistant", "I noted the third of May for three people."),
+    ("user", "thanks"),
+]
 
 
 def _pick(values: list[str]) -> Column:
@@ -44,35 +80,34 @@ def _pick(values: list[str]) -> Column:
 def golden(spark: SparkSession, n: int) -> DataFrame:
     """`n` items of each stratum: id, stratum, content, query, meta."""
     i, text = F.col("id"), F.col("id").cast("string")
-    credit = " policy clarifies edge-cases. Customers with annual plans receive pro-rated credit if they downgrade within 30 days; otherwise credits apply on the next billing cycle. This note supersedes prior guidance."
     even = i % 2 == 0
     strata = [
         (
             "F",
             "factual_lookup",
-            F.format_string("Order %d for %s is ready for pickup at 5pm on 04/2%d/2025.", 4000 + i, _pick(NAMES), i % 10),
-            F.format_string("What's the pickup time for order %d?", 4000 + i),
+            F.format_string(ORDER, 4000 + i, _pick(NAMES), i % 10),
+            F.format_string(ORDER_QUERY, 4000 + i),
             F.create_map(F.lit("order"), (4000 + i).cast("string"), F.lit("name"), _pick(NAMES)),
         ),
         (
             "S",
             "semantic_search",
-            F.concat(F.lit("Our updated "), _pick(TOPICS), F.lit(credit)),
-            F.concat(F.lit("Can you summarize the new "), _pick(TOPICS), F.lit(" policy about billing credits?")),
+            F.concat(F.lit(UPDATED), _pick(TOPICS), F.lit(CREDIT)),
+            F.concat(F.lit(SUMMARIZE), _pick(TOPICS), F.lit(ABOUT)),
             F.create_map(F.lit("topic"), _pick(TOPICS)),
         ),
         (
             "R",
             "relationship_memory",
-            F.format_string("%s joined %s as a %s on 2025-03-%d.", _pick(PEOPLE), _pick(COMPANIES), _pick(ROLES), 10 + i % 10),
-            F.concat(F.lit("Which company did "), _pick(PEOPLE), F.lit(" join?")),
+            F.format_string(JOINED, _pick(PEOPLE), _pick(COMPANIES), _pick(ROLES), 10 + i % 10),
+            F.format_string(WHICH, _pick(PEOPLE)),
             F.create_map(F.lit("person"), _pick(PEOPLE), F.lit("company"), _pick(COMPANIES), F.lit("role"), _pick(ROLES)),
         ),
         (
             "C",
             "conversation_flow",
             F.when(even, _pick(ACTIONABLE)).otherwise(_pick(POLITE)),
-            F.when(even, "What actionable item should I schedule?").otherwise("Is there anything to store here?"),
+            F.when(even, SCHEDULE).otherwise(ANYTHING),
             F.create_map(F.lit("actionable"), F.when(even, "True").otherwise("False")),
         ),
     ]
@@ -93,3 +128,48 @@ def evaluation_items(spark: SparkSession, n: int) -> DataFrame:
         F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("speaker"),
         F.when(F.length(content) > 20, 0.8).otherwise(0.3).alias("expected_quality"),
     )
+
+
+def _filled(text: Column, number: Column) -> Column:
+    return F.replace(text, F.lit("{n}"), number.cast("string"))
+
+
+def _nested(texts: list[list[str]]) -> Column:
+    return F.array(*[F.array(*map(F.lit, t)) for t in texts])
+
+
+def pattern_turns(spark: SparkSession, n: int) -> DataFrame:
+    """`n` turns (turn_id, pattern, content, speaker): the five patterns in turn, so that a remainder goes to the first ones."""
+    i = F.col("id")
+    texts = F.element_at(_nested([t for _, t in TURN_PATTERNS]), (i % len(TURN_PATTERNS) + 1).cast("int"))
+    content = _filled(F.element_at(texts, (F.floor(i / len(TURN_PATTERNS)) % 3 + 1).cast("int")), i)
+    speaker = F.when(i % 2 == 0, "user").otherwise("assistant")
+    return spark.range(n).select(i.alias("turn_id"), _pick([p for p, _ in TURN_PATTERNS]).alias("pattern"), content.alias("content"), speaker.alias("speaker"))
+
+
+def class_examples(spark: SparkSession, n: int) -> DataFrame:
+    """`n` examples (id, label 0 to 2, content), a third of each class; the last takes the remainder."""
+    i = F.col("id")
+    label = F.least(F.floor(i / max(n // 3, 1)), F.lit(2)).cast("int")
+    content = _filled(F.element_at(F.element_at(_nested(CLASS_TEXTS), label + 1), (i % 3 + 1).cast("int")), i)
+    return spark.range(n).select("id", label.alias("label"), content.alias("content"))
+
+
+def conversations(spark: SparkSession, n: int) -> DataFrame:
+    """`n` conversations (conversation_id, template, turn, speaker, content) from the templates in turn."""
+    i = F.col("id")
+    texts = F.element_at(_nested([t for _, t in CONVERSATIONS]), (i % len(CONVERSATIONS) + 1).cast("int"))
+    rows = spark.range(n).select("id", _pick([t for t, _ in CONVERSATIONS]).alias("template"), F.posexplode(texts).alias("turn", "text"))
+    speaker = F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant")
+    return rows.select(i.alias("conversation_id"), "template", "turn", speaker.alias("speaker"), _filled(F.col("text"), i).alias("content"))
+
+
+def scenarios(spark: SparkSession, sessions: int, turns: int) -> DataFrame:
+    """Sessions (session, turn, content) that play the scenarios in turn."""
+    rows = spark.range(sessions).select(F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+    return rows.select(F.col("id").alias("session"), "turn", _filled(_pick([m for _, m in SCENARIOS]), F.col("turn")).alias("content"))
+
+
+def sample_session(spark: SparkSession) -> DataFrame:
+    rows = [(i, s, c) for i, (s, c) in enumerate(SAMPLE_TURNS)]
+    return spark.createDataFrame(rows, "turn int, speaker string, content string")

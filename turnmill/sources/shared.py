@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="turnmill-")
     return f"{root}/{name}/{uuid4()}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as Parquet in the shared folder: worked out once, of known size, and safe from lost executors."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(f"{folder}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
