@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Mapping
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnmill.functions import constants as C
+
 ITEM = "id string, content string, metadata map<string,string>, timestamp timestamp, speaker string, turn_id string"
 TRACE = (
     "timestamp timestamp, event_type string, adapter_name string, operation_id string, query string, content string, success boolean,"
@@ -33,13 +36,36 @@ LABELED = (
 )
 
 
-def read_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Items below YYYY/MM/DD/<session>.jsonl; blank and malformed lines are skipped. Adds day and session_id."""
+def read_items(spark: SparkSession, folder: str, today: str | None = None, days: int = 30) -> DataFrame:
+    """Items below YYYY/MM/DD/<session>.jsonl; blank and malformed lines are skipped. Adds day and session_id.
+
+    With `today`, only the folders of the last `days` days are listed and read; days
+    without a folder are skipped, and without any the result is empty.
+    """
+    if today is None:
+        lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+        paths = [folder]
+    else:
+        last = date.fromisoformat(today)
+        wanted = [f"{folder}/{last - timedelta(days=back):%Y/%m/%d}" for back in range(days)]
+        lines, paths = spark.read, [f"{p}/*.jsonl" for p in wanted if _exists(spark, p)]
+        if not paths:
+            return spark.createDataFrame([], ITEM + ", day date, session_id string")
+    rows = lines.schema(ITEM).option("mode", "DROPMALFORMED").json(paths).where("id is not null")
     path = F.input_file_name()
     day = F.to_date(F.regexp_extract(path, r"(\d{4}/\d{2}/\d{2})/[^/]+$", 1), "yyyy/MM/dd")
-    session = F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)
-    lines = spark.read.schema(ITEM).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true")
-    return lines.option("pathGlobFilter", "*.jsonl").json(folder).where("id is not null").withColumns({"day": day, "session_id": session})
+    return rows.withColumns({"day": day, "session_id": F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)})
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+
+def read_appended(spark: SparkSession, folder: str) -> DataFrame:
+    """What append_items has written: items with day and session_id, both partitions, so that filters on them prune folders."""
+    rows = spark.read.schema(ITEM + ", day date, session_id string").option("mode", "DROPMALFORMED").json(folder)
+    return rows.where("id is not null")
 
 
 def recent_items(items: DataFrame, today: str, days: int = 30) -> DataFrame:
@@ -49,9 +75,11 @@ def recent_items(items: DataFrame, today: str, days: int = 30) -> DataFrame:
 
 
 def file_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """n_files and n_lines below a folder; all lines count, also blank and malformed ones."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(folder)
-    return lines.select(F.input_file_name().alias("f")).agg(F.count_distinct("f").alias("n_files"), F.count(F.lit(1)).alias("n_lines"))
+    """n_files and n_lines below a folder; all lines count, also blank and malformed ones, and so do empty files."""
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.jsonl"}
+    lines = spark.read.options(**options).text(folder)
+    # Spark has listed the files already; empty ones have no row to count them by.
+    return lines.agg(F.lit(len(lines.inputFiles())).cast("long").alias("n_files"), F.count(F.lit(1)).alias("n_lines"))
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +142,8 @@ def overridden(settings: dict, prefix: str, environment: Mapping[str, str] | Non
 
 
 def backends(spark: SparkSession, config: dict) -> DataFrame:
-    """(name, kind, params) of a backend configuration: a list `adapters` or a map `instances`; disabled ones go.
+    """(name, kind, params) of a backend configuration: a list `adapters` or a map `instances`; disabled ones go, and
+    kinds that `aliases` names are replaced.
 
     An entry of the list without a name raises ValueError.
     """
@@ -124,9 +153,59 @@ def backends(spark: SparkSession, config: dict) -> DataFrame:
         if not entry.get("name"):
             raise ValueError("a backend needs a name")
         if entry.get("enabled", True) and not entry.get("disabled", False):
-            rows.append((entry["name"], entry.get("type", entry["name"]), {k: str(v) for k, v in (entry.get("params") or {}).items()}))
+            kind = entry.get("type", entry["name"])
+            rows.append((entry["name"], (config.get("aliases") or {}).get(kind, kind), {k: str(v) for k, v in (entry.get("params") or {}).items()}))
     return spark.createDataFrame(rows, "name string, kind string, params map<string,string>")
 
 
+def read_cost_config(text: str | None) -> dict:
+    """A cost configuration in YAML, with ${NAME:default} filled in; none at all gives an empty one."""
+    import yaml
+
+    return expand(yaml.safe_load(text) or {}) if text else {}
+
+
+def cost_coefficients(spark: SparkSession, config: dict) -> DataFrame:
+    """(backend, op, write, read, index_maint, gc_maint, storage_month) from the configuration's storage, retrieval and
+    maintenance prices; what it doesn't name has the default."""
+    storage, retrieval = config.get("storage") or {}, config.get("retrieval") or {}
+    upkeep = (config.get("processing") or {}).get("maintenance") or {}
+    rows = []
+    for backend in sorted({*storage, *retrieval}):
+        kept, read = storage.get(backend) or {}, retrieval.get(backend) or {}
+        prices = [
+            kept.get("write", C.WRITE),
+            read.get("read", C.READ),
+            upkeep.get("index", C.INDEX),
+            upkeep.get("gc", C.GC),
+            kept.get("month", C.STORAGE_MONTH),
+        ]
+        rows += [(backend, op, *map(float, prices)) for op in ("store", "retrieve")]
+    kind = "backend string, op string, write double, read double, index_maint double, gc_maint double, storage_month double"
+    return spark.createDataFrame(rows, kind)
+
+
+def read_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors with their items, as append_vectors writes them in one table: neither is there without the other."""
+    return spark.read.parquet(folder)
+
+
+def read_training(spark: SparkSession, folder: str) -> DataFrame:
+    """Training rows as export_training writes them in JSON: text, label, action, context_features."""
+    kind = "text string, label int, action string, context_features array<double>"
+    return spark.read.schema(kind).json(f"{folder}/json").where("text is not null")
+
+
+def read_golden(spark: SparkSession, folder: str, stratum: str | None = None) -> DataFrame:
+    """Frozen golden items; a stratum is a partition, so that asking for one reads only it."""
+    rows = spark.read.schema("id string, content string, query string, meta map<string,string>, stratum string").json(f"{folder}/items")
+    return rows if stratum is None else rows.where(F.col("stratum") == stratum)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV set with a header; rows that don't fit the schema are left out."""
+    return spark.read.schema(schema).option("header", "true").option("mode", "DROPMALFORMED").csv(path)
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
