@@ -57,7 +57,7 @@ def test_events_models_and_labelled_samples_are_written(spark, tmp_path):
     running.stop()
     assert files.read_telemetry(spark, str(tmp_path / "stream/events")).count() == 1
     sinks.write_labelled(spark.createDataFrame([("t", True), ("u", False)], "turn_id string, success boolean"), str(tmp_path / "labelled"))
-    assert [r["turn_id"] for r in spark.read.json(str(tmp_path / "labelled")).where("success").collect()] == ["t"]
+    assert [r["turn_id"] for r in spark.read.json(str(tmp_path / "labelled")).where("success = 'true'").collect()] == ["t"]
     frame = spark.createDataFrame([("red fish swims",), ("red fish sleeps",), ("old dog",)], "content string")
     fitted = models.tfidf_pipeline().fit(frame)
     sinks.save_model(fitted, str(tmp_path / "model"))
