@@ -120,6 +120,47 @@ def test_mixed_filters_in_one_image():
     assert (media.unfilter(rows, 24) == image).all()
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_images_filtered_together_equal_those_filtered_one_by_one(seed):
+    """All five filters are chosen, by the least sum of absolute differences, and undone as the definition says."""
+    rng = np.random.default_rng(seed)
+    width = int(rng.integers(1, 40))
+    images = [np.cumsum(rng.integers(-3, 4, (int(rng.integers(1, 9)), width)), axis=int(rng.integers(0, 2))).astype(np.uint8) for _ in range(20)]
+    images += [rng.integers(0, 256, (3, width), dtype=np.uint8), np.full((2, width), 255, np.uint8)]
+    for image, stored in zip(images, media.encode_all([x.tobytes() for x in images], width), strict=True):
+        rows = media.png_rows(stored)
+        for y, row in enumerate(rows):
+            above = image[y - 1].tolist() if y else [0] * width
+            cost = {}
+            for kind in range(5):
+                left = []
+                for x in range(width):
+                    a, b, c = (int(image[y, x - 1]) if x else 0), above[x], (above[x - 1] if x else 0)
+                    p = a + b - c
+                    near = min(((abs(p - v), i) for i, v in enumerate((a, b, c))))[1]
+                    left.append((int(image[y, x]) - [0, a, b, (a + b) // 2, (a, b, c)[near]][kind]) % 256)
+                cost[kind] = sum(min(v, 256 - v) for v in left), kind, left
+            assert (row[0], row[1:].tolist()) == min(cost.values())[1:]
+        assert (media.decode_png(stored) == image).all()
+        assert stored == media.encode_png(image.tobytes(), width)
+
+
+def test_features_and_stored_bytes_against_the_definition(spark):
+    """The hash by plain sums of cosines, and the stored form's size and digest."""
+    for r in media.read_media(media.store_media(table(spark).where("doc_id < 9"))).collect():
+        text = next((t or "").encode() for d, t, *_ in awkward_rows() if d == r["doc_id"])
+        payload = media.pad(text)
+        stored = media.encode_png(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        n = len(payload) // 576
+        tile = [[sum(payload[k * 576 + y * 24 + x] for k in range(n)) / n for x in range(24)] for y in range(24)]
+        wave = [[math.cos(math.pi * u * (2 * x + 1) / 48) for x in range(24)] for u in range(8)]
+        low = [round(sum(tile[y][x] * wave[u][y] * wave[v][x] for y in range(24) for x in range(24)), 6) for u in range(8) for v in range(8)]
+        middle = sorted(low[1:])[31]
+        bits = "".join("1" if v > middle else "0" for v in low)
+        assert r["feature"] == f"{int(bits, 2):016x}"
+
+
 def test_damage_is_found():
     stored = media.encode_png(media.pad(b"some text"))
     for at in (0, 20, len(stored) // 2, len(stored) - 3):
@@ -129,6 +170,9 @@ def test_damage_is_found():
             media.decode_png(bytes(broken))
     with pytest.raises(ValueError):
         media.decode_png(stored[:-12])
+    for header in (b"", struct.pack(">IIBBBBB", 0, 1, 8, 0, 0, 0, 0), b"\0" * 20):  # checksums fit, the header doesn't
+        with pytest.raises(ValueError):
+            media.decode_png(media.SIGNATURE + media._chunk(b"IHDR", header) + stored[33:])
 
 
 def test_stored_rows_are_filtered(spark):
