@@ -14,16 +14,22 @@ HEAD, TAIL = ("<|", "|>\n"), "<|end|>\n"
 LEARN_FROM = "assistant"
 
 
+def escaped(text: Column) -> Column:
+    r"""A text that can't forge a mark: one more backslash goes between < and |. To undo it, take one from each <\...|."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<\\$1|")
+
+
 def _head(turn: Column) -> Column:
-    return F.concat(F.lit(HEAD[0]), F.coalesce(turn["role"], F.lit("")), F.lit(HEAD[1]))
+    return F.concat(F.lit(HEAD[0]), escaped(turn["role"]), F.lit(HEAD[1]))
 
 
 def _body(turn: Column) -> Column:
-    return F.concat(F.coalesce(turn["text"], F.lit("")), F.lit(TAIL))
+    return F.concat(escaped(turn["text"]), F.lit(TAIL))
 
 
 def render(turns: Column) -> Column:
-    """One string: for each turn <|role|>, a line feed, its text and <|end|>. Nulls are empty strings."""
+    """One string: for each turn <|role|>, a line feed, its text and <|end|>. Nulls are empty strings; see `escaped` for
+    marks inside a text."""
     return F.array_join(F.transform(turns, lambda t: F.concat(_head(t), _body(t))), "")
 
 
@@ -53,8 +59,7 @@ def preference_format(pairs: DataFrame, *, chosen: str = "chosen", rejected: str
     n_prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask.
 
     A null conversation is an empty one. Equal conversations are all prompt, with empty
-    completions and masks; without a common turn the prompt is empty. Texts are not
-    escaped. Repeated rows are formatted alike; an empty table gives an empty table.
+    completions and masks; without a common turn the prompt is empty. Repeated rows are formatted alike; an empty table gives an empty table.
     """
     empty = F.array().cast("array<struct<role:string,text:string>>")
 
@@ -79,20 +84,27 @@ def preference_format(pairs: DataFrame, *, chosen: str = "chosen", rejected: str
 def pairs_from_conversations(turns: DataFrame, role: str = LEARN_FROM) -> DataFrame:
     """Pairs (conv_id, chosen, rejected) from plain conversations (conv_id, turn, role, text).
 
-    Each conversation up to its last turn of `role` is chosen. The rejected one has that
-    reply replaced by the last reply of the neighbour (2k and 2k + 1 are neighbours), or
-    ends before it if there is none. Conversations without a reply, and turns without a
-    conv_id, make no pair. Turns that tie in number are ordered by role and text.
+    Each conversation up to its last turn of `role` is chosen. Of its replies, turns of
+    `role`, number conv_id modulo their count is where the rejected one goes astray: from
+    there on it has the turns of the neighbour's chosen conversation at the same places (2k
+    and 2k + 1 are neighbours), or ends if there is none. Where both happen to say the same,
+    the common prefix is longer. Conversations without a reply, and turns without a conv_id,
+    make no pair. Turns that tie in number are ordered by role and text; repeated rows are
+    turns of their own. All turns of a conversation meet in one row, as the output has them in
+    one string. An empty table gives an empty table; other columns are ignored.
     """
     held = turns.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
     )
     replies = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == role)
-    held = held.withColumn("last", F.array_max(replies)).where("last is not null")
-    own = F.transform(F.slice("turns", 1, F.col("last")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    held = held.select("conv_id", own.alias("chosen"), "last")
+    held = held.withColumn("replies", replies).where(F.size("replies") > 0)
+    own = F.slice("turns", 1, F.element_at("replies", -1))
+    astray = F.get("replies", F.pmod("conv_id", F.size("replies")).cast("int"))
+    plain = F.transform(own, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    held = held.select("conv_id", plain.alias("chosen"), astray.alias("astray"))
     neighbour = F.col("conv_id") + 1 - 2 * F.pmod("conv_id", F.lit(2))
-    others = held.select(neighbour.alias("conv_id"), F.slice("chosen", F.col("last"), 1).alias("reply"))
+    others = held.select(neighbour.alias("conv_id"), F.col("chosen").alias("other"))
     none = F.array().cast("array<struct<role:string,text:string>>")
-    rejected = F.concat(F.slice("chosen", 1, F.col("last") - 1), F.coalesce("reply", none))
+    rest = F.coalesce(F.slice("other", F.col("astray"), F.size("other")), none)
+    rejected = F.concat(F.slice("chosen", 1, F.col("astray") - 1), rest)
     return held.join(others, "conv_id", "left").select("conv_id", "chosen", rejected.alias("rejected"))

@@ -104,27 +104,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-OP1_SQL = """
+OP1_SQL = r"""
 WITH t AS (
   SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
-         '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body
+         '<|' || regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\\\1|', 'g') || '|>' || chr(10) AS head,
+         regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS body
   FROM conversations WHERE conv_id IS NOT NULL),
-l AS (SELECT conv_id, max(k) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
-r AS (SELECT t.conv_id, t.text, t.head || t.body AS said, length(t.head) AS lo, length(t.head || t.body) AS hi, l.last
-      FROM t JOIN l ON t.conv_id = l.conv_id AND t.k = l.last),
-p AS (SELECT t.conv_id, string_agg(t.head || t.body, '' ORDER BY t.k) AS before
-      FROM t JOIN l ON t.conv_id = l.conv_id AND t.k < l.last GROUP BY t.conv_id),
-j AS (
-  SELECT r.*, coalesce(p.before, '') AS before, o.said AS other, o.lo AS other_lo, o.hi AS other_hi,
-         o.conv_id IS NOT NULL AND o.text IS NOT DISTINCT FROM r.text AS same
-  FROM r LEFT JOIN p ON p.conv_id = r.conv_id LEFT JOIN r AS o ON o.conv_id = r.conv_id + 1 - 2 * (r.conv_id % 2))
-SELECT conv_id, (last - CASE WHEN same THEN 0 ELSE 1 END)::INT AS n_prompt_turns,
-       before || CASE WHEN same THEN said ELSE '' END AS prompt,
-       CASE WHEN same THEN '' ELSE said END AS chosen,
-       CASE WHEN same OR other IS NULL THEN '' ELSE other END AS rejected,
-       CASE WHEN same THEN '' ELSE lo || '-' || hi END AS chosen_mask,
-       CASE WHEN same OR other IS NULL THEN '' ELSE other_lo || '-' || other_hi END AS rejected_mask
-FROM j
+l AS (SELECT conv_id, max(k) AS last, list(k ORDER BY k) AS replies FROM t WHERE role = 'assistant' GROUP BY conv_id),
+a AS (SELECT conv_id, last, replies[conv_id % len(replies) + 1] AS astray, conv_id + 1 - 2 * (conv_id % 2) AS neighbour FROM l),
+c AS (SELECT t.* FROM t JOIN l ON l.conv_id = t.conv_id AND t.k <= l.last),
+r AS (
+  SELECT a.conv_id, c.k, c.role, c.text, c.head, c.body FROM a JOIN c ON c.conv_id = a.conv_id AND c.k < a.astray
+  UNION ALL
+  SELECT a.conv_id, c.k, c.role, c.text, c.head, c.body FROM a JOIN c ON c.conv_id = a.neighbour AND c.k >= a.astray),
+d AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.k, r.k) AS k
+  FROM c FULL JOIN r ON r.conv_id = c.conv_id AND r.k = c.k
+  WHERE c.k IS NULL OR r.k IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text),
+n AS (SELECT a.conv_id, coalesce(min(d.k) - 1, any_value(a.last)) AS n FROM a LEFT JOIN d ON d.conv_id = a.conv_id GROUP BY a.conv_id),
+s AS (
+  SELECT side, x.conv_id, x.k, n.n, x.role, x.head, x.body,
+         sum(length(x.head) + length(x.body)) OVER (PARTITION BY side, x.conv_id, x.k > n.n ORDER BY x.k) AS hi
+  FROM (SELECT 'c' AS side, * FROM c UNION ALL SELECT 'r', * EXCLUDE (turn_) FROM (SELECT conv_id, role, text, k, head, body, 0 AS turn_ FROM r)) x
+  JOIN n ON n.conv_id = x.conv_id),
+o AS (
+  SELECT side, conv_id, any_value(n) AS n, coalesce(string_agg(head || body, '' ORDER BY k) FILTER (k <= n), '') AS prompt,
+         coalesce(string_agg(head || body, '' ORDER BY k) FILTER (k > n), '') AS completion,
+         coalesce(string_agg((hi - length(body))::BIGINT || '-' || hi::BIGINT, ',' ORDER BY k) FILTER (k > n AND role = 'assistant'), '') AS mask
+  FROM s GROUP BY side, conv_id)
+SELECT c.conv_id, c.n::INT AS n_prompt_turns, c.prompt, c.completion AS chosen, coalesce(r.completion, '') AS rejected,
+       c.mask AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
+FROM o c LEFT JOIN o r ON r.side = 'r' AND r.conv_id = c.conv_id WHERE c.side = 'c'
 """
 
 OP8_SQL = """
