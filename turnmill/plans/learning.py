@@ -24,7 +24,7 @@ def _stream(spark, sf_dir, name):
 def stream_hourly(spark, sf_dir):
     ts = F.col("ts").cast("timestamp").alias("ts")  # watermarks need a time zone
     events = _stream(spark, sf_dir, "events").select(ts, F.col("event_type").alias("op"), F.col("value").alias("observed_ms"))
-    done = streams.run_complete(streams.windowed_telemetry(events), spark, "stream_hourly")
+    done = streams.run_updates(streams.windowed_telemetry(events), spark, "stream_hourly", ["op", "window_start"])
     return done.select("op", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("total", 6).alias("total"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnmill.functions import constants as C
@@ -38,7 +39,7 @@ def budget_ledger(
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         spent, count = state.get if state.exists else (0.0, 0)
-        rows = pd.concat(list(batches)).sort_values("turn_no", kind="stable")
+        rows = pd.concat(list(batches)).sort_values("turn_no", kind="stable")  # one session's turns of one micro-batch
         accepted, totals, counts = [], [], []
         for value in rows["cost"]:
             fits = not pd.isna(value) and value <= operation and spent + value <= session and (spent + value) / hours <= burst
@@ -65,13 +66,18 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def run_complete(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """As run_to_table for an aggregate that is written whole after each batch."""
+def run_updates(stream: DataFrame, spark: SparkSession, name: str, keys: list[str]) -> DataFrame:
+    """As run_to_table for an aggregate with a watermark: each batch appends the rows that it changed, and the newest of each
+    key counts. Late rows and closed windows leave the state, which complete output would keep for ever."""
     folder = shared_folder(spark, name)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{folder}/rows")
 
-    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint")
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
     writer.foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
+    found = spark.read.schema(schema).parquet(f"{folder}/rows")
+    rest = [c for c in stream.columns if c not in keys]
+    newest = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("x"))
+    return newest.select(*[F.col(c) if c in keys else F.col("x").getField(c).alias(c) for c in stream.columns])
