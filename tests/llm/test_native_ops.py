@@ -155,6 +155,36 @@ def test_cuts_stay_under_the_capacity_and_near_equal_parts(spark, sizes, shards)
         assert sorted(Counter(b - a for a, b in zip([0, *cuts], cuts)).items()) == [(6, 3), (7, 6), (30, 1)]  # noqa: B905
 
 
+@pytest.mark.parametrize("shards", [3, 7, 12])
+def test_no_shard_is_above_the_best_contiguous_cut(spark, shards):
+    """The whole operator against brute force over its atomic groups in their order, large ones set apart."""
+    rng = random.Random(shards)
+    rows = [(i, words(rng, rng.randint(0, 60)), "en", "a", 0) for i in range(80)]
+    rows += [(200 + i, rows[i % 5][1], "en", "a", 0) for i in range(40)] + [(900, "long " * 6000, "en", "a", 0)]
+    docs = table(spark, rows)
+    unit = {r["doc_id"]: r["u"] for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(sharding.UNITS)).alias("u")).collect()}
+    sizes = Counter()
+    for d, t, *_ in rows:
+        sizes[unit[d]] += len(t.encode()) + 16
+    total, left, hot = sum(sizes.values()), shards, set()
+    for u, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if n * left <= total:
+            break
+        total, left = total - n, left - 1
+        hot.add(u)
+    cold = [n for u, n in sorted(sizes.items()) if u not in hot]
+    best = next(c for c in range(max(cold), sum(cold) + 1) if greedy(cold, c) <= left)
+    found, home = Counter(), {}
+    for r in sharding.shard_documents(docs, shards).collect():
+        found[r["shard"]] += r["size"]
+        assert home.setdefault(unit[r["doc_id"]], r["shard"]) == r["shard"]
+    assert hot and sum(found.values()) == sum(sizes.values())
+    assert all(found[home[u]] == sizes[u] for u in hot)
+    assert max(n for s, n in found.items() if s not in {home[u] for u in hot}) <= best
+    order = [home[u] for u in sorted(sizes) if u not in hot]
+    assert order == sorted(order)  # contiguous
+
+
 def test_one_group_with_a_third_of_the_bytes_has_its_own_shard(spark):
     rng = random.Random(4)
     rows = [(i, words(rng, 30), "en", "a", 0) for i in range(2000)]
