@@ -87,6 +87,12 @@ class Shelf:
         self.tables, self.broadcasts = 0, []
 
 
+def sized(table: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A saved table of a few numbers a row, for a join: broadcast if it has at most `most` rows, which Parquet's footers
+    tell, else left to a shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else.
 

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import Shelf, row_struct, saved, unpack
+from turnmill.llm.common import Shelf, row_struct, saved, sized, unpack
 from turnmill.llm.filters import FILTER_BITS, doc_slot, passes, slot_filter
 from turnmill.llm.minhash import similar
 from turnmill.llm.words import Spans, free_memory, gather, line_spans, lists, mix, reduce_rows, slices, span_hashes, word_spans
@@ -188,8 +188,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     """The later classes of those `pairs` (a, b) that are similar, kept on `shelf`; all else that is made here is deleted."""
     own_shelf = Shelf(texts.sparkSession)
     pairs = own_shelf.put(pairs)
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = own_shelf.put(classes.select("class", "doc_id", "line", "one", "two").join(wanted, "class"))
+    wanted = own_shelf.put(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
+    wanted = own_shelf.put(classes.select("class", "doc_id", "line", "one", "two").join(sized(wanted), "class"))
     docs = own_shelf.broadcast(slot_filter(wanted, doc_slot(F.col("doc_id"))))
     mask = (1 << FILTER_BITS) - 1
     own = own_shelf.broadcast(slot_filter(wanted, F.col("one").bitwiseAND(F.lit(mask)) + 1))
@@ -247,7 +247,7 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: S
     settled = _verified(ordered(tries, "x", "y"), classes, texts, percent, shelf)
 
     flagged = classes.select("class", "n", "bits", "tokens").join(
-        settled.withColumn("settled", F.lit(1)), "class", "left"
+        sized(settled).withColumn("settled", F.lit(1)), "class", "left"
     )
     n, settled_flag = F.col("n").cast("long"), F.coalesce("settled", F.lit(0))
     postings = flagged.select("class", "bits", n.alias("n"), settled_flag.alias("s"), F.posexplode("tokens").alias("place", "token"))
@@ -274,7 +274,7 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: S
         & enough,
     )
     others = _verified(ordered(pairs, "x", "y"), classes, texts, percent, shelf)
-    return settled.union(others).distinct()
+    return shelf.put(settled.union(others).distinct())
 
 
 def removed_lines(
@@ -294,7 +294,7 @@ def removed_lines(
     shelf = Shelf(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     classes = line_classes(texts, shelf.broadcast(token_counts(texts)), percent, shelf)
-    matched = matched_classes(classes, texts, percent, shelf).withColumn("matched", F.lit(True))
+    matched = sized(matched_classes(classes, texts, percent, shelf)).withColumn("matched", F.lit(True))
     verdicts = classes.select("class", "one", "two", "times", F.struct("doc_id", "line").alias("first")).join(matched, "class", "left")
     verdicts = saved(verdicts.where("times > 1 or matched").drop("class", "times"))
     mask = (1 << FILTER_BITS) - 1
