@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.llm import chat, codes, exact_dedup, langid, line_dedup, lm, media, minhash, mixing, packing, secrets, sharding, trie
-from turnmill.llm.common import crc_fold, cut_lineage, documents, word_count
+from turnmill.llm.common import crc_fold, cut_lineage, documents, small_batches, word_count
 
 SHARDS = 40
 
@@ -90,6 +90,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return codes.compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
@@ -112,6 +113,7 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return trie.prefix_trie(trie.with_shared_heads(trie.turn_sequences(turns)))
 
