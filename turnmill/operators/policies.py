@@ -165,10 +165,12 @@ def routed(turns: DataFrame, budget: str = "standard") -> DataFrame:
     """Action, backend, price and budget outcome for each turn (session_id, turn_no, speaker, content, item_id, ts).
 
     A stored or summarized turn is placed and priced; if its price exceeds the limit
-    for one operation it is dropped, but the price stays visible.
+    for one operation it is dropped, but the price stays visible. Turns that have
+    turn_count and minutes already, as a stream's do, keep these.
     """
     c, s = F.col("content"), F.col("speaker")
-    out = with_session_context(turns).withColumn("wanted", heuristic_action(c, s))
+    placed = turns if {"turn_count", "minutes"} <= set(turns.columns) else with_session_context(turns)
+    out = placed.withColumn("wanted", heuristic_action(c, s))
     flags = content_flags(c)
     placed = out.withColumn(
         "placed", F.when(F.col("wanted") != "drop", choose_backend(c, s, F.col("turn_count"), F.col("minutes"), budget))

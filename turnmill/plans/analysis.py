@@ -325,8 +325,15 @@ _SAMPLES = """s AS (SELECT event_type AS backend, CASE WHEN event_id % 2 = 0 THE
     round_even(m, 0)::INT AS base_cents, round_even(extra * 1e6, 0)::INT AS per_token_micros, per_k AS per_k_cents, p50 AS p50_ms FROM m JOIN x USING (backend)"""
 )
 def latency_refit(spark, sf_dir):
+    return metrics.fitted_coefficients(samples(spark, sf_dir), "backend").drop("p95_ms")
+
+
+def samples(spark, sf_dir):
+    """Events as samples of what operations cost and took."""
     e = read(spark, sf_dir, "events")
-    samples = e.select(
+    return e.select(
+        "event_id",
+        "ts",
         F.col("event_type").alias("backend"),
         F.when(F.col("event_id") % 2 == 0, "store").otherwise("retrieve").alias("op"),
         F.when(F.col("event_id") % 3 != 0, F.round("value") / 10.0).alias("observed_cents"),
@@ -334,7 +341,6 @@ def latency_refit(spark, sf_dir):
         F.col("user_id").alias("n_tokens"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
-    return metrics.fitted_coefficients(samples, "backend").drop("p95_ms")
 
 
 @query("SELECT event_id, op FROM (SELECT event_id, event_type AS op, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10000")

@@ -8,10 +8,12 @@ from turnmill.functions import constants as C
 from turnmill.functions import text as T
 from turnmill.functions.features import basic_text_features
 from turnmill.operators import models, policies
+from turnmill.plans.analysis import samples
 from turnmill.plans.registry import SQL as _SQL
 from turnmill.plans.registry import query
-from turnmill.sources.tables import documents, read
+from turnmill.sources.tables import documents, read, turns
 from turnmill.streaming import sessions as streams
+from turnmill.streaming import probe, state
 
 
 def _stream(spark, sf_dir, name):
@@ -36,6 +38,135 @@ def stream_ledger(spark, sf_dir):
     return streams.run_to_table(streams.budget_ledger(turns, cost, session=0.25), spark, "stream_ledger").drop("turn_count")
 
 
+_REFITS = """s AS (SELECT event_type AS key, ts, event_id, CASE WHEN event_id % 2 = 0 THEN 'store' ELSE 'retrieve' END AS op,
+      CASE WHEN event_id % 3 <> 0 THEN round(value) / 10.0::DOUBLE END AS cents, value AS ms, user_id AS n_tokens, json_extract_string(props, '$.k')::INT AS k FROM events),
+    g AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY ts, event_id) - 1) // 200 + 1 AS version FROM s),
+    m AS (SELECT key, version, count(*) AS samples, median(cents) FILTER (op = 'store') AS st, median(cents) FILTER (op = 'retrieve') AS re, median(cents) AS m,
+      median(cents / (greatest(1, k) + 1e-6::DOUBLE)) AS per_k, median(ms) AS p50, list_sort(list(ms)) AS x FROM g GROUP BY key, version),
+    e AS (SELECT g.key, g.version, median(greatest(0.0, cents - round_even(m, 0)) / (n_tokens + 1e-6::DOUBLE)) FILTER (n_tokens > 0 AND cents IS NOT NULL) AS extra
+      FROM g JOIN m ON m.key = g.key AND m.version = g.version GROUP BY g.key, g.version),
+    r AS (SELECT m.key, m.version, samples, coalesce(st, 0.05) AS write, coalesce(re, 0.02) AS read, least(0.02, m * 0.1) AS index_maint, least(0.01, m * 0.05) AS gc_maint,
+      least(0.005, m * 0.02) AS storage_month, round_even(m, 0) AS base_cents, round_even(extra * 1e6, 0) AS per_token_micros, per_k AS per_k_cents, p50 AS p50_ms,
+      (x[190] * 1 + x[191] * 19) / 20.0::DOUBLE AS p95_ms FROM m JOIN e ON e.key = m.key AND e.version = m.version WHERE samples = 200)"""
+
+
+def _refitted(spark, sf_dir, name):
+    """Events as samples through the refitting stream, in four micro-batches."""
+    rows = samples(spark, sf_dir)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return state.replay(rows, at, 4, lambda s, folder: state.refit_stream(s, folder, "backend", ["ts", "event_id"]), name)
+
+
+def _rounded(rows):
+    return rows.select("key", "version", *[F.round(c, 6).alias(c) for c in state.COEFFICIENTS])
+
+
+@query(f"WITH {_REFITS} SELECT key, version, samples, {', '.join(f'round({c}, 6) AS {c}' for c in state.COEFFICIENTS)} FROM r")
+def stream_refits(spark, sf_dir):
+    """Every refit of a stream of samples: 200 samples of a backend make a version of its prices."""
+    schema = "key string, version long, samples long, " + ", ".join(f"{c} double" for c in state.COEFFICIENTS)
+    found = spark.read.schema(schema).parquet(f"{_refitted(spark, sf_dir, 'stream_refits')}/refits")
+    return found.select("key", "version", "samples", *[F.round(c, 6).alias(c) for c in state.COEFFICIENTS])
+
+
+@query(f"WITH {_REFITS} SELECT key, version, {', '.join(f'round({c}, 6) AS {c}' for c in state.COEFFICIENTS)} FROM r WHERE version = (SELECT max(version) FROM r o WHERE o.key = r.key)")
+def stream_prices(spark, sf_dir):
+    """The prices that count when the stream has run: the newest version of each backend's."""
+    found = state.PriceTables(spark, f"{_refitted(spark, sf_dir, 'stream_prices')}/prices").read()
+    return _rounded(found) if found is not None else _rounded(spark.createDataFrame([], "key string, version long, " + ", ".join(f"{c} double" for c in state.COEFFICIENTS)))
+
+
+@query(_SQL["route_flagship"])
+def stream_routes(spark, sf_dir):
+    """The flagship's routes, of turns that come in three micro-batches, with each session's context kept as state."""
+
+    def run(stream, folder):
+        routed = policies.routed(state.session_context(stream))
+        return routed.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows")
+
+    folder = state.replay(turns(spark, sf_dir), F.col("turn_no"), 3, run, "stream_routes")
+    return spark.read.parquet(f"{folder}/rows").withColumn("turn_count", F.col("turn_count").cast("int"))
+
+
+def _activity(spark, sf_dir):
+    """Events with their sessions, and a place in the order of arrival: every seventh is an hour late."""
+    ts = F.col("ts").cast("timestamp")
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"), F.col("event_type").alias("op"), ts.alias("ts"), F.col("value").alias("observed_ms"))
+    return rows, F.unix_seconds("ts") + F.when(F.col("event_id") % 7 == 0, 3600).otherwise(0)
+
+
+def _appended(spark, sf_dir, name, build):
+    """What a stream of the activity appends, in four micro-batches."""
+    rows, at = _activity(spark, sf_dir)
+
+    def run(stream, folder):
+        writer = build(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+        return writer.trigger(availableNow=True).start(f"{folder}/rows")
+
+    return spark.read.parquet(f"{state.replay(rows, at, 4, run, name)}/rows")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(DISTINCT user_id) AS active FROM events GROUP BY ALL")
+def stream_active_sessions(spark, sf_dir):
+    """Sessions that are active in each hour, of a stream with late rows."""
+    seen = _appended(spark, sf_dir, "stream_active_sessions", streams.first_seen)
+    return seen.groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.count("session_id").alias("active"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL '30 minutes' AS fresh FROM events),
+    s AS (SELECT user_id, ts, sum(coalesce(fresh, true)::INT) OVER (PARTITION BY user_id ORDER BY ts, fresh ROWS UNBOUNDED PRECEDING) AS s FROM e),
+    g AS (SELECT user_id AS session_id, min(ts) AS "start", max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS n FROM s GROUP BY user_id, s)
+    SELECT session_id, "start", "end", n FROM g WHERE "end" <= (SELECT max(ts) - INTERVAL '2 hours' FROM events)"""
+)
+def stream_sessions(spark, sf_dir):
+    """Runs of activity that the stream's time has closed."""
+    found = _appended(spark, sf_dir, "stream_sessions", streams.activity_sessions)
+    return found.select("session_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
+
+
+@query(
+    """SELECT op, n AS batch_rows, batch_ms, CASE WHEN op <> 'error' THEN n END AS written, op <> 'error' AS success, op = 'error' AS failed
+    FROM (SELECT event_type AS op, count(*) AS n, round(sum(value), 4) AS batch_ms FROM events GROUP BY event_type)"""
+)
+def probe_report(spark, sf_dir):
+    """What the probe has recorded of a stream over all events and of a write for each operation, of which one fails."""
+    rows, at = _activity(spark, sf_dir)
+    ops = [r["op"] for r in rows.select("op").distinct().orderBy("op").collect()]
+    recorder = probe.Probe(spark)
+
+    def run(stream, folder):
+        own = [x for op in ops for x in (F.count_if(F.col("op") == op).alias(f"rows {op}"), F.sum(F.when(F.col("op") == op, F.col("observed_ms"))).alias(f"ms {op}"))]
+        writer = stream.observe("operations", *own).writeStream.format("noop").option("checkpointLocation", f"{folder}/checkpoint")
+        return Watched(writer.queryName("activity").trigger(availableNow=True).start())
+
+    with recorder.listen() as listener:
+
+        class Watched:
+            def __init__(self, started):
+                self.started = started
+
+            def awaitTermination(self):
+                listener.wait(self.started)
+
+        state.replay(rows, at, 3, run, "probe_report")
+    for op in ops:
+        try:
+            with recorder.operation(op, "noop") as own:
+                value = F.when(F.col("op") == "error", F.raise_error(F.lit("not to be stored"))).otherwise(F.col("observed_ms"))
+                own.watch(rows.where(F.col("op") == op).withColumn("observed_ms", value)).write.format("noop").mode("overwrite").save()
+        except Exception as error:  # noqa: BLE001
+            if "not to be stored" not in str(error):
+                raise
+    records = recorder.records()
+    seen = records.where("kind = 'batch'").select(F.explode("metrics").alias("name", "x"))
+    seen = seen.select(F.split("name", " ", 2)[1].alias("op"), F.split("name", " ", 2)[0].alias("what"), "x").groupBy("op").agg(
+        F.sum(F.when(F.col("what") == "rows", F.col("x"))).cast("long").alias("batch_rows"), F.round(F.sum(F.when(F.col("what") == "ms", F.col("x"))), 4).alias("batch_ms")
+    )
+    done = records.where("kind = 'operation'").select("op", F.col("rows").alias("written"), "success", F.col("error").contains("not to be stored").alias("failed"))
+    return seen.join(done, "op").withColumn("failed", F.coalesce("failed", F.lit(False)))
+
+
 @query()
 def model_routes(spark, sf_dir):
     """A forest that learns the three-class rules from counts, calibrated, with the heuristic where it is unsure."""

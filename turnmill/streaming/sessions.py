@@ -28,6 +28,17 @@ def activity_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2
     return grouped.agg(F.count(F.lit(1)).alias("n")).select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def first_seen(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """(session_id, window_start): one row for each session and window of `ts` in which it is active, as soon as it is.
+
+    A pair is remembered until the stream's time, `late` behind its newest row, has passed the window by `late`; rows behind
+    the stream's time are left out. Counting the rows of a window gives its active sessions.
+    """
+    start = F.window("ts", width)["start"]
+    seen = events.select("session_id", start.alias("window_start")).withWatermark("window_start", late)
+    return seen.dropDuplicatesWithinWatermark(["session_id", "window_start"])
+
+
 def budget_ledger(
     turns: DataFrame, cost: Column, *, operation: float = C.OPERATION_LIMIT, session: float = C.SESSION_LIMIT,
     burst: float = C.BURST_LIMIT, hours: float = C.LEAST_HOURS,
@@ -39,7 +50,7 @@ def budget_ledger(
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         spent, count = state.get if state.exists else (0.0, 0)
-        rows = pd.concat(list(batches)).sort_values("turn_no", kind="stable")  # one session's turns of one micro-batch
+        rows = pd.concat(batches).sort_values("turn_no", kind="stable")  # one session's turns of one micro-batch
         accepted, totals, counts = [], [], []
         for value in rows["cost"]:
             fits = not pd.isna(value) and value <= operation and spent + value <= session and (spent + value) / hours <= burst
