@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from turnmill.functions import constants as C
 from turnmill.functions import text as T
 from turnmill.operators import filters, metrics, policies, retrieval, sessions, summaries
+from turnmill.operators.vector_index import VectorIndex
 from turnmill.plans import registry as R
 from turnmill.plans.registry import DOCS, TURNS, query
 from turnmill.sources import generators
+from turnmill.sources.shared import shared_folder
 from turnmill.sources.tables import documents, query_texts, read, telemetry, turns
 
 KEY = ["session_id", "turn_no"]
@@ -153,6 +155,35 @@ def vector_topk(spark, sf_dir):
     return vector_results(spark, sf_dir)[1]
 
 
+def _kept_index(spark, sf_dir, name):
+    """All embeddings in an index that was built on nine tenths of them, got the rest later, and is read again."""
+    items = read(spark, sf_dir, "embeddings")
+    folder = shared_folder(spark, name)
+    later = F.col("vec_id") % 10 == 9
+    VectorIndex.build(items.where(~later), folder).add(items.where(later))
+    asked = items.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return items, asked, VectorIndex(spark, folder)
+
+
+@query(f"WITH {_IP} {_top('ip', item='vec_id')}")
+def vector_index_exact(spark, sf_dir):
+    """The exact way through the kept index: the same as without one."""
+    _, asked, index = _kept_index(spark, sf_dir, "vector_index_exact")
+    return index.search(asked, 5, exact=True)
+
+
+@query(f"WITH {_IP}, x AS ({_top('ip', 10, item='vec_id')}) SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS found_enough, true AS fewer_cells FROM x")
+def vector_index_recall(spark, sf_dir):
+    """How many of the exact ten best a search of a part of the cells finds: at least nine tenths."""
+    items, asked, index = _kept_index(spark, sf_dir, "vector_index_recall")
+    exact = retrieval.inner_product_top_k(items, asked, 10)
+    found = index.search(asked, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    few = F.lit(index.meta()["probes"] < index.meta()["cells"])
+    return exact.join(found, ["query_id", "vec_id"], "left").agg(
+        F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("found_enough"), few.alias("fewer_cells")
+    )
+
+
 @query(
     f"WITH {_IP}, x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM ip) SELECT query_id, vec_id, score, rank FROM x WHERE rank <= 5 AND label % 2 = 0"
 )
