@@ -241,7 +241,10 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: S
         return rows.select(*pair).distinct()
 
     leading = classes.select("doc_id", "line", "class", "n", "bits", F.explode("keys").alias("token"))
-    earliest = leading.groupBy("token").agg(F.min(F.struct("doc_id", "line", "class", "n", "bits")).alias("e")).select("token", "e.*")
+    # Written, so that Spark can split what joins a frequent key; a key of one class only meets itself.
+    first = F.min(F.struct("doc_id", "line", "class", "n", "bits")).alias("e")
+    earliest = leading.groupBy("token").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1").select("token", "e.*")
+    earliest = shelf.put(earliest)
     x, y = leading.drop("doc_id", "line").alias("x"), earliest.drop("doc_id", "line").alias("y")
     tries = x.join(y, (F.col("x.token") == F.col("y.token")) & fits("x", "y", F.col("x.n"), F.col("y.n")))
     settled = _verified(ordered(tries, "x", "y"), classes, texts, percent, shelf)
@@ -262,14 +265,13 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: S
         low = s.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
         return F.shiftright(s, 32).cast("int"), F.shiftright(low, 2), F.shiftright(low, 1).bitwiseAND(1), low.bitwiseAND(1)
 
-    (nx, px, _, sx), (ny, py, iy, sy) = part("x"), part("y")
-    # Each condition takes in both sides, so that both stay the same table and share one shuffle; cheap ones come first.
+    (nx, px, ix, _), (ny, py, iy, _) = part("x"), part("y")
+    # Only unsettled classes look for partners, so the settled ones of a large group never meet. Cheap conditions come first.
     enough = F.least(nx - px, ny - py) >= required(nx + ny, percent)
-    pairs = postings.alias("x").join(
+    pairs = postings.where(F.col("state").bitwiseAND(F.lit(1)) == 0).alias("x").join(
         postings.alias("y"),
         (F.col("x.token") == F.col("y.token"))
-        & (F.greatest(1 - iy, ny - nx) <= 0)
-        & (sx + sy < 2)
+        & (F.when(ny <= nx, iy).otherwise(ix) > 0)
         & fits("x", "y", nx, ny)
         & enough,
     )
