@@ -298,9 +298,9 @@ def test_without_training_rows_or_rows(spark):
     assert lm.lattice_scores(table(spark, []), F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_scores_are_the_marginals_of_whole_texts(spark, rounds):
-    """Against the definition: all segmentations of each word, weights by forward-backward counts over all of them."""
+@pytest.mark.parametrize(("rounds", "own"), [(0, 1.0), (2, 1.0), (2, lm.OWN)])
+def test_scores_are_the_marginals_of_whole_texts(spark, rounds, own):
+    """Against the definition: all segmentations of each word, weights fitted by forward-backward counts over all of them."""
     rows = [(i, " ".join(SPELT[i % 5 :: 3] + ["The"] * (i % 3)), "en", "a", 0) for i in range(12)]
     rows += [(20, None, None, None, None), (21, "", "en", "a", 0), (22, "unseen word\n thé", "en", "a", 0)]
     training = [r for r in rows if r[0] % 4 != 1]
@@ -318,10 +318,10 @@ def test_scores_are_the_marginals_of_whole_texts(spark, rounds):
         for i in range(lattice.size):
             name = lm._vocabulary(lm.default_vocabulary()).id_to_piece(i)
             counts[i] = used[int(name[1:-1], 16) if re.fullmatch("<0x..>", name) else name]
-        lattice = lm.Lattice(lm.default_vocabulary(), counts, float(sum(count.values())))
+        lattice = lm.Lattice(lm.default_vocabulary(), counts, float(sum(count.values())), own)
     ends, n_tokens = len(training), sum(count.values()) + len(training)
     end = (ends + 1) / (n_tokens + 2)
-    out = lm.lattice_scores(table(spark, rows), F.col("doc_id") % 4 != 1, rounds=rounds).collect()
+    out = lm.lattice_scores(table(spark, rows), F.col("doc_id") % 4 != 1, rounds=rounds, reestimate=own < 1).collect()
     assert len(out) == len(rows)
     for r in out:
         text = next(t for d, t, *_ in rows if d == r["doc_id"])
@@ -332,7 +332,20 @@ def test_scores_are_the_marginals_of_whole_texts(spark, rounds):
         assert r["score"] == pytest.approx(expected)
 
 
-def test_scores_are_probabilities_over_all_words(spark):
+def test_temperature_makes_the_counts_most_likely():
+    rng = np.random.default_rng(3)
+    scores, groups = -np.log(np.arange(60) + 2.7), [np.arange(0, 60, 2), np.arange(1, 60, 2)]
+    counts = rng.integers(0, 9, 60) * np.exp(scores / 0.6)
+
+    def likelihood(t):
+        return sum(counts[g] @ (scores[g] / t - np.log(np.exp(scores[g] / t).sum())) for g in groups)
+
+    best = lm.fitted_temperature(scores, groups, counts)
+    assert all(likelihood(best) >= likelihood(best * f) for f in (0.5, 0.9, 0.99, 1.01, 1.1, 2))
+
+
+@pytest.mark.parametrize("reestimate", [False, True])
+def test_scores_are_probabilities_over_all_words(spark, reestimate):
     """Known words, the end and 18,000 unseen words share at most one; junk is far less likely than what can be spelt."""
     training = [(i, words(random.Random(i), 40), "en", "a", 0) for i in range(20)]
     known = sorted({x for _, t, *_ in training for x in tokens(t)})
@@ -341,11 +354,12 @@ def test_scores_are_probabilities_over_all_words(spark):
     junk = "".join(random.Random(1).choice(letters) for _ in range(2000))
     alone = ["", *known, *unseen, junk, "seaside"]
     rows = training + [(100 + i, x, "en", "a", 0) for i, x in enumerate(alone)]
-    out = lm.lattice_scores(table(spark, rows), F.col("doc_id") < 100).where("not training").collect()
+    out = lm.lattice_scores(table(spark, rows), F.col("doc_id") < 100, reestimate=reestimate).where("not training").collect()
     score = {alone[r["doc_id"] - 100]: r["score"] for r in out}
     share = {x: 10 ** (s - score[""]) for x, s in score.items() if x}
     assert 0 < sum(share.values()) < 1 - 10 ** score[""]
-    assert sum(share[x] for x in known) > sum(share[x] for x in unseen[: len(known)])
+    if reestimate:  # the vocabulary's scores alone don't know the training words
+        assert sum(share[x] for x in known) > sum(share[x] for x in unseen[: len(known)])
     assert score[junk] < score["seaside"] - 1000
 
 
@@ -364,13 +378,19 @@ def test_lattice_mass_is_that_of_words():
 
 
 def test_training_helps_on_held_out_texts(spark):
-    """Weights learnt from training texts against the vocabulary's own scores, on the held-out fold."""
+    """A fitted temperature, and counts in the scores' place, against the vocabulary's own scores, on the held-out fold."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    training = crc_fold(F.col("doc_id"), 5) != 1
     rows = queries.op9_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1 for r in rows)
-    untrained = lm.lattice_scores(docs, crc_fold(F.col("doc_id"), 5) != 1, rounds=0).where("not training").collect()
-    assert len(rows) == len(untrained)
-    assert sum(r["score"] for r in rows) > 0.65 * sum(r["score"] for r in untrained)
+    fitted = sum(r["score"] for r in rows)
+    untrained, counted = (
+        [r["score"] for r in lm.lattice_scores(docs, training, **options).where("not training").collect()] for options in ({"rounds": 0}, {"reestimate": True})
+    )
+    assert len(rows) == len(untrained) == len(counted)
+    print(f"held out: fitted {fitted:.0f}, untrained {sum(untrained):.0f}, re-estimated {sum(counted):.0f}, base {sum(r['base_score'] for r in rows):.0f}")
+    assert fitted > sum(untrained)
+    assert sum(counted) > 0.65 * sum(untrained)
 
 
 def test_preference_format(spark):
@@ -465,3 +485,21 @@ def test_pipeline_stages_one_by_one(spark, tmp_path):
             assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in before}
         before = rows
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == docs.columns
+
+
+def test_pipeline_keeps_short_texts_and_takes_an_empty_table(spark):
+    """However unsure its language, a text with a letter stays; stages on an empty table give an empty table."""
+    sf = "/root/testdata/sf0.001"
+    short = [(i, t, None, "a", 1) for i, t in enumerate(["a", "ok", "Zx", "é", "no 1", "...", "", None, "12"])]
+    kept = corpus_pipeline.language_id(spark, spark.read.parquet(f"{sf}/documents.parquet").union(table(spark, short)), sf)
+    assert sorted(r["doc_id"] for r in kept.where("source = 'a' AND n_chars = 1").collect()) == [0, 1, 2, 3, 4]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table(spark, []), sf).count() == 0
+
+
+def test_lines_of_a_large_group_of_near_copies(spark):
+    """One line with one changing word, many times: all but the first go, and no two settled lines are paired."""
+    shared = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
+    rows = [(i, f"{shared} w{i}\nonly {i} here {i * 7} and {i * 13}", None, None, None) for i in range(9000)]
+    out = line_dedup.removed_lines(table(spark, rows)).select("doc_id", "removed").collect()
+    assert {r["doc_id"]: r["removed"] for r in out} == {i: [0] if i else [] for i in range(9000)}

@@ -3,9 +3,10 @@
 The pieces of an existing subword vocabulary span a lattice over each word. A
 word starts with a piece that marks a word's start, goes on with others and
 stops; characters without a piece are spelt in byte pieces. Pieces have unigram
-probabilities: a share `OWN` is dealt by the vocabulary's own scores, the rest by
-how often training texts use each piece, summed over all segmentations (`ROUNDS`
-of forward-backward counts that start from the vocabulary's scores alone). A
+probabilities, which are a softmax of the vocabulary's own scores over a temperature.
+That one number, and how often words go on, are fitted on the training texts, in
+`ROUNDS` of forward-backward counts over all segmentations. As an option the counts
+themselves become the pieces' probabilities, but for a share `OWN`. A
 forward recursion in log space sums all segmentations of a word, and is divided
 by the lattice's mass on words, so that all words sum to one.
 
@@ -36,7 +37,7 @@ from turnmill.llm.words import free_memory, lists, mix, reduce_rows, slices, spa
 HEAD = 400_000
 #: Distinct words that a task holds before it passes its counts on.
 HOLD = 300_000
-#: Share of all piece probability that is dealt by the vocabulary's own scores.
+#: Share of the pieces' probability that the vocabulary's own scores keep if counts re-estimate the pieces.
 OWN = 0.1
 #: How often the pieces' counts are worked out anew.
 ROUNDS = 2
@@ -95,11 +96,33 @@ class Pieces:
         return out
 
 
+def fitted_temperature(scores: np.ndarray, groups: list[np.ndarray], counts: np.ndarray) -> float:
+    """The temperature at which softmaxes of `scores`, one for each of the `groups`, make `counts` most likely.
+
+    With b = 1 / temperature the likelihood is concave; its slope is what was counted less what is expected.
+    """
+    wanted = sum(float(counts[g] @ scores[g]) for g in groups)
+
+    def slope(b: float) -> float:
+        expected = 0.0
+        for g in groups:
+            weight = np.exp(b * (scores[g] - scores[g].max()))
+            expected += counts[g].sum() * float(weight @ scores[g]) / weight.sum()
+        return wanted - expected
+
+    low, high = 1e-3, 1e3
+    for _ in range(100):
+        middle = math.sqrt(low * high)
+        low, high = (middle, high) if slope(middle) > 0 else (low, middle)
+    return 1 / math.sqrt(low * high)
+
+
 class Lattice:
-    """log-probabilities of words under the pieces' unigram model; `counts` are the pieces' counts in training texts,
-    `stops` the number of words there."""
+    """log-probabilities of words under the pieces' unigram model. `counts` are the pieces' counts in training texts and
+    `stops` the number of words there: they set the temperature of the vocabulary's scores and the chance that a word
+    stops. `own` is the share of the scores in the pieces' probabilities; the rest is in proportion to the counts."""
 
-    def __init__(self, path: str, counts: np.ndarray | None = None, stops: float = 0.0):
+    def __init__(self, path: str, counts: np.ndarray | None = None, stops: float = 0.0, own: float = 1.0):
         model = _vocabulary(path)
         size = model.get_piece_size()
         usable = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i))]
@@ -109,17 +132,19 @@ class Lattice:
         inner = np.zeros(size, bool)
         inner[usable] = True
         inner &= ~starts
-        # A better score ranks higher; ranks as probabilities by Zipf's law.
+        # The file's scores are merge ranks; as log-probabilities by Zipf's law, up to the temperature.
         rank = np.argsort(np.argsort([-model.get_score(i) for i in range(size)], kind="stable"), kind="stable")
-        zipf = 1 / (rank + 2.7)
+        scores = -np.log(rank + 2.7)
+        self.temperature = 1.0 if counts is None else fitted_temperature(scores, [np.flatnonzero(g) for g in (starts, inner)], counts)
+        weights = np.exp(scores / self.temperature)
         counts = np.zeros(size) if counts is None else counts
         going_on = counts[inner].sum()
         stop = (stops + 1) / (stops + going_on + 2)
         log = np.full(size, -np.inf)
         for group, scale in ((starts, 1.0), (inner, 1 - stop)):
             seen = counts[group].sum()
-            own = zipf[group] / zipf[group].sum()
-            log[group] = np.log(scale * (OWN * own + (1 - OWN) * counts[group] / seen if seen else own))
+            scored = weights[group] / weights[group].sum()
+            log[group] = np.log(scale * (own * scored + (1 - own) * counts[group] / seen if seen else scored))
         self.size, self.log, self.stop = size, log, math.log(stop)
         byte_ids = {int(names[i][1:-1], 16): i for i in usable if model.is_byte(i)}
         later = [i for i in usable if inner[i] and not model.is_byte(i)]
@@ -354,6 +379,7 @@ def lattice_scores(
     vocabulary: str | None = None,
     head: int = HEAD,
     rounds: int = ROUNDS,
+    reestimate: bool = False,
 ) -> DataFrame:
     """Scores every text of `docs` after learning from the rows where the column `training` holds.
 
@@ -361,7 +387,8 @@ def lattice_scores(
     in training), train_tokens, base_score (unigrams with 0.5 added to each count) and
     score (the lattice's marginal probability of the text), both log10. A null text is an
     empty one, just an end; ids may be null or repeat and are passed on. Without training
-    rows base_score is 0 and the vocabulary's own scores are the lattice's. Rows that repeat
+    rows base_score is 0 and the vocabulary's own scores, at temperature 1, are the lattice's.
+    `reestimate` lets the training texts' counts set the pieces' probabilities. Rows that repeat
     are scored one by one; an empty table gives an empty table; other columns are ignored.
     Words are told apart by a 64-bit hash and their length.
     """
@@ -377,7 +404,7 @@ def lattice_scores(
     scale = tokens + 0.5 * (types + 1)
     lattice = shelf.broadcast(Lattice(path))
     for _ in range(rounds if sums[0] else 0):
-        lattice = shelf.broadcast(Lattice(path, piece_counts(table, lattice), float(sums[0])))
+        lattice = shelf.broadcast(Lattice(path, piece_counts(table, lattice), float(sums[0]), OWN if reestimate else 1.0))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice.value
