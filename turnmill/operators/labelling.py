@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnmill.functions import constants as C
 from turnmill.functions import text as T
 from turnmill.operators.prefix import running_total
+from turnmill.operators.sessions import hash_order
 
 
 def within_budget(rows: DataFrame, key: str, cost: str, *, budget: int, call: int) -> DataFrame:
@@ -88,3 +90,25 @@ def overall(comparison: DataFrame) -> DataFrame:
     )
     passed = (F.col("cost_reduction") > 15) & (F.col("accuracy_delta") >= -0.05)
     return found.withColumn("status", F.when(passed, "PASSED").otherwise("NEEDS_IMPROVEMENT"))
+
+
+def collected(rows: DataFrame, key: str, label: str, first: int, least: int, draws: int = 3, growth: float = 1.5) -> DataFrame:
+    """Rows drawn again and again until each class has `least`: key, label, draw.
+
+    Draws follow one order by hash, each `growth` times the one before (rounded down), the first of `first` rows; so what
+    later draws add is known without reading again, and only the rows of all draws together are ever ordered. The classes
+    are those that occur in them. After `draws` draws the collection ends whatever it has.
+    """
+    sizes = [first]
+    while len(sizes) < draws:
+        sizes.append(int(sizes[-1] * growth))
+    taken = rows.select(key, label, hash_order(F.col(key), "draw").alias("_h")).orderBy("_h", key).limit(sum(sizes))
+    taken = taken.withColumn("_n", F.row_number().over(W.orderBy("_h", key)))  # of the draws' size
+    draw = F.lit(draws)
+    for k in range(draws - 1, 0, -1):
+        draw = F.when(F.col("_n") <= sum(sizes[:k]), k).otherwise(draw)
+    taken = taken.withColumn("draw", draw)
+    place = F.row_number().over(W.partitionBy(label).orderBy("_n"))
+    by_class = taken.withColumn("_k", place).groupBy(label).agg(F.coalesce(F.min(F.when(F.col("_k") == least, F.col("draw"))), F.lit(draws)).alias("enough"))
+    needed = by_class.agg(F.max("enough").alias("needed"))
+    return taken.join(F.broadcast(needed)).where("draw <= needed").select(key, label, F.col("draw").cast("int").alias("draw"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.operators.policies import gated
+from turnmill.sources.shared import written
 
 
 def train_router(rows: DataFrame, features: list[str], label: str, seed: int = 42, trees: int = 30) -> PipelineModel:
@@ -20,9 +24,14 @@ def train_router(rows: DataFrame, features: list[str], label: str, seed: int = 4
     return Pipeline(stages=[vector, forest]).fit(rows)
 
 
-def calibrate(model: PipelineModel, rows: DataFrame, label: str, classes: int) -> list:
+def _with_shares(model: PipelineModel | BoostedRouter, rows: DataFrame) -> DataFrame:
+    out = model.transform(rows)
+    return out.withColumn("shares", F.col("probability") if isinstance(model, BoostedRouter) else vector_to_array("probability"))
+
+
+def calibrate(model: PipelineModel | BoostedRouter, rows: DataFrame, label: str, classes: int) -> list:
     """One isotonic curve per class, from the model's share for it to how often it is right."""
-    scored = model.transform(rows).withColumn("shares", vector_to_array("probability"))
+    scored = _with_shares(model, rows)
     curves = []
     for k in range(classes):
         one = scored.select(F.get("shares", F.lit(k)).alias("features"), (F.col(label) == k).cast("double").alias("label"))
@@ -30,9 +39,9 @@ def calibrate(model: PipelineModel, rows: DataFrame, label: str, classes: int) -
     return curves
 
 
-def predict(model: PipelineModel, rows: DataFrame, curves: list | None = None) -> DataFrame:
+def predict(model: PipelineModel | BoostedRouter, rows: DataFrame, curves: list | None = None) -> DataFrame:
     """Adds shares (an array that sums to one), class_id and confidence."""
-    out = model.transform(rows).withColumn("shares", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction", "vector")
+    out = _with_shares(model, rows).drop("rawPrediction", "probability", "prediction", "vector")
     for k, curve in enumerate(curves or []):
         out = out.withColumn("features", F.get("shares", F.lit(k)))
         out = curve.transform(out).withColumnRenamed("prediction", f"_c{k}").drop("features")
@@ -51,6 +60,80 @@ def routed_by_model(scored: DataFrame, names: list[str], fallback, least: float
     return out.withColumn("action", gated(F.col("route"), F.col("confidence"), fallback, least))
 
 
+class BoostedRouter:
+    """Boosted trees, one set against the rest for each class, over one vector of features."""
+
+    def __init__(self, vector: VectorAssembler, models: list[GBTClassificationModel | None]):
+        self.vector, self.models = vector, models
+
+    @classmethod
+    def fit(cls, rows: DataFrame, features: list[str], label: str, classes: int, *, rounds: int = 20, depth: int = 4, seed: int = 42) -> "BoostedRouter":
+        """`label` is the class number. The vectors are worked out once, and classes are fitted side by side. A class that no
+        row or every row has needs no trees."""
+        vector = VectorAssembler(inputCols=features, outputCol="vector", handleInvalid="keep")
+        held = written(vector.transform(rows.select(*features, F.col(label).cast("int").alias("class"))).select("vector", "class"), "boosted")
+        sizes = {r["class"]: r["count"] for r in held.groupBy("class").count().collect()}
+
+        def one(k: int) -> GBTClassificationModel | None:
+            if sizes.get(k, 0) in (0, sum(sizes.values())):
+                return None
+            trees = GBTClassifier(featuresCol="vector", labelCol="is_class", maxIter=rounds, maxDepth=depth, seed=seed)
+            return trees.fit(held.withColumn("is_class", (F.col("class") == k).cast("double")))
+
+        with ThreadPoolExecutor(classes) as pool:
+            models = list(pool.map(one, range(classes)))
+        found = cls(vector, models)
+        found.always = [1.0 if sizes and sizes.get(k, 0) == sum(sizes.values()) else 0.0 for k in range(classes)]
+        return found
+
+    always: list[float] = []
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Adds probability: an array of the classes' chances, each against the rest, divided by their sum."""
+        out = self.vector.transform(rows)
+        for k, model in enumerate(self.models):
+            if model is None:
+                out = out.withColumn(f"_p{k}", F.lit(self.always[k]))
+            else:
+                scored = model.setProbabilityCol(f"_v{k}").setRawPredictionCol(f"_r{k}").setPredictionCol(f"_c{k}").transform(out)
+                out = scored.withColumn(f"_p{k}", vector_to_array(f"_v{k}")[1]).drop(f"_v{k}", f"_r{k}", f"_c{k}")
+        raw = F.array(*[F.col(f"_p{k}") for k in range(len(self.models))])
+        total = F.greatest(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x), F.lit(1e-12))
+        return out.withColumn("probability", F.transform(raw, lambda x: x / total)).drop("vector", *[f"_p{k}" for k in range(len(self.models))])
+
+    def save(self, folder: str) -> None:
+        self.vector.write().overwrite().save(f"{folder}/vector")
+        for k, model in enumerate(self.models):
+            if model is not None:
+                model.write().overwrite().save(f"{folder}/class-{k}")
+        spark = SparkSession.active()
+        kept = [(k, model is not None, always) for k, (model, always) in enumerate(zip(self.models, self.always, strict=True))]
+        spark.createDataFrame(kept, "class int, trees boolean, always double").write.mode("overwrite").parquet(f"{folder}/classes")
+
+    @classmethod
+    def load(cls, folder: str) -> "BoostedRouter":
+        classes = SparkSession.active().read.parquet(f"{folder}/classes").orderBy("class").collect()
+        models = [GBTClassificationModel.load(f"{folder}/class-{r['class']}") if r["trees"] else None for r in classes]
+        found = cls(VectorAssembler.load(f"{folder}/vector"), models)
+        found.always = [r["always"] for r in classes]
+        return found
+
+
+def cross_validated(rows: DataFrame, fold: str, folds: int, fit: Callable[[DataFrame], PipelineModel | BoostedRouter]) -> DataFrame:
+    """`rows` with shares, class_id and confidence from a model that was fitted on the other folds (`fold` counts from 0).
+
+    Folds are fitted side by side. `fit` takes rows and returns a model; the rows are written once before.
+    """
+    held = written(rows, "folds")
+    with ThreadPoolExecutor(folds) as pool:
+        models = list(pool.map(lambda k: fit(held.where(F.col(fold) != k)), range(folds)))
+    out = None
+    for k, model in enumerate(models):
+        part = predict(model, held.where(F.col(fold) == k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def tfidf_pipeline(text: str = "content", size: int = 1000) -> Pipeline:
     """Words of two letters or more and pairs of them, at least in two texts, without stop words, as unit vectors."""
     return Pipeline(

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from turnmill.functions import constants as C
 from turnmill.functions import text as T
 from turnmill.functions.features import basic_text_features
-from turnmill.operators import models, policies
+from turnmill.operators import labelling, models, policies
 from turnmill.plans.analysis import samples
+from turnmill.plans import registry as R
+from turnmill.plans.registry import DOCS, query
 from turnmill.plans.registry import SQL as _SQL
-from turnmill.plans.registry import query
+from turnmill.sources.shared import shared_folder
 from turnmill.sources.tables import documents, read, turns
 from turnmill.streaming import sessions as streams
 from turnmill.streaming import probe, state
@@ -167,19 +169,100 @@ def probe_report(spark, sf_dir):
     return seen.join(done, "op").withColumn("failed", F.coalesce("failed", F.lit(False)))
 
 
-@query()
-def model_routes(spark, sf_dir):
-    """A forest that learns the three-class rules from counts, calibrated, with the heuristic where it is unsure."""
+def _labelled(spark, sf_dir):
+    """Documents with counts as features, and the three-class rules' class as target."""
     c = F.col("content")
     found = {k: v.cast("double") for k, v in basic_text_features(c).items()}
     rows = documents(spark, sf_dir).select("doc_id", "content", *[v.alias(k) for k, v in found.items()])
     ids = F.create_map(*[F.lit(x) for pair in policies.CLASS_IDS.items() for x in pair])
-    rows = rows.withColumn("target", ids[policies.three_class(c)].cast("double"))
+    return rows.withColumn("target", ids[policies.three_class(c)].cast("double")), list(found)
+
+
+_TARGETS = f"""WITH {DOCS}, t AS (SELECT doc_id, CASE {R.three_class('content')} WHEN 'discard' THEN 0 WHEN 'store' THEN 1 ELSE 2 END AS target FROM d)"""
+
+
+def _against_majority(scored, by):
+    """For each value of `by`: rows, how many the largest class has, and whether the model is right more often, or all the time."""
+    right = F.sum((F.col("class_id") == F.col("target")).cast("int"))
+    classes = [F.count_if(F.col("target") == k) for k in range(len(policies.CLASS_IDS))]
+    found = scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.greatest(*classes).alias("majority"), right.alias("right"))
+    return found.select(by, "n", "majority", ((F.col("right") > F.col("majority")) | (F.col("right") == F.col("n"))).alias("better"))
+
+
+_MAJORITY = "count(*) AS n, greatest(count(*) FILTER (target = 0), count(*) FILTER (target = 1), count(*) FILTER (target = 2)) AS majority, true AS better"
+
+
+@query(f"{_TARGETS} SELECT (doc_id % 5)::INT AS fold, {_MAJORITY} FROM t GROUP BY fold")
+def cross_validation(spark, sf_dir):
+    """Five folds of documents, each judged by a forest that has learnt from the other four."""
+    rows, features = _labelled(spark, sf_dir)
+    rows = rows.drop("content").withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+    scored = models.cross_validated(rows, "fold", 5, lambda part: models.train_router(part, features, "target", trees=10))
+    return _against_majority(scored, "fold")
+
+
+@query(f"{_TARGETS} SELECT model, {_MAJORITY} FROM t, (SELECT unnest(['forest', 'boosted']) AS model) WHERE doc_id % 4 = 3 GROUP BY model")
+def model_comparison(spark, sf_dir):
+    """A forest and boosted trees (saved, loaded, calibrated) on documents that neither has seen."""
+    rows, features = _labelled(spark, sf_dir)
+    rows = rows.drop("content")
+    part = F.col("doc_id") % 4
+    train, curve, test = rows.where(part < 2), rows.where(part == 2), rows.where(part == 3)
+    forest = models.train_router(train, features, "target")
+    folder = shared_folder(spark, "boosted")
+    models.BoostedRouter.fit(train, features, "target", len(policies.CLASS_IDS)).save(folder)
+    boosted = models.BoostedRouter.load(folder)
+    out = None
+    for name, model in (("forest", forest), ("boosted", boosted)):
+        scored = models.predict(model, test, models.calibrate(model, curve, "target", len(policies.CLASS_IDS)))
+        scored = scored.select("target", "class_id").withColumn("model", F.lit(name))
+        out = scored if out is None else out.unionByName(scored)
+    return _against_majority(out, "model")
+
+
+@query("SELECT count(*) AS documents, true AS bounded, true AS unit_vectors FROM documents")
+def tfidf_features(spark, sf_dir):
+    """The learned policies' text features over all documents: how many there are, at most 1,000 of words and 1,000 of pairs,
+    and unit vectors but for texts without any."""
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("content", F.lit("")).alias("content"))
+    fitted = models.tfidf_pipeline().fit(docs)
+    weights = models.vector_to_array(F.col("tfidf"))
+    found = fitted.transform(docs).select("doc_id", F.size(weights).alias("size"), F.aggregate(weights, F.lit(0.0), lambda a, x: a + x * x).alias("norm"))
+    return found.agg(
+        F.count(F.lit(1)).alias("documents"), (F.max("size") <= 2000).alias("bounded"), F.every((F.abs(F.col("norm") - 1) < 1e-9) | (F.col("norm") == 0)).alias("unit_vectors")
+    )
+
+
+@query(
+    """WITH o AS (SELECT doc_id, quality, row_number() OVER (ORDER BY md5('draw|' || doc_id), doc_id) AS n FROM labels),
+    t AS (SELECT *, CASE WHEN n <= 60 THEN 1 WHEN n <= 150 THEN 2 ELSE 3 END AS draw, row_number() OVER (PARTITION BY quality ORDER BY n) AS k FROM o WHERE n <= 285),
+    e AS (SELECT max(enough) AS needed FROM (SELECT coalesce(min(CASE WHEN k = 50 THEN draw END), 3) AS enough FROM t GROUP BY quality))
+    SELECT doc_id, quality, draw::INT AS draw FROM t, e WHERE draw <= needed"""
+)
+def collected_labels(spark, sf_dir):
+    """Labels drawn until each class has 50."""
+    return labelling.collected(read(spark, sf_dir, "labels"), "doc_id", "quality", 60, 50)
+
+
+@query("SELECT event_type AS op, count(*) AS n, sum(k)::BIGINT AS total, min(k) AS least, max(k) AS most FROM (SELECT event_type, json_extract_string(props, '$.k')::INT AS k FROM events) WHERE k >= 50 GROUP BY event_type")
+def event_properties(spark, sf_dir):
+    """Events' properties as variants, with the numbers that queries filter on as columns of their own beside them."""
+    events = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("op"), F.try_parse_json("props").alias("props"))
+    folder = shared_folder(spark, "event_properties")
+    events.withColumn("k", F.try_variant_get("props", "$.k", "int")).write.parquet(f"{folder}/rows")
+    kept = spark.read.parquet(f"{folder}/rows").where("k >= 50")  # reaches the scan, and the variants aren't read
+    return kept.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.min("k").alias("least"), F.max("k").alias("most"))
+
+
+@query()
+def model_routes(spark, sf_dir):
+    """A forest that learns the three-class rules from counts, calibrated, with the heuristic where it is unsure."""
+    rows, found = _labelled(spark, sf_dir)
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    model = models.train_router(rows.where(learn < 2), list(found), "target")
+    model = models.train_router(rows.where(learn < 2), found, "target")
     curves = models.calibrate(model, rows.where(learn == 2), "target", len(policies.CLASS_IDS))
     scored = models.predict(model, rows, curves)
-    out = models.routed_by_model(scored, list(policies.CLASS_IDS), policies.heuristic_action(c, F.lit("user")))
+    out = models.routed_by_model(scored, list(policies.CLASS_IDS), policies.heuristic_action(F.col("content"), F.lit("user")))
     return out.select("doc_id", "route", "confidence", "abstained", "action", F.col("target").cast("int").alias("target"))
 
 
