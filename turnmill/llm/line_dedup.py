@@ -37,6 +37,8 @@ CELLS = 1 << 23
 #: Keys for the first test, and how many smallest tokens make one.
 KEYS, MINIMA = 3, 3
 PERCENT = 80
+#: Settled classes of one token beyond which they are joined apart. Affects speed only.
+CROWD = 64
 #: 64-bit words of the wide parity bitmap (a power of two), which still tells lines of hundreds of words apart.
 WIDE = 8
 
@@ -238,7 +240,7 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: S
 
     def ordered(rows: DataFrame, x: str, y: str) -> DataFrame:
         pair = [F.least(f"{x}.class", f"{y}.class").alias("a"), F.greatest(f"{x}.class", f"{y}.class").alias("b")]
-        return rows.select(*pair).distinct()
+        return rows.select(*pair)
 
     leading = classes.select("doc_id", "line", "class", "n", "bits", F.explode("keys").alias("token"))
     # Written, so that Spark can split what joins a frequent key; a key of one class only meets itself.
@@ -247,7 +249,7 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: S
     earliest = shelf.put(earliest)
     x, y = leading.drop("doc_id", "line").alias("x"), earliest.drop("doc_id", "line").alias("y")
     tries = x.join(y, (F.col("x.token") == F.col("y.token")) & fits("x", "y", F.col("x.n"), F.col("y.n")))
-    settled = _verified(ordered(tries, "x", "y"), classes, texts, percent, shelf)
+    settled = _verified(ordered(tries, "x", "y").distinct(), classes, texts, percent, shelf)
 
     flagged = classes.select("class", "n", "bits", "tokens").join(
         sized(settled).withColumn("settled", F.lit(1)), "class", "left"
@@ -265,17 +267,22 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: S
         low = s.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
         return F.shiftright(s, 32).cast("int"), F.shiftright(low, 2), F.shiftright(low, 1).bitwiseAND(1), low.bitwiseAND(1)
 
-    (nx, px, ix, _), (ny, py, iy, _) = part("x"), part("y")
-    # Only unsettled classes look for partners, so the settled ones of a large group never meet. Cheap conditions come first.
+    (nx, px, ix, sx), (ny, py, iy, sy) = part("x"), part("y")
+    # Settled classes don't look for each other. Where a token has many, they are set apart and only met by unsettled ones;
+    # all others are one table that joins itself, so that both sides share a shuffle.
+    is_settled = F.col("state").bitwiseAND(F.lit(1)) == 1
+    crowded = postings.where(is_settled).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    crowded = shelf.put(crowded.select("token"))
+    marked = postings.join(sized(crowded).withColumn("crowded", F.lit(True)), "token", "left")
+    main = marked.where(F.col("crowded").isNull() | ~is_settled).drop("crowded")
+    apart = marked.where(F.col("crowded")).drop("crowded")
     enough = F.least(nx - px, ny - py) >= required(nx + ny, percent)
-    pairs = postings.where(F.col("state").bitwiseAND(F.lit(1)) == 0).alias("x").join(
-        postings.alias("y"),
-        (F.col("x.token") == F.col("y.token"))
-        & (F.when(ny <= nx, iy).otherwise(ix) > 0)
-        & fits("x", "y", nx, ny)
-        & enough,
-    )
-    others = _verified(ordered(pairs, "x", "y"), classes, texts, percent, shelf)
+    # Each condition takes in both sides, so that both stay the same table; cheap ones come first.
+    alike = (F.col("x.token") == F.col("y.token")) & fits("x", "y", nx, ny) & enough
+    within = main.alias("x").join(main.alias("y"), alike & (F.greatest(1 - iy, ny - nx) <= 0) & (sx + sy < 2))
+    across = apart.where(~is_settled).alias("x").join(apart.where(is_settled).alias("y"), alike & (F.when(ny <= nx, iy).otherwise(ix) > 0))
+    pairs = ordered(within, "x", "y").union(ordered(across, "x", "y")).distinct()
+    others = _verified(pairs, classes, texts, percent, shelf)
     return shelf.put(settled.union(others).distinct())
 
 
