@@ -155,14 +155,18 @@ def test_cuts_stay_under_the_capacity_and_near_equal_parts(spark, sizes, shards)
         assert sorted(Counter(b - a for a, b in zip([0, *cuts], cuts)).items()) == [(6, 3), (7, 6), (30, 1)]  # noqa: B905
 
 
-@pytest.mark.parametrize("shards", [3, 7, 12])
-def test_no_shard_is_above_the_best_contiguous_cut(spark, shards):
+@pytest.mark.parametrize("shards,bits,law", [(3, 3, "near"), (7, 16, "near"), (12, 5, "near"), (12, 4, "lumpy"), (5, 6, "lumpy")])
+def test_no_shard_is_above_the_best_contiguous_cut(spark, shards, bits, law):
     """The whole operator against brute force over its atomic groups in their order, large ones set apart."""
     rng = random.Random(shards)
     rows = [(i, words(rng, rng.randint(0, 60)), "en", "a", 0) for i in range(80)]
-    rows += [(200 + i, rows[i % 5][1], "en", "a", 0) for i in range(40)] + [(900, "long " * 6000, "en", "a", 0)]
+    rows += [(200 + i, rows[i % 5][1], "en", "a", 0) for i in range(40)]
+    if law == "lumpy":  # a few groups that are below an equal share, but not by much
+        rows += [(300 + i, words(rng, 500 + 60 * i), "en", "a", 0) for i in range(shards)]
+    else:
+        rows += [(900, "long " * 6000, "en", "a", 0)]
     docs = table(spark, rows)
-    unit = {r["doc_id"]: r["u"] for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(sharding.UNITS)).alias("u")).collect()}
+    unit = {r["doc_id"]: r["u"] for r in docs.select("doc_id", F.xxhash64("text").alias("u")).collect()}
     sizes = Counter()
     for d, t, *_ in rows:
         sizes[unit[d]] += len(t.encode()) + 16
@@ -174,25 +178,42 @@ def test_no_shard_is_above_the_best_contiguous_cut(spark, shards):
         hot.add(u)
     cold = [n for u, n in sorted(sizes.items()) if u not in hot]
     best = next(c for c in range(max(cold), sum(cold) + 1) if greedy(cold, c) <= left)
+    groups = spark.createDataFrame([(u, n) for u, n in sizes.items() if u not in hot], "hash long, bytes long")
+    plan = sharding.narrowed(groups, left, bits).first()
+    assert plan["capacity"] == best  # over single groups, though the blocks hold several
     found, home = Counter(), {}
-    for r in sharding.shard_documents(docs, shards).collect():
+    for r in sharding.shard_documents(docs, shards, bits=bits).collect():
         found[r["shard"]] += r["size"]
         assert home.setdefault(unit[r["doc_id"]], r["shard"]) == r["shard"]
-    assert hot and sum(found.values()) == sum(sizes.values())
+    assert (law == "lumpy" or hot) and sum(found.values()) == sum(sizes.values())
     assert all(found[home[u]] == sizes[u] for u in hot)
     assert max(n for s, n in found.items() if s not in {home[u] for u in hot}) <= best
     order = [home[u] for u in sorted(sizes) if u not in hot]
     assert order == sorted(order)  # contiguous
 
 
+def test_most_blocks_are_never_split(spark):
+    """Ends are searched among few groups: blocks away from them stay whole."""
+    groups = spark.range(20_000).select(F.xxhash64("id").alias("hash"), (F.pmod(F.hash("id"), F.lit(900)) + 100).cast("long").alias("bytes"))
+    rows = sorted((r["hash"], r["bytes"]) for r in groups.collect())
+    plan = sharding.narrowed(groups, 8, 10).first()
+    cold = [n for _, n in rows]
+    low, high = max(cold), sum(cold)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if greedy(cold, mid) <= 8 else (mid + 1, high)
+    assert plan["capacity"] == low
+    assert sum(b["bytes"] for b in plan["blocks"]) == sum(cold) and len(plan["blocks"]) < 5_000
+
+
 def test_one_group_with_a_third_of_the_bytes_has_its_own_shard(spark):
     rng = random.Random(4)
     rows = [(i, words(rng, 30), "en", "a", 0) for i in range(2000)]
     hot = "the same text again and again"
     rest = sum(len(t.encode()) + 16 for _, t, *_ in rows)
     rows += [(5000 + i, hot, "en", "a", 0) for i in range(rest // 2 // (len(hot) + 16))]
-    unit = table(spark, [(1, hot, None, None, None)]).select(F.pmod(F.xxhash64("text"), F.lit(sharding.UNITS))).first()[0]
-    near = spark.range(1_000_000).select(F.concat(F.lit("t"), "id").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(sharding.UNITS)) == unit)
+    unit = table(spark, [(1, hot, None, None, None)]).select(F.shiftright(F.xxhash64("text"), 64 - sharding.BITS)).first()[0]
+    near = spark.range(1_000_000).select(F.concat(F.lit("t"), "id").alias("t")).where(F.shiftright(F.xxhash64("t"), 64 - sharding.BITS) == unit)
     beside = [r["t"] for r in near.collect()]
     assert beside  # texts that share the hot unit stay with the cold rows
     rows += [(90_000 + i, t, "en", "a", 0) for i, t in enumerate(beside)]
