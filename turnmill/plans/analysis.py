@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnmill.functions import constants as C
 from turnmill.functions import text as T
 from turnmill.operators import filters, metrics, policies, retrieval, sessions, summaries
+from turnmill.operators.text_index import TextIndex
 from turnmill.operators.vector_index import VectorIndex
 from turnmill.plans import registry as R
 from turnmill.plans.registry import DOCS, TURNS, query
@@ -127,6 +128,33 @@ def tfidf_topk(spark, sf_dir):
     return retrieval.tfidf_top_k(documents(spark, sf_dir), query_texts(spark, sf_dir), 5)
 
 
+def _kept_postings(spark, sf_dir, name):
+    """All documents in an index that was built on nine tenths of them, got the rest later, and is read again."""
+    items = documents(spark, sf_dir)
+    folder = shared_folder(spark, name)
+    later = F.col("doc_id") % 10 == 9
+    index = TextIndex.build(items.where(~later), folder)
+    index.add(items.where(later))
+    index.refresh()
+    return TextIndex(spark, folder)
+
+
+@query(f"WITH {DOCS}, {_TERMS} {_top('tf')}")
+def text_index_topk(spark, sf_dir):
+    """The kept index gives what `tfidf_topk` gives."""
+    return _kept_postings(spark, sf_dir, "text_index_topk").search(query_texts(spark, sf_dir), 5)
+
+
+@query(
+    f"WITH {DOCS}, {_TERMS} SELECT count(DISTINCT query_id) AS queries, count(*) AS matches, true AS fewer_read FROM dw JOIN qw USING (term)"
+)
+def text_index_reads(spark, sf_dir):
+    """Postings of the queries' terms, and whether the searches read fewer than all of them."""
+    blocks = _kept_postings(spark, sf_dir, "text_index_reads").needed(query_texts(spark, sf_dir), 5)
+    read = F.sum(F.when(F.col("read"), F.col("n")).otherwise(0))
+    return blocks.agg(F.count_distinct("query_id").alias("queries"), F.sum("n").cast("long").alias("matches"), (read < F.sum("n")).alias("fewer_read"))
+
+
 @query(f"WITH {DOCS}, {_JACCARD}, r AS (SELECT query_id, doc_id, round(jaccard, 9) AS score FROM ja) {_top('r')}")
 def jaccard_topk(spark, sf_dir):
     return retrieval.jaccard_top_k(documents(spark, sf_dir), query_texts(spark, sf_dir), 5)
