@@ -71,7 +71,7 @@ def test_configuration(spark):
 
 
 def test_golden_sets_freeze(spark, tmp_path):
-    golden = generators.golden(spark, 64)
+    golden = generators.golden(spark.range(64))
     assert golden.count() == 256 and golden.select("id").distinct().count() == 256
     manifest = sinks.freeze(golden, str(tmp_path / "golden")).collect()
     frame = spark.createDataFrame(manifest, "stratum string, sha256 string")

@@ -9,6 +9,8 @@ from turnmill.functions import constants as C
 from turnmill.functions import features, pricing
 from turnmill.functions import text as T
 from turnmill.operators import filters, metrics, policies, retrieval, sessions, summaries
+from turnmill.plans import evaluation
+from turnmill.sources import generators
 
 
 def one(spark, column, **values):
@@ -199,3 +201,16 @@ def test_summaries(spark):
 
 def test_budget_constants():
     assert [b for b, _, _ in C.BUDGETS] == ["minimal", "standard", "premium", "unlimited"]
+
+
+def test_the_fixed_cases_of_the_benchmark(spark):
+    cases = [("cost", "user", x, None) for x in C.BENCHMARK_MESSAGES] + [("routing", "user", x, y) for x, y in C.BENCHMARK_CASES]
+    got = {r["part"]: r for r in evaluation.benchmark(spark.createDataFrame(cases, "part string, speaker string, content string, expected string")).collect()}
+    assert (got["cost"]["n"], got["routing"]["n"]) == (len(C.BENCHMARK_MESSAGES), len(C.BENCHMARK_CASES))
+    assert 0 < got["cost"]["stored"] < len(C.BENCHMARK_MESSAGES) and got["routing"]["correct"] > len(C.BENCHMARK_CASES) / 2
+
+
+def test_evaluation_items_take_the_texts_in_turn(spark):
+    rows = generators.evaluation_items(spark.range(30)).orderBy(F.monotonically_increasing_id()).collect()
+    assert [r["content"] for r in rows] == [generators.EVALUATION_TEXTS[i % len(generators.EVALUATION_TEXTS)] for i in range(30)]
+    assert {len(r["content"]) > 20 for r in rows if r["expected_quality"] == 0.8} == {True}

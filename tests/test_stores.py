@@ -66,7 +66,7 @@ def test_events_models_and_labelled_samples_are_written(spark, tmp_path):
 
 
 def test_golden_training_and_csv_sets_read_back(spark, tmp_path):
-    sinks.freeze(generators.golden(spark, 8), str(tmp_path / "golden"))
+    sinks.freeze(generators.golden(spark.range(8)), str(tmp_path / "golden"))
     assert files.read_golden(spark, str(tmp_path / "golden")).count() == 32
     one = files.read_golden(spark, str(tmp_path / "golden"), "semantic_search").collect()
     assert len(one) == 8 and all(r["id"].startswith("S") for r in one)

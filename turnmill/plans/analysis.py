@@ -72,19 +72,22 @@ def budget_compliance(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT * FROM (VALUES ('memory_store', ['fast', 'cheap', 'searchable'], true), ('faiss_store', ['vector', 'semantic', 'fast', 'scalable', 'persistent'], true),
+    f"""WITH b AS (SELECT * FROM (VALUES ('memory_store', ['fast', 'cheap', 'searchable'], true), ('faiss_store', ['vector', 'semantic', 'fast', 'scalable', 'persistent'], true),
     ('file_store', ['persistent', 'cheap', 'searchable', 'scalable'], false)) v(backend, caps, healthy)),
-    w AS (SELECT * FROM (VALUES (['fast']), (['cheap', 'persistent']), (['vector', 'semantic']), (['semantic', 'searchable'])) v(wanted))
-    SELECT backend, array_to_string(wanted, '+') AS wanted, healthy FROM b, w WHERE list_has_all(caps, wanted)"""
+    w AS (SELECT * FROM (VALUES (0, ['fast']), (1, ['cheap', 'persistent']), (2, ['vector', 'semantic']), (3, ['semantic', 'searchable'])) v(need, wanted)),
+    {TURNS}, n AS (SELECT length(coalesce(content, '')) % 4 AS need, count(*) AS turns FROM t GROUP BY 1)
+    SELECT backend, array_to_string(wanted, '+') AS wanted, healthy, turns FROM b, w JOIN n USING (need) WHERE list_has_all(caps, wanted)"""
 )
 def capability_match(spark, sf_dir):
+    """Which backends could take how many turns, by the capabilities that each turn needs."""
     rows = [(n, caps, n != "file_store") for n, caps in C.BACKENDS]
     backends = spark.createDataFrame(rows, "backend string, caps array<string>, healthy boolean")
+    needs = turns(spark, sf_dir).groupBy((F.length(F.coalesce("content", F.lit(""))) % 4).alias("need")).agg(F.count(F.lit(1)).alias("turns"))
     parts = None
-    for wanted in (["fast"], ["cheap", "persistent"], ["vector", "semantic"], ["semantic", "searchable"]):
-        one = backends.where(filters.has_capabilities(F.col("caps"), wanted)).select("backend", F.lit("+".join(wanted)).alias("wanted"), "healthy")
+    for need, wanted in enumerate((["fast"], ["cheap", "persistent"], ["vector", "semantic"], ["semantic", "searchable"])):
+        one = backends.where(filters.has_capabilities(F.col("caps"), wanted)).select("backend", F.lit("+".join(wanted)).alias("wanted"), "healthy", F.lit(need).alias("need"))
         parts = one if parts is None else parts.union(one)
-    return parts
+    return needs.join(parts, "need").drop("need")
 
 
 @query(
@@ -579,23 +582,23 @@ def hourly_telemetry(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT range AS i FROM range(64)), x AS (SELECT i, ['Alice', 'Bob', 'Carol', 'Diego', 'Erin'][i % 5 + 1] AS name FROM r)
+    """WITH r AS (SELECT item_id AS i FROM benchmark), x AS (SELECT i, ['Alice', 'Bob', 'Carol', 'Diego', 'Erin'][i % 5 + 1] AS name FROM r)
     SELECT 'F' || i AS id, 'factual_lookup' AS stratum, 'Order ' || (4000 + i) || ' for ' || name || ' is ready for pickup at 5pm on 04/2' || (i % 10) || '/2025.' AS content,
     'What''s the pickup time for order ' || (4000 + i) || '?' AS query FROM x"""
 )
 def golden_factual(spark, sf_dir):
-    return generators.golden(spark, 64).where(F.col("stratum") == "factual_lookup").select("id", "stratum", "content", "query")
+    return generators.golden(query_texts(spark, sf_dir).select(F.col("query_id").alias("id"))).where(F.col("stratum") == "factual_lookup").select("id", "stratum", "content", "query")
 
 
 @query(
-    f"""WITH g AS (SELECT * FROM (VALUES {', '.join(f"({i}, {R.q(t)})" for i, t in enumerate(generators.EVALUATION_TEXTS))}) v(i, content)),
-    e AS (SELECT n.range AS i, content FROM range(100) n JOIN g ON g.i = n.range % {len(generators.EVALUATION_TEXTS)}), r AS (SELECT *, {R.three_class('content')} AS route, length(content) > 20 AS good FROM e)
+    f"""WITH {DOCS}, r AS (SELECT *, {R.three_class('content')} AS route, length(content) > 20 AS good FROM d WHERE content IS NOT NULL)
     SELECT count(*) FILTER (route = 'discard') AS discarded, count(*) FILTER (route = 'store') AS stored, count(*) FILTER (route = 'compress') AS compressed,
     sum(CASE route WHEN 'discard' THEN 1 WHEN 'store' THEN 8 ELSE 15 END)::BIGINT AS cents, 12 * count(*) AS naive_cents,
     sum(CASE WHEN route <> 'discard' THEN good::INT ELSE CASE WHEN good THEN 0.0 ELSE 0.5 END END)::DOUBLE / count(*) AS accuracy, avg(good::INT) AS naive_accuracy FROM r"""
 )
 def eval_simulation(spark, sf_dir):
-    rows = generators.evaluation_items(spark, 100).withColumn("route", policies.three_class(F.col("content")))
+    rows = documents(spark, sf_dir).where("content is not null").select(F.col("doc_id").alias("id"), "content")
+    rows = generators.evaluation_items(rows).withColumn("route", policies.three_class(F.col("content")))
     good = F.col("expected_quality") > 0.5
     cents, _ = policies.route_cost(F.col("route"))
     credit = F.when(F.col("route") != "discard", good.cast("double")).otherwise(F.when(good, 0.0).otherwise(0.5))

@@ -12,7 +12,7 @@ from turnmill.operators import filters, labelling, metrics, policies, sessions
 from turnmill.plans import registry as R
 from turnmill.plans.registry import DOCS, TURNS, query
 from turnmill.sources import generators
-from turnmill.sources.tables import documents, read, telemetry, turns
+from turnmill.sources.tables import documents, query_texts, read, telemetry, turns
 
 KEY = ["session_id", "turn_no"]
 
@@ -369,16 +369,24 @@ _ACTION = f"f AS (SELECT *, {R.stripped('content')} AS s FROM m), g AS (SELECT *
 
 
 @query(
-    f"""WITH m AS (SELECT *, 'user' AS speaker FROM (VALUES {', '.join(f"('cost', {R.q(x)}, NULL)" for x in C.BENCHMARK_MESSAGES)}, {', '.join(f"('routing', {R.q(x)}, '{y}')" for x, y in C.BENCHMARK_CASES)}) v(part, content, expected)), {_ACTION},
+    f"""WITH {TURNS}, m AS (SELECT speaker, content, CASE WHEN speaker = 'user' THEN 'cost' ELSE 'routing' END AS part,
+    CASE WHEN speaker = 'user' THEN NULL WHEN ({R.three_class('content')}) = 'discard' THEN 'discard' ELSE 'store' END AS expected FROM t WHERE content IS NOT NULL AND speaker IS NOT NULL), {_ACTION},
     c AS (SELECT *, CASE WHEN action = 'drop' THEN 0.0 ELSE ({_COST}) / 100 END AS usd FROM h)
     SELECT part, count(*) AS n, count(*) FILTER (action <> 'drop') AS stored, round(sum(usd), 9) AS usd, round((count(*) * 0.001::DOUBLE - sum(usd)) / (count(*) * 0.001::DOUBLE) * 100, 6) AS reduction_percent,
     count(*) FILTER (expected = CASE WHEN action = 'drop' THEN 'discard' ELSE 'store' END) AS correct FROM c GROUP BY part"""
 )
 def simple_benchmark(spark, sf_dir):
-    cases = [("cost", x, None) for x in C.BENCHMARK_MESSAGES] + [("routing", x, y) for x, y in C.BENCHMARK_CASES]
-    rows = spark.createDataFrame(cases, "part string, content string, expected string")
+    """What the users' turns cost, and how often the heuristic agrees on the others with the three-class router."""
+    rows = turns(spark, sf_dir).where("content is not null and speaker is not null")
+    routed = F.when(policies.three_class(F.col("content")) == "discard", "discard").otherwise("store")
+    user = F.col("speaker") == "user"
+    return benchmark(rows.select("speaker", "content", F.when(user, "cost").otherwise("routing").alias("part"), F.when(~user, routed).alias("expected")))
+
+
+def benchmark(rows):
+    """Per part of `rows` (part, speaker, content, expected): what is stored, its price against the naive one, and agreement."""
     c = F.col("content")
-    rows = rows.withColumn("action", policies.heuristic_action(c, F.lit("user")))
+    rows = rows.withColumn("action", policies.heuristic_action(c, F.col("speaker")))
     usd = F.when(F.col("action") == "drop", 0.0).otherwise(pricing.write_cost(T.token_estimate(c)) / 100)
     naive = F.count(F.lit(1)) * C.NAIVE_USD
     actual = F.when(F.col("action") == "drop", "discard").otherwise("store")
@@ -418,7 +426,11 @@ def default_predictions(spark, sf_dir):
     return rows.withColumn("alternatives", F.array_join(others, ","))
 
 
-# --- generated data -----------------------------------------------------------------------------------------------
+# --- data that is generated from the ids of a table -----------------------------------------------------------------------------------------------
+
+
+def _sessions(spark, sf_dir):
+    return turns(spark, sf_dir).select(F.col("session_id").alias("id")).distinct()
 
 
 def _at(values: list[str], i: str) -> str:
@@ -426,67 +438,71 @@ def _at(values: list[str], i: str) -> str:
 
 
 @query(
-    f"""WITH x AS (SELECT range AS i FROM range(64)) SELECT 'S' || i AS id, 'Our updated ' || {_at(generators.TOPICS, 'i')} || {R.q(generators.CREDIT)} AS content,
+    f"""WITH x AS (SELECT item_id AS i FROM benchmark) SELECT 'S' || i AS id, 'Our updated ' || {_at(generators.TOPICS, 'i')} || {R.q(generators.CREDIT)} AS content,
     'Can you summarize the new ' || {_at(generators.TOPICS, 'i')} || ' policy about billing credits?' AS query FROM x"""
 )
 def golden_semantic(spark, sf_dir):
-    return generators.golden(spark, 64).where("stratum = 'semantic_search'").select("id", "content", "query")
+    return generators.golden(query_texts(spark, sf_dir).select(F.col("query_id").alias("id"))).where("stratum = 'semantic_search'").select("id", "content", "query")
 
 
 @query(
-    f"""WITH x AS (SELECT range AS i FROM range(64)) SELECT 'R' || i AS id, {_at(generators.PEOPLE, 'i')} || ' joined ' || {_at(generators.COMPANIES, 'i')} || ' as a ' || {_at(generators.ROLES, 'i')}
+    f"""WITH x AS (SELECT item_id AS i FROM benchmark) SELECT 'R' || i AS id, {_at(generators.PEOPLE, 'i')} || ' joined ' || {_at(generators.COMPANIES, 'i')} || ' as a ' || {_at(generators.ROLES, 'i')}
     || ' on 2025-03-' || (10 + i % 10) || '.' AS content, 'Which company did ' || {_at(generators.PEOPLE, 'i')} || ' join?' AS query FROM x"""
 )
 def golden_relationship(spark, sf_dir):
-    return generators.golden(spark, 64).where("stratum = 'relationship_memory'").select("id", "content", "query")
+    return generators.golden(query_texts(spark, sf_dir).select(F.col("query_id").alias("id"))).where("stratum = 'relationship_memory'").select("id", "content", "query")
 
 
 @query(
-    f"""WITH x AS (SELECT range AS i FROM range(64)) SELECT 'C' || i AS id, CASE WHEN i % 2 = 0 THEN {_at(generators.ACTIONABLE, 'i')} ELSE {_at(generators.POLITE, 'i')} END AS content,
+    f"""WITH x AS (SELECT item_id AS i FROM benchmark) SELECT 'C' || i AS id, CASE WHEN i % 2 = 0 THEN {_at(generators.ACTIONABLE, 'i')} ELSE {_at(generators.POLITE, 'i')} END AS content,
     CASE WHEN i % 2 = 0 THEN 'What actionable item should I schedule?' ELSE 'Is there anything to store here?' END AS query FROM x"""
 )
 def golden_flow(spark, sf_dir):
-    return generators.golden(spark, 64).where("stratum = 'conversation_flow'").select("id", "content", "query")
+    return generators.golden(query_texts(spark, sf_dir).select(F.col("query_id").alias("id"))).where("stratum = 'conversation_flow'").select("id", "content", "query")
 
 
 _GENERATED = "[" + ", ".join(R.names(t) for _, t in generators.TURN_PATTERNS) + "]"
 
 
 @query(
-    f"""WITH x AS (SELECT range AS i FROM range(203)) SELECT i AS turn_id, {_at([n for n, _ in generators.TURN_PATTERNS], 'i')} AS pattern,
+    f"""WITH x AS (SELECT conv_id * 1000 + turn AS i FROM conversations) SELECT i AS turn_id, {_at([n for n, _ in generators.TURN_PATTERNS], 'i')} AS pattern,
     replace({_GENERATED}[i % 5 + 1][(i // 5) % 3 + 1], '{{n}}', i::VARCHAR) AS content, CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END AS speaker FROM x"""
 )
 def generated_turns(spark, sf_dir):
-    return generators.pattern_turns(spark, 203)
+    return generators.pattern_turns(turns(spark, sf_dir).select(F.col("item_id").alias("id")))
 
 
 @query(
-    f"""WITH x AS (SELECT range AS i FROM range(100)), c AS (SELECT i, least(i // 33, 2) AS label FROM x)
+    f"""WITH x AS (SELECT doc_id AS i, (SELECT count(*) FROM documents) AS n FROM documents), c AS (SELECT i, least(i // greatest(n // 3, 1), 2) AS label FROM x)
     SELECT i AS id, label::INT AS label, replace([{', '.join(R.names(t) for t in generators.CLASS_TEXTS)}][label + 1][i % 3 + 1], '{{n}}', i::VARCHAR) AS content FROM c"""
 )
 def generated_classes(spark, sf_dir):
-    return generators.class_examples(spark, 100)
+    ids = documents(spark, sf_dir).select(F.col("doc_id").alias("id"))
+    return generators.class_examples(ids, ids.count())
 
 
 @query(
-    f"""WITH x AS (SELECT range AS i FROM range(30)), t AS (SELECT i, i % 6 AS k, unnest(range(4)) AS turn FROM x)
+    f"""WITH x AS (SELECT DISTINCT conv_id AS i FROM conversations), t AS (SELECT i, i % 6 AS k, unnest(range(4)) AS turn FROM x)
     SELECT i AS conversation_id, {_at([n for n, _ in generators.CONVERSATIONS], 'i')} AS template, turn::INT AS turn, CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS speaker,
     replace([{', '.join(R.names(t) for _, t in generators.CONVERSATIONS)}][k + 1][turn + 1], '{{n}}', i::VARCHAR) AS content FROM t"""
 )
 def generated_conversations(spark, sf_dir):
-    return generators.conversations(spark, 30)
+    return generators.conversations(_sessions(spark, sf_dir))
 
 
 @query(
-    f"""WITH x AS (SELECT range AS i FROM range(20)), t AS (SELECT i, unnest(range(5)) AS turn FROM x),
-    g AS (SELECT i AS session, turn::INT AS turn, replace({_at([m for _, m in generators.SCENARIOS], 'i')}, '{{n}}', turn::VARCHAR) AS content FROM t)
+    f"""WITH t AS (SELECT conv_id AS i, turn FROM conversations),
+    g AS (SELECT i AS session, turn, replace({_at([m for _, m in generators.SCENARIOS], 'i')}, '{{n}}', turn::VARCHAR) AS content FROM t)
     SELECT *, {R.three_class('content')} AS action FROM g"""
 )
 def simulated_scenarios(spark, sf_dir):
-    rows = generators.scenarios(spark, 20, 5)
+    rows = generators.scenarios(turns(spark, sf_dir).select(F.col("session_id").alias("id"), F.col("turn_no").alias("turn")))
     return rows.withColumn("action", policies.three_class(F.col("content")))
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {R.q(s)}, {R.q(c)})' for i, (s, c) in enumerate(generators.SAMPLE_TURNS))}) v(turn, speaker, content)")
+@query(
+    f"""WITH x AS (SELECT DISTINCT conv_id AS session FROM conversations),
+    s AS (SELECT * FROM (VALUES {', '.join(f'({i}, {R.q(s)}, {R.q(c)})' for i, (s, c) in enumerate(generators.SAMPLE_TURNS))}) v(turn, speaker, content)) SELECT * FROM x, s"""
+)
 def sample_session(spark, sf_dir):
-    return generators.sample_session(spark)
+    return generators.sample_session(_sessions(spark, sf_dir))

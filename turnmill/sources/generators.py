@@ -1,8 +1,8 @@
-"""Deterministic test data from `range`: golden items in four strata and items for the routing simulation."""
+"""Deterministic test data from the ids of a table: golden items in four strata, turns, conversations and scenarios."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The words that the items are made of.
@@ -77,8 +77,8 @@ def _pick(values: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.col("id") % len(values) + 1).cast("int"))
 
 
-def golden(spark: SparkSession, n: int) -> DataFrame:
-    """`n` items of each stratum: id, stratum, content, query, meta."""
+def golden(ids: DataFrame) -> DataFrame:
+    """An item of each stratum for each `id`: id, stratum, content, query, meta."""
     i, text = F.col("id"), F.col("id").cast("string")
     even = i % 2 == 0
     strata = [
@@ -115,14 +115,13 @@ def golden(spark: SparkSession, n: int) -> DataFrame:
         F.struct(F.concat(F.lit(p), text).alias("id"), F.lit(s).alias("stratum"), c.alias("content"), q.alias("query"), m.alias("meta"))
         for p, s, c, q, m in strata
     ]
-    return spark.range(n).select(F.explode(F.array(*items)).alias("item")).select("item.*")
+    return ids.select(F.explode(F.array(*items)).alias("item")).select("item.*")
 
 
-def evaluation_items(spark: SparkSession, n: int) -> DataFrame:
-    """id, content, speaker, expected_quality: the texts in turn; longer ones count as better."""
-    rows = spark.range(n)
-    content = _pick(EVALUATION_TEXTS)
-    return rows.select(
+def evaluation_items(ids: DataFrame) -> DataFrame:
+    """id, content, speaker, expected_quality: the given `content`, else the texts in turn; longer ones count as better."""
+    content = F.col("content") if "content" in ids.columns else _pick(EVALUATION_TEXTS)
+    return ids.select(
         F.concat(F.lit("eval_"), F.col("id").cast("string")).alias("id"),
         content.alias("content"),
         F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("speaker"),
@@ -138,38 +137,38 @@ def _nested(texts: list[list[str]]) -> Column:
     return F.array(*[F.array(*map(F.lit, t)) for t in texts])
 
 
-def pattern_turns(spark: SparkSession, n: int) -> DataFrame:
-    """`n` turns (turn_id, pattern, content, speaker): the five patterns in turn, so that a remainder goes to the first ones."""
+def pattern_turns(ids: DataFrame) -> DataFrame:
+    """A turn (turn_id, pattern, content, speaker) for each `id`: the five patterns in turn, so that a remainder goes to the first ones."""
     i = F.col("id")
     texts = F.element_at(_nested([t for _, t in TURN_PATTERNS]), (i % len(TURN_PATTERNS) + 1).cast("int"))
     content = _filled(F.element_at(texts, (F.floor(i / len(TURN_PATTERNS)) % 3 + 1).cast("int")), i)
     speaker = F.when(i % 2 == 0, "user").otherwise("assistant")
-    return spark.range(n).select(i.alias("turn_id"), _pick([p for p, _ in TURN_PATTERNS]).alias("pattern"), content.alias("content"), speaker.alias("speaker"))
+    return ids.select(i.alias("turn_id"), _pick([p for p, _ in TURN_PATTERNS]).alias("pattern"), content.alias("content"), speaker.alias("speaker"))
 
 
-def class_examples(spark: SparkSession, n: int) -> DataFrame:
-    """`n` examples (id, label 0 to 2, content), a third of each class; the last takes the remainder."""
+def class_examples(ids: DataFrame, n: int) -> DataFrame:
+    """An example (id, label 0 to 2, content) for each `id` from 0 to `n` - 1, a third of each class; the last takes the rest."""
     i = F.col("id")
     label = F.least(F.floor(i / max(n // 3, 1)), F.lit(2)).cast("int")
     content = _filled(F.element_at(F.element_at(_nested(CLASS_TEXTS), label + 1), (i % 3 + 1).cast("int")), i)
-    return spark.range(n).select("id", label.alias("label"), content.alias("content"))
+    return ids.select("id", label.alias("label"), content.alias("content"))
 
 
-def conversations(spark: SparkSession, n: int) -> DataFrame:
-    """`n` conversations (conversation_id, template, turn, speaker, content) from the templates in turn."""
+def conversations(ids: DataFrame) -> DataFrame:
+    """A conversation (conversation_id, template, turn, speaker, content) for each `id`, from the templates in turn."""
     i = F.col("id")
     texts = F.element_at(_nested([t for _, t in CONVERSATIONS]), (i % len(CONVERSATIONS) + 1).cast("int"))
-    rows = spark.range(n).select("id", _pick([t for t, _ in CONVERSATIONS]).alias("template"), F.posexplode(texts).alias("turn", "text"))
+    rows = ids.select("id", _pick([t for t, _ in CONVERSATIONS]).alias("template"), F.posexplode(texts).alias("turn", "text"))
     speaker = F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant")
     return rows.select(i.alias("conversation_id"), "template", "turn", speaker.alias("speaker"), _filled(F.col("text"), i).alias("content"))
 
 
-def scenarios(spark: SparkSession, sessions: int, turns: int) -> DataFrame:
-    """Sessions (session, turn, content) that play the scenarios in turn."""
-    rows = spark.range(sessions).select(F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+def scenarios(rows: DataFrame) -> DataFrame:
+    """Sessions (session, turn, content) that play the scenarios in turn, for rows (id, turn)."""
     return rows.select(F.col("id").alias("session"), "turn", _filled(_pick([m for _, m in SCENARIOS]), F.col("turn")).alias("content"))
 
 
-def sample_session(spark: SparkSession) -> DataFrame:
-    rows = [(i, s, c) for i, (s, c) in enumerate(SAMPLE_TURNS)]
-    return spark.createDataFrame(rows, "turn int, speaker string, content string")
+def sample_session(ids: DataFrame) -> DataFrame:
+    """The sample session for each `id`: session, turn, speaker, content."""
+    said = F.array(*[F.struct(F.lit(s).alias("speaker"), F.lit(c).alias("content")) for s, c in SAMPLE_TURNS])
+    return ids.select(F.col("id").alias("session"), F.posexplode(said).alias("turn", "x")).select("session", "turn", "x.speaker", "x.content")
