@@ -35,7 +35,8 @@ def test_search_equals_the_one_without_an_index(spark, tmp_path, k):
     items = spark.createDataFrame(rows, ITEMS)
     asked = [*texts(rng, 20, 8), (50, None), (51, "!!"), (52, "nobody knows"), (53, "only here"), (54, "w1"), (55, "here here w1")]
     queries = spark.createDataFrame(asked, QUERIES)
-    index = TextIndex.build(items, str(tmp_path / "index"))
+    index = TextIndex.create(items, str(tmp_path / "index"))
+    index.refresh()
     got = same(index, items, queries, k)
     assert {r["query_id"] for r in got} == {i for i, q in asked if q and any(c.isalnum() for c in q)}
     reads = index.needed(queries, k).groupBy("read").agg(F.sum("n").alias("n")).collect()
@@ -47,18 +48,23 @@ def test_added_items_count_after_a_refresh(spark, tmp_path):
     rows = texts(rng, 120)
     queries = spark.createDataFrame([(1, "w1 w2 w7"), (2, rows[90][1] + " w5"), (3, rows[3][1] + " w9")], QUERIES)
     first, whole = spark.createDataFrame(rows[:80], ITEMS), spark.createDataFrame(rows, ITEMS)
-    index = TextIndex.build(first, str(tmp_path / "index"))
+    index = TextIndex.create(first, str(tmp_path / "index"))
+    index.refresh()
     same(index, first, queries, 3)
     index.add(spark.createDataFrame([*rows[70:], (None, "w1 w2 w7")], ITEMS))  # ten of them are there already
     same(index, first, queries, 3)  # not before a new version
     index.refresh()
     same(TextIndex(spark, index.folder), whole, queries, 3)
     assert index.version() == 2
+    index.refresh()
+    same(index, whole, queries, 3)
+    assert not (tmp_path / "index" / "version=1").exists()
 
 
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], ITEMS)
-    index = TextIndex.build(none, str(tmp_path / "index"))
+    index = TextIndex.create(none, str(tmp_path / "index"))
+    index.refresh()
     queries = spark.createDataFrame([(1, "a word")], QUERIES)
     assert index.search(queries, 3).count() == 0
     index.add(spark.createDataFrame([(7, "a word"), (8, "another")], ITEMS))
@@ -70,6 +76,7 @@ def test_empty_tables(spark, tmp_path):
 def test_items_of_equal_score_go_by_id(spark, tmp_path):
     """Copies share a score, over several blocks of one list; the smaller ids are first."""
     items = spark.createDataFrame([*[(i, "same words here") for i in range(600, 0, -1)], *[(i, "other things") for i in range(700, 900)]], ITEMS)
-    index = TextIndex.build(items, str(tmp_path / "index"))
+    index = TextIndex.create(items, str(tmp_path / "index"))
+    index.refresh()
     got = same(index, items, spark.createDataFrame([(1, "same words"), (2, "things here")], QUERIES), 5)
     assert sorted(r["doc_id"] for r in got if r["query_id"] == 1) == [1, 2, 3, 4, 5]

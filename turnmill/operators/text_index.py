@@ -20,23 +20,26 @@ _META = "version long, items long"
 class TextIndex:
     """`folder` holds the items' term counts, and versions of weights and postings made from them.
 
-    A version has `terms` (term, df, idf), `items` (id, terms with weights, norm) and `postings`: a term's list in blocks
-    of items with similar weights, each with the largest weight in it over the item's norm, `top`. Blocks are dealt by a
-    hash, so a term in a third of all items is no single task's. A line in `meta` makes a version count, once it is whole.
+    A version has `terms` (term, df, idf), `norms` (id, norm) and `postings`: a term's list in blocks of items with similar
+    weights, each with the largest weight in it over the item's norm, `top`. Blocks are dealt by a hash, so a term in a
+    third of all items is no single task's. A line in `meta` makes a version count, once it is whole; the newest two stay.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     @classmethod
-    def build(cls, items: DataFrame, folder: str, *, key: str = "doc_id", text: str = "content") -> TextIndex:
+    def create(cls, items: DataFrame, folder: str, *, key: str = "doc_id", text: str = "content") -> TextIndex:
+        """An index that holds `items`; it can be searched after `refresh`."""
         self = cls(items.sparkSession, folder)
         rows = items.select(F.col(key).alias("id"), T.tokens(F.col(text)).alias("t")).limit(0)
-        self._counts(rows).write.parquet(f"{folder}/counts")
+        self._save(self._counts(rows), "counts")
         self.add(items, key=key, text=text)
-        self.refresh()
         return self
 
+    def _save(self, rows: DataFrame, name: str, mode: str = "overwrite", by: list[str] | None = None) -> None:
+        rows.write.mode(mode).option("compression", "zstd").partitionBy(by or []).parquet(f"{self.folder}/{name}")
+
     @staticmethod
     def _counts(rows: DataFrame) -> DataFrame:
         """(id, len, terms): each item's distinct terms and how often they occur."""
@@ -50,7 +53,7 @@ class TextIndex:
         fresh = items.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(text).alias("x"))
         fresh = fresh.join(self.spark.read.parquet(f"{self.folder}/counts").select("id"), "id", "left_anti")
         tokens = fresh.select("id", F.coalesce(T.tokens(F.col("x")), F.array().cast("array<string>")).alias("t"))
-        self._counts(tokens).write.mode("append").parquet(f"{self.folder}/counts")
+        self._save(self._counts(tokens), "counts", "append")
 
     def version(self) -> int:
         """The newest whole version; 0 if there is none."""
@@ -66,7 +69,7 @@ class TextIndex:
         return self.spark.read.parquet(f"{self.folder}/version={version}/{name}")
 
     def _postings(self, version: int) -> DataFrame:
-        kind = self._read("items", version).schema["id"].dataType.simpleString()
+        kind = self._read("norms", version).schema["id"].dataType.simpleString()
         schema = f"term string, level int, part long, top double, ids array<{kind}>, n int, bucket int"
         return self.spark.read.schema(schema).parquet(f"{self.folder}/version={version}/postings")
 
@@ -74,41 +77,45 @@ class TextIndex:
         """Makes a version of all that was added: idf and norms depend on every item, so weights are worked out anew, from
         counts; no text is read."""
         version = self.version() + 1
-        path = f"{self.folder}/version={version}"
+        path = f"version={version}"
         counts = self.spark.read.parquet(f"{self.folder}/counts")
         n = counts.count()
         flat = counts.select("id", "len", F.explode_outer("terms").alias("x")).select("id", "len", "x.term", "x.n")
-        inverse_document_frequency(flat.where("term is not null"), n).write.mode("overwrite").parquet(f"{path}/terms")
-        weighted = flat.join(self._read("terms", version), "term", "left").withColumn("w", F.col("n") / F.col("len") * F.col("idf"))
-        entry = F.when(F.col("w") != 0, F.struct("term", "w", "df"))
-        norm = F.coalesce(F.sqrt(F.sum(F.col("w") * F.col("w"))), F.lit(0.0))
-        weighted.groupBy("id").agg(F.collect_list(entry).alias("terms"), norm.alias("norm")).write.mode("overwrite").parquet(f"{path}/items")
-        entries = self._read("items", version).select("id", "norm", F.explode("terms").alias("x"))
-        entries = entries.select("id", "x.term", "x.df", (F.col("x.w") / F.col("norm")).alias("share"))
+        self._save(inverse_document_frequency(flat.where("term is not null"), n), f"{path}/terms")
+        terms = self._read("terms", version)
+        w = F.col("n") / F.col("len") * F.col("idf")
+        norm = F.coalesce(F.sqrt(F.sum(w * w)), F.lit(0.0)).alias("norm")
+        self._save(flat.join(terms, "term", "left").groupBy("id").agg(norm), f"{path}/norms")
+        entries = counts.join(self._read("norms", version).where("norm > 0"), "id").select("id", "len", "norm", F.explode("terms").alias("x"))
+        entries = entries.select("id", "len", "norm", "x.term", "x.n").join(terms.where("idf <> 0"), "term")
+        entries = entries.select("id", "term", "df", (w / F.col("norm")).alias("share"))
         level = F.floor(-2 * F.log2("share")).cast("int")
         part = F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / BLOCK)).cast("long")
         blocks = entries.groupBy("term", level.alias("level"), part.alias("part")).agg(F.max("share").alias("top"), F.collect_list("id").alias("ids"))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-        named = blocks.withColumn("bucket", bucket).withColumn("n", F.size("ids"))
-        named.repartition("bucket", "part").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.spark.createDataFrame([(version, n)], _META).write.mode("append").parquet(f"{self.folder}/meta")
+        named = blocks.withColumn("n", F.size("ids")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        self._save(named, f"{path}/postings", by=["bucket"])
+        self._save(self.spark.createDataFrame([(version, n)], _META), "meta", "append")
+        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version={version - 2}")
+        old.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
 
     def _asked(self, queries: DataFrame, version: int) -> DataFrame:
         """(query_id, term, q, norm) of queries with tokens: weights of known terms; a null term if there is none."""
         rows = queries.select(F.col("query_id").alias("id"), T.tokens(F.col("query")).alias("t")).where(F.size("t") > 0)
         flat = self._counts(rows).select("id", "len", F.explode("terms").alias("x")).select("id", "len", "x.term", "x.n")
         weights = flat.join(self._read("terms", version).where("idf <> 0"), "term", "left")
-        weights = weights.select(F.col("id").alias("query_id"), F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"), (F.col("n") / F.col("len") * F.col("idf")).alias("q"))
+        weights = weights.select(F.col("id").alias("query_id"), F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"), (F.col("n") / F.col("len") * F.col("idf")).alias("q"), "idf")
         norm = F.sqrt(F.sum(F.col("q") * F.col("q")).over(W.partitionBy("query_id")))  # one query's own terms
         return written(weights.withColumn("norm", F.coalesce(norm, F.lit(0.0))), "asked")
 
     def _scored(self, pairs: DataFrame, asked: DataFrame, version: int) -> DataFrame:
-        """Exact scores of pairs (query_id, id): items bring their weights, queries theirs."""
-        known = F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "q"))))
+        """Exact scores of pairs (query_id, id): items bring their counts, queries their weights times idf."""
+        entry = F.struct("term", (F.col("q") * F.col("idf")).alias("q"))
+        known = F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), entry)))
         of_query = asked.groupBy("query_id").agg(known.alias("known"), F.max("norm").alias("length"))
-        held = pairs.join(self._read("items", version), "id").join(of_query, "query_id")
-        product = F.aggregate("terms", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at("known", x["term"]), F.lit(0.0)))
-        both = F.col("norm") * F.col("length")
+        counts = self.spark.read.parquet(f"{self.folder}/counts")
+        held = pairs.join(self._read("norms", version), "id").join(counts, "id").join(of_query, "query_id")
+        product = F.aggregate("terms", F.lit(0.0), lambda a, x: a + x["n"] * F.coalesce(F.try_element_at("known", x["term"]), F.lit(0.0)))
+        both = F.col("len") * F.col("norm") * F.col("length")
         return held.select("query_id", "id", F.when(both > 0, F.round(product / both, 9)).otherwise(0.0).alias("score"))
 
     def _bounds(self, asked: DataFrame, version: int) -> DataFrame:
@@ -161,7 +168,7 @@ class TextIndex:
         pairs = written(self._members(self._needed(asked, version, k).where("read"), version), "pairs")
         enough = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= k)
         short = asked.select("query_id").distinct().join(enough, "query_id", "left_anti")
-        ids = self._read("items", version).select("id")
+        ids = self._read("norms", version).select("id")
         first = [r["id"] for r in ids.orderBy("id").limit(2 * k).collect()]  # of these, k at least aren't found yet
         fill = short.select("query_id", F.explode(F.array(*[F.lit(i) for i in first]).cast(f"array<{ids.schema['id'].dataType.simpleString()}>")).alias("id"))
         scored = self._scored(pairs.unionByName(fill).distinct(), asked, version)

@@ -132,11 +132,11 @@ def tfidf_topk(spark, sf_dir):
 
 
 def _kept_postings(spark, sf_dir, name):
-    """All documents in an index that was built on nine tenths of them, got the rest later, and is read again."""
+    """All documents in an index that was given nine tenths of them, got the rest later, and is read again."""
     items = documents(spark, sf_dir)
     folder = shared_folder(spark, name)
     later = F.col("doc_id") % 10 == 9
-    index = TextIndex.build(items.where(~later), folder)
+    index = TextIndex.create(items.where(~later), folder)
     index.add(items.where(later))
     index.refresh()
     return TextIndex(spark, folder)
