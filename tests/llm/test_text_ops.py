@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.util import awkward_rows, table, words
+from tests.llm.util import SF, awkward_rows, table, words
 from turnmill.llm import chat, line_dedup, lm, minhash, queries
 from turnmill.llm import words as w
 from turnmill.llm.common import crc_fold
@@ -363,6 +363,28 @@ def test_scores_are_probabilities_over_all_words(spark, reestimate):
     assert score[junk] < score["seaside"] - 1000
 
 
+def test_held_out_scores_are_near_the_base(spark):
+    """Words of training texts keep their counts: only the price of unseen words, which the base gives one type's share each, sets the two apart."""
+    rows = [r for r in queries.op9_lm_scoring(spark, SF).collect() if r["held_out"]]
+    assert rows and all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    assert sum(r["score"] for r in rows) > 1.4 * sum(r["base_score"] for r in rows)
+
+
+def test_whole_words_and_spelt_words_share_one(spark):
+    """A discount on known words is what unseen words get, and a very peaked vocabulary stays finite."""
+    alone = ["", "a", "b", "ab", "cab", "seaside", "x" * 3000]
+    rows = [(0, "a a a b b ab", "en", "a", 0)] + [(100 + i, x, "en", "a", 0) for i, x in enumerate(alone)]
+    out = lm.lattice_scores(table(spark, rows), F.col("doc_id") < 100, reestimate=True, whole_words=True).where("not training").collect()
+    score = {alone[r["doc_id"] - 100]: r["score"] for r in out}
+    share = {x: 10 ** (s - score[""]) / (1 - 10 ** score[""]) for x, s in score.items() if x}
+    discount = 1 / (1 + 2 * 1)  # of three types, one occurs once and one twice
+    for x, n in (("a", 3), ("b", 2), ("ab", 1)):
+        assert (n - discount) / 6 <= share[x] <= (n - discount) / 6 + discount * 3 / 6
+    assert sum(share.values()) <= 1 + 1e-9 and all(map(math.isfinite, score.values()))
+    peaked = lm.Lattice(lm.default_vocabulary(), np.eye(1, lm.Lattice(lm.default_vocabulary()).size, 300)[0] * 1e6, 1e6)
+    assert np.isfinite(peaked.log_probability(alone[1:])[0]).all()
+
+
 def test_lattice_mass_is_that_of_words():
     """Against a sum over the pieces, each character without a piece spelt in bytes."""
     lattice = lm.Lattice(lm.default_vocabulary())

@@ -10,6 +10,10 @@ themselves become the pieces' probabilities, but for a share `OWN`. A
 forward recursion in log space sums all segmentations of a word, and is divided
 by the lattice's mass on words, so that all words sum to one.
 
+With `whole_words`, a word that training texts have keeps what it has there, less a
+discount, and the lattice, fitted on words that occur once, spells what the
+discounts leave: seen and unseen words together sum to one.
+
 Pieces don't cross words: a text's marginal log-probability is the sum over its
 tokens, and each distinct word is worked out once, in a word table made by a
 shuffle. The recursion runs over many words at once, padded to like lengths.
@@ -136,15 +140,18 @@ class Lattice:
         rank = np.argsort(np.argsort([-model.get_score(i) for i in range(size)], kind="stable"), kind="stable")
         scores = -np.log(rank + 2.7)
         self.temperature = 1.0 if counts is None else fitted_temperature(scores, [np.flatnonzero(g) for g in (starts, inner)], counts)
-        weights = np.exp(scores / self.temperature)
         counts = np.zeros(size) if counts is None else counts
         going_on = counts[inner].sum()
         stop = (stops + 1) / (stops + going_on + 2)
         log = np.full(size, -np.inf)
         for group, scale in ((starts, 1.0), (inner, 1 - stop)):
             seen = counts[group].sum()
-            scored = weights[group] / weights[group].sum()
-            log[group] = np.log(scale * (own * scored + (1 - own) * counts[group] / seen if seen else scored))
+            scored = scores[group] / self.temperature  # in logs: at a low temperature the least would be 0
+            scored -= scored.max() + np.log(np.exp(scored - scored.max()).sum())
+            if seen and own < 1:
+                with np.errstate(divide="ignore"):
+                    scored = np.logaddexp(math.log(own) + scored, np.log((1 - own) * counts[group] / seen))
+            log[group] = math.log(scale) + scored
         self.size, self.log, self.stop = size, log, math.log(stop)
         byte_ids = {int(names[i][1:-1], 16): i for i in usable if model.is_byte(i)}
         later = [i for i in usable if inner[i] and not model.is_byte(i)]
@@ -339,7 +346,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def piece_counts(table: DataFrame, lattice: Broadcast) -> np.ndarray:
-    """How often the training words use each piece of the lattice, all segmentations weighed by their probability."""
+    """How often the words of `table` (word, n) use each piece of the lattice, all segmentations weighed by their probability."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice.value
@@ -350,7 +357,7 @@ def piece_counts(table: DataFrame, lattice: Broadcast) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
         free_memory()
 
-    found = table.where("n > 0").select("word", "n").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = table.select("word", "n").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     counts = np.zeros(lattice.value.size)
     for row in found.collect():  # at most one row for each piece of the vocabulary
         counts[row["piece"]] = row["n"]
@@ -380,6 +387,7 @@ def lattice_scores(
     head: int = HEAD,
     rounds: int = ROUNDS,
     reestimate: bool = False,
+    whole_words: bool = False,
 ) -> DataFrame:
     """Scores every text of `docs` after learning from the rows where the column `training` holds.
 
@@ -388,7 +396,9 @@ def lattice_scores(
     score (the lattice's marginal probability of the text), both log10. A null text is an
     empty one, just an end; ids may be null or repeat and are passed on. Without training
     rows base_score is 0 and the vocabulary's own scores, at temperature 1, are the lattice's.
-    `reestimate` lets the training texts' counts set the pieces' probabilities. Rows that repeat
+    `reestimate` lets the training texts' counts set the pieces' probabilities. `whole_words` gives
+    each training word its count less a discount (Ney's, from how many words occur once and twice), and
+    leaves the rest to the lattice, which then learns from the words that occur once. Rows that repeat
     are scored one by one; an empty table gives an empty table; other columns are ignored.
     Words are told apart by a 64-bit hash and their length.
     """
@@ -397,14 +407,17 @@ def lattice_scores(
     shelf, result = Shelf(spark), Shelf(spark)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), training.alias("training"))
     table = shelf.put(word_table(texts))
-    sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)), *[F.count_if(x) for x in (F.col("n") > 0, F.col("n") == 1, F.col("n") == 2)]).first()
     ends = texts.where("training").count()
     tokens, types = sums[0] + ends, sums[1] + (ends > 0)
     end_share = (ends + 1) / (tokens + 2)
     scale = tokens + 0.5 * (types + 1)
     lattice = shelf.broadcast(Lattice(path))
+    once = whole_words and sums[2] > 0  # words that occur once are most like words that don't
+    learnt, stops = (table.where("n = 1"), sums[2]) if once else (table.where("n > 0"), sums[0])
     for _ in range(rounds if sums[0] else 0):
-        lattice = shelf.broadcast(Lattice(path, piece_counts(table, lattice), float(sums[0]), OWN if reestimate else 1.0))
+        lattice = shelf.broadcast(Lattice(path, piece_counts(learnt, lattice), float(stops), OWN if reestimate else 1.0))
+    discount = min(max(sums[2] / (sums[2] + 2 * sums[3]), 0.1), 0.9) if sums[2] else 0.5
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice.value
@@ -416,13 +429,18 @@ def lattice_scores(
         free_memory()
 
     spelt = result.put(table.mapInArrow(spell, "hash long, size int, n long, spelt double"))
+    word = F.col("spelt")
+    if whole_words and sums[0]:
+        left = discount * sums[1] / sums[0]
+        seen = F.log10((F.col("n") - discount) / F.lit(float(sums[0])) + F.pow(F.lit(10.0), word) * left)
+        word = F.when(F.col("n") > 0, seen).otherwise(word + math.log10(left))
     scored = spelt.select(
         "hash",
         "size",
         "n",
         (F.col("n") > 0).alias("known"),
         F.log10((F.col("n") + 0.5) / F.lit(scale)).alias("base"),
-        (F.col("spelt") + F.lit(math.log10(1 - end_share))).alias("model"),
+        (word + F.lit(math.log10(1 - end_share))).alias("model"),
     )
     least = head_threshold(table, head)
     top = scored.where(F.col("n") >= least).select("hash", "size", "base", "model").toArrow()  # at most `head` rows

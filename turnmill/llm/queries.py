@@ -73,7 +73,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lm.lattice_scores(documents(spark, sf_dir), crc_fold(F.col("doc_id"), 5) != 1)
+    scores = lm.lattice_scores(documents(spark, sf_dir), crc_fold(F.col("doc_id"), 5) != 1, reestimate=True, whole_words=True)
     return scores.select("doc_id", (~F.col("training")).alias("held_out"), *scores.columns[2:])
 
 
