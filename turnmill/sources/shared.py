@@ -18,6 +18,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}/{uuid4()}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds this session's Arrow batches to 1,000 rows and 4 MB, however long texts or blocks are. Spark reads the setting
+    when a query runs, so it stays set."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        spark.conf.set(name, str(min(held, most) if held > 0 else most))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as Parquet in the shared folder: worked out once, of known size, and safe from lost executors."""
     folder = shared_folder(df.sparkSession, name)
