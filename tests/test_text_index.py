@@ -1,10 +1,12 @@
 """The kept text index against the search without one."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from turnmill.functions import text as T
 from turnmill.operators import retrieval
 from turnmill.operators.text_index import TextIndex
 
@@ -80,3 +82,30 @@ def test_items_of_equal_score_go_by_id(spark, tmp_path):
     index.refresh()
     got = same(index, items, spark.createDataFrame([(1, "same words"), (2, "things here")], QUERIES), 5)
     assert sorted(r["doc_id"] for r in got if r["query_id"] == 1) == [1, 2, 3, 4, 5]
+
+
+def test_common_words_deal_out_items_and_not_pairs(spark, tmp_path):
+    """30 queries of words that all items have need each item once."""
+    items = spark.createDataFrame([(i, f"one two {i % 50}") for i in range(200)], ITEMS)
+    index = TextIndex.create(items, str(tmp_path / "index"))
+    index.refresh()
+    queries = spark.createDataFrame([(i, f"one two {i}") for i in range(30)], QUERIES)
+    read = index._members(index.needed(queries, 5).where("read"), index.version())
+    assert read.count() <= 200
+    same(index, items, queries, 5)
+
+
+def test_terms_are_counted_text_by_text(spark, monkeypatch):
+    """No aggregate over all tokens of all texts; counts and weights are right for texts that lower-case oddly, and where most terms are rare."""
+    odd = ["A\u0130b K\u212a9 \u00c9a-B_c", None, "", " ", "x" * 70000 + " y", "\u4e2dA1\u4e2da1", "end", "nul\u0000a A"]
+    items = spark.createDataFrame(list(enumerate(odd)), ITEMS)
+    counted = {r["id"]: (r["len"], {x["term"]: x["n"] for x in r["terms"]}) for r in retrieval.item_terms(items, "doc_id", "content").collect()}
+    for r in items.select("doc_id", T.tokens(F.coalesce("content", F.lit(""))).alias("t")).collect():
+        assert counted[r["doc_id"]] == (len(r["t"]), dict(Counter(r["t"])))
+    rows = spark.createDataFrame([(i, f"one w{i % 7} w{i % 11} only{i}") for i in range(60)], ITEMS)
+    queries = spark.createDataFrame([(i, f"w{i} only{i} w3") for i in range(9)], QUERIES)
+    best = retrieval.tfidf_top_k(rows, queries, 4)
+    assert "Aggregate" not in best._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(retrieval, "HEAD", 2)
+    few = retrieval.tfidf_top_k(rows, queries, 4)
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, few.collect()))

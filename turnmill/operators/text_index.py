@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnmill.functions import text as T
-from turnmill.operators.retrieval import inverse_document_frequency, top_k
+from turnmill.operators.retrieval import Frequent, _best_of_blocks, cosine, inverse_document_frequency, item_terms, top_k
 from turnmill.sources.shared import written
 
 #: Postings that a block holds on average, parts that a term's name is hashed to, and a query's blocks that set its mark.
-BLOCK, BUCKETS, SEEDS = 256, 64, 4
+BLOCK, BUCKETS, SEEDS = 4096, 64, 4
 #: Scores are rounded to 9 places; a bound this close to the mark is still read.
 SLACK = 1e-8
 _META = "version long, items long"
@@ -32,28 +31,23 @@ class TextIndex:
     def create(cls, items: DataFrame, folder: str, *, key: str = "doc_id", text: str = "content") -> TextIndex:
         """An index that holds `items`; it can be searched after `refresh`."""
         self = cls(items.sparkSession, folder)
-        rows = items.select(F.col(key).alias("id"), T.tokens(F.col(text)).alias("t")).limit(0)
-        self._save(self._counts(rows), "counts")
+        self._save(item_terms(items.limit(0), key, text), "counts")
         self.add(items, key=key, text=text)
         return self
 
     def _save(self, rows: DataFrame, name: str, mode: str = "overwrite", by: list[str] | None = None) -> None:
         rows.write.mode(mode).option("compression", "zstd").partitionBy(by or []).parquet(f"{self.folder}/{name}")
 
-    @staticmethod
-    def _counts(rows: DataFrame) -> DataFrame:
-        """(id, len, terms): each item's distinct terms and how often they occur."""
-        exploded = rows.select("id", F.size("t").alias("len"), F.explode_outer("t").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("n"))
-        entry = F.when(F.col("term").isNotNull(), F.struct("term", "n"))
-        return exploded.groupBy("id").agg(F.coalesce(F.max("len"), F.lit(0)).alias("len"), F.collect_list(entry).alias("terms"))
-
     def add(self, items: DataFrame, *, key: str = "doc_id", text: str = "content") -> None:
         """Appends the counts of items whose id isn't there yet (of several texts of one id, the smallest); rows with a null
         id are left out. Only the ids of what is there are read. Searches find them after `refresh`."""
-        fresh = items.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(text).alias("x"))
-        fresh = fresh.join(self.spark.read.parquet(f"{self.folder}/counts").select("id"), "id", "left_anti")
-        tokens = fresh.select("id", F.coalesce(T.tokens(F.col("x")), F.array().cast("array<string>")).alias("t"))
-        self._save(self._counts(tokens), "counts", "append")
+        rows = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("x"))
+        # Only texts of ids that repeat are shuffled.
+        often = written(rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "often")
+        one = rows.join(often, "id", "left_anti").unionByName(rows.join(often, "id", "left_semi").groupBy("id").agg(F.min("x").alias("x")))
+        counts = item_terms(one, "id", "x")
+        fresh = counts.join(self.spark.read.parquet(f"{self.folder}/counts").select("id"), "id", "left_anti")
+        self._save(fresh, "counts", "append")
 
     def version(self) -> int:
         """The newest whole version; 0 if there is none."""
@@ -80,43 +74,44 @@ class TextIndex:
         path = f"version={version}"
         counts = self.spark.read.parquet(f"{self.folder}/counts")
         n = counts.count()
-        flat = counts.select("id", "len", F.explode_outer("terms").alias("x")).select("id", "len", "x.term", "x.n")
-        self._save(inverse_document_frequency(flat.where("term is not null"), n), f"{path}/terms")
+        self._save(inverse_document_frequency(counts.select(F.explode("terms.term").alias("term")), n), f"{path}/terms")
         terms = self._read("terms", version)
-        w = F.col("n") / F.col("len") * F.col("idf")
-        norm = F.coalesce(F.sqrt(F.sum(w * w)), F.lit(0.0)).alias("norm")
-        self._save(flat.join(terms, "term", "left").groupBy("id").agg(norm), f"{path}/norms")
-        entries = counts.join(self._read("norms", version).where("norm > 0"), "id").select("id", "len", "norm", F.explode("terms").alias("x"))
-        entries = entries.select("id", "len", "norm", "x.term", "x.n").join(terms.where("idf <> 0"), "term")
-        entries = entries.select("id", "term", "df", (w / F.col("norm")).alias("share"))
-        level = F.floor(-2 * F.log2("share")).cast("int")
-        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / BLOCK)).cast("long")
-        blocks = entries.groupBy("term", level.alias("level"), part.alias("part")).agg(F.max("share").alias("top"), F.collect_list("id").alias("ids"))
-        named = blocks.withColumn("n", F.size("ids")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        self._save(named, f"{path}/postings", by=["bucket"])
+        frequent = Frequent(terms)
+        squares = F.col("head") + F.coalesce("rest", F.lit(0.0))
+        norms = frequent.weighed(counts.withColumn("key", F.col("id")), "key").join(frequent.norms(counts, terms, "id"), "id", "left")
+        self._save(norms.select("id", (F.sqrt(squares) / F.greatest("len", F.lit(1))).alias("norm")), f"{path}/norms")
+        held = counts.join(self._read("norms", version).where("norm > 0"), "id").select("id", (F.col("len") * F.col("norm")).alias("over"), "terms")
+        # Frequent terms' weights are looked up; only postings of rare terms meet the terms' table, which keeps them dealt by term.
+        common, rare = frequent.flat(held), frequent.flat(held, rare=True).join(terms.where(~frequent.is_held), "term")
+        for mode, entries in (("overwrite", common), ("append", rare)):
+            entries = entries.where("idf <> 0").select("id", "term", "df", (F.col("n") / F.col("over") * F.col("idf")).alias("share"))
+            level = F.floor(-2 * F.log2("share")).cast("int")
+            part = F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / BLOCK)).cast("long")
+            blocks = entries.groupBy("term", level.alias("level"), part.alias("part")).agg(F.max("share").alias("top"), F.collect_list("id").alias("ids"))
+            named = blocks.withColumn("n", F.size("ids")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+            self._save(named, f"{path}/postings", mode, by=["bucket"])
         self._save(self.spark.createDataFrame([(version, n)], _META), "meta", "append")
         old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version={version - 2}")
         old.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
 
     def _asked(self, queries: DataFrame, version: int) -> DataFrame:
         """(query_id, term, q, norm) of queries with tokens: weights of known terms; a null term if there is none."""
-        rows = queries.select(F.col("query_id").alias("id"), T.tokens(F.col("query")).alias("t")).where(F.size("t") > 0)
-        flat = self._counts(rows).select("id", "len", F.explode("terms").alias("x")).select("id", "len", "x.term", "x.n")
+        flat = item_terms(queries, "query_id", "query").where("len > 0").select("id", "len", F.explode("terms").alias("x")).select("id", "len", "x.term", "x.n")
         weights = flat.join(self._read("terms", version).where("idf <> 0"), "term", "left")
         weights = weights.select(F.col("id").alias("query_id"), F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"), (F.col("n") / F.col("len") * F.col("idf")).alias("q"), "idf")
         norm = F.sqrt(F.sum(F.col("q") * F.col("q")).over(W.partitionBy("query_id")))  # one query's own terms
         return written(weights.withColumn("norm", F.coalesce(norm, F.lit(0.0))), "asked")
 
-    def _scored(self, pairs: DataFrame, asked: DataFrame, version: int) -> DataFrame:
-        """Exact scores of pairs (query_id, id): items bring their counts, queries their weights times idf."""
-        entry = F.struct("term", (F.col("q") * F.col("idf")).alias("q"))
-        known = F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), entry)))
-        of_query = asked.groupBy("query_id").agg(known.alias("known"), F.max("norm").alias("length"))
+    def _scored(self, ids: DataFrame, asked: DataFrame, version: int, k: int) -> DataFrame:
+        """The k best items of each query among `ids`, by exact scores: items bring their counts, queries their weights times
+        idf, and they meet in blocks."""
+        entry = F.struct("term", (F.col("q") * F.col("idf")).alias("w"))
+        known = F.collect_list(F.when(F.col("term").isNotNull(), entry))
+        given = asked.groupBy(F.col("query_id").alias("id")).agg(known.alias("terms"), F.max("norm").alias("norm"))
         counts = self.spark.read.parquet(f"{self.folder}/counts")
-        held = pairs.join(self._read("norms", version), "id").join(counts, "id").join(of_query, "query_id")
-        product = F.aggregate("terms", F.lit(0.0), lambda a, x: a + x["n"] * F.coalesce(F.try_element_at("known", x["term"]), F.lit(0.0)))
-        both = F.col("len") * F.col("norm") * F.col("length")
-        return held.select("query_id", "id", F.when(both > 0, F.round(product / both, 9)).otherwise(0.0).alias("score"))
+        terms = F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["n"].cast("double").alias("w")))
+        held = counts.join(ids, "id", "left_semi").join(self._read("norms", version), "id")
+        return _best_of_blocks(written(held.select("id", terms.alias("terms"), (F.col("len") * F.col("norm")).alias("norm")), "scored"), given, cosine, k, "id")
 
     def _bounds(self, asked: DataFrame, version: int) -> DataFrame:
         """Blocks of the queries' terms: query_id, term, level, part, n, own (most that the term adds there), rest (most that
@@ -146,16 +141,16 @@ class TextIndex:
         bounds = written(self._bounds(asked, version), "bounds")
         best = W.partitionBy("query_id").orderBy(F.desc("own"), "term", "level", "part")
         seeds = bounds.withColumn("at", F.row_number().over(best)).where(F.col("at") <= max(SEEDS, k))
-        first = self._scored(self._members(seeds, version), asked, version)
-        mark = top_k(first, k, ["id"]).where(F.col("rank") == k).select("query_id", F.col("score").alias("mark"))
+        # Other items of the seeds are scored as well, which can only raise the mark.
+        mark = self._scored(written(self._members(seeds, version), "seeds"), asked, version, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("mark"))
         read = F.col("own") + F.col("rest") >= F.coalesce("mark", F.lit(0.0)) - SLACK
         return bounds.join(mark, "query_id", "left").withColumn("read", read)
 
     def _members(self, blocks: DataFrame, version: int) -> DataFrame:
-        """(query_id, id): items of the blocks, once for each query."""
+        """(id): items of the blocks."""
         lists = self._postings(version).select("bucket", "term", "level", "part", "ids")
         keys = ["bucket", "term", "level", "part"]
-        return lists.join(blocks.select("query_id", *keys), keys).select("query_id", F.explode("ids").alias("id")).distinct()
+        return lists.join(blocks.select(*keys).distinct(), keys).select(F.explode("ids").alias("id")).distinct()
 
     def search(self, queries: DataFrame, k: int, *, item: str = "doc_id") -> DataFrame:
         """The k best items of each query (query_id, query) by TF-IDF cosine: query_id, item, score, rank.
@@ -165,11 +160,7 @@ class TextIndex:
         """
         version = self.version()
         asked = self._asked(queries, version)
-        pairs = written(self._members(self._needed(asked, version, k).where("read"), version), "pairs")
-        enough = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= k)
-        short = asked.select("query_id").distinct().join(enough, "query_id", "left_anti")
-        ids = self._read("norms", version).select("id")
-        first = [r["id"] for r in ids.orderBy("id").limit(2 * k).collect()]  # of these, k at least aren't found yet
-        fill = short.select("query_id", F.explode(F.array(*[F.lit(i) for i in first]).cast(f"array<{ids.schema['id'].dataType.simpleString()}>")).alias("id"))
-        scored = self._scored(pairs.unionByName(fill).distinct(), asked, version)
-        return top_k(scored.withColumnRenamed("id", item), k, [item])
+        # Items that any query needs; each meets all queries, and scores beyond those needed are exact too.
+        found = self._members(self._needed(asked, version, k).where("read"), version)
+        fill = self._read("norms", version).select("id").orderBy("id").limit(k)  # score at least 0, for queries that match less than k
+        return self._scored(written(found.unionByName(fill).distinct(), "found"), asked, version, k).withColumnRenamed("id", item)
