@@ -72,7 +72,11 @@ def average_length(items: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Characters by 4.2, rounded half to even, at least 1; an empty text has none."""
-    return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(F.length(text) / 4.2).cast("int")))
+    return token_estimate_of_length(F.length(text))
+
+
+def token_estimate_of_length(n: Column) -> Column:
+    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(n / 4.2).cast("int")))
 
 
 def rough_tokens(text: Column) -> Column:

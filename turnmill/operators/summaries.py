@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,15 @@ def chunks(items: Column, size: int, overlap: int) -> Column:
 
 def extractive(text: Column, least_tokens: int = 1200, ratio: float = 0.3) -> Column:
     """First, evenly spaced middle, and last sentences; a text of at most `least_tokens` stays as it is."""
-    parts = F.split(text, r"\.", -1)
+    return _once(F.split(text, r"\.", -1), lambda parts: _shortened(text, parts, least_tokens, ratio))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with `value` worked out once for a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shortened(text: Column, parts: Column, least_tokens: int, ratio: float) -> Column:
     n = F.size(parts)
     target = F.greatest(F.lit(1), F.floor(n * ratio).cast("int"))
     step = F.greatest(F.lit(1), F.floor((n - 2) / F.greatest(target - 2, F.lit(1))).cast("int"))
@@ -28,7 +38,7 @@ def extractive(text: Column, least_tokens: int = 1200, ratio: float = 0.3) -> Co
     last = F.when(target > 1, F.array(n - 1)).otherwise(F.array().cast("array<int>"))
     chosen = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), middle, last)))
     joined = F.array_join(F.transform(chosen, lambda i: T.stripped(F.get(parts, i))), ". ")
-    summary = F.when(joined.endswith("."), joined).otherwise(F.concat(joined, F.lit(".")))
+    summary = _once(joined, lambda x: F.when(x.endswith("."), x).otherwise(F.concat(x, F.lit("."))))
     return F.when(T.token_estimate(text) > least_tokens, summary).otherwise(text)
 
 
