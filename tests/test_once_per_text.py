@@ -1,11 +1,8 @@
-"""Texts are worked out once: summaries cut them once, learned models read written features, vectors go in bounded batches."""
+"""Texts are worked out once: summaries cut them once."""
 
 from pyspark.sql import functions as F
 
 from turnmill.operators import summaries
-from turnmill.plans import learning
-
-SF = "/root/testdata/sf0.001"
 
 
 def plan(rows):

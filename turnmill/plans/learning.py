@@ -12,7 +12,7 @@ from turnmill.plans.analysis import samples
 from turnmill.plans import registry as R
 from turnmill.plans.registry import DOCS, query
 from turnmill.plans.registry import SQL as _SQL
-from turnmill.sources.shared import shared_folder
+from turnmill.sources.shared import shared_folder, written
 from turnmill.sources.tables import documents, read, turns
 from turnmill.streaming import sessions as streams
 from turnmill.streaming import probe, state
@@ -205,7 +205,7 @@ def cross_validation(spark, sf_dir):
 def model_comparison(spark, sf_dir):
     """A forest and boosted trees (saved, loaded, calibrated) on documents that neither has seen."""
     rows, features = _labelled(spark, sf_dir)
-    rows = rows.drop("content")
+    rows = written(rows.drop("content"), "labelled")  # fits, calibration and predictions read numbers, not texts
     part = F.col("doc_id") % 4
     train, curve, test = rows.where(part < 2), rows.where(part == 2), rows.where(part == 3)
     forest = models.train_router(train, features, "target")
@@ -259,8 +259,9 @@ def model_routes(spark, sf_dir):
     """A forest that learns the three-class rules from counts, calibrated, with the heuristic where it is unsure."""
     rows, found = _labelled(spark, sf_dir)
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    model = models.train_router(rows.where(learn < 2), found, "target")
-    curves = models.calibrate(model, rows.where(learn == 2), "target", len(policies.CLASS_IDS))
+    numbers = written(rows.drop("content").where(learn < 3), "labelled")  # each pass of a fit would work out all texts anew
+    model = models.train_router(numbers.where(learn < 2), found, "target")
+    curves = models.calibrate(model, numbers.where(learn == 2), "target", len(policies.CLASS_IDS))
     scored = models.predict(model, rows, curves)
     out = models.routed_by_model(scored, list(policies.CLASS_IDS), policies.heuristic_action(F.col("content"), F.lit("user")))
     return out.select("doc_id", "route", "confidence", "abstained", "action", F.col("target").cast("int").alias("target"))
