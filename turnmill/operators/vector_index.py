@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.operators.retrieval import ITEM_BLOCK, QUERY_BLOCK, inner_product_top_k, products_of_blocks, top_k
+from turnmill.sources.shared import small_batches
 
 #: Vectors that centroids are fitted on, most cells, and vectors that the number of probes is measured with.
 SAMPLE, MOST_CELLS, MEASURED = 20_000, 4096, 256
@@ -21,6 +22,7 @@ _META = "cells int, probes int, k int, recall double, queries long"
 
 def _nearest_cells(rows: DataFrame, key: str, vector: str, centres: np.ndarray, most: int) -> DataFrame:
     """(id, v, cell, place): the `most` nearest cells of each vector, nearest first."""
+    small_batches(rows.sparkSession)  # distances of a batch to all cells are in memory
     held = rows.sparkSession.sparkContext.broadcast(centres)  # at most MOST_CELLS vectors
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +135,10 @@ class VectorIndex:
         Looks into as many cells as the build has measured, or `probes`, or all of them if `exact`. Queries meet the
         items of their cells in blocks; only k rows of each query and block are shuffled.
         """
+        if exact:  # all cells: blocks of queries meet blocks of items, and no query is copied to every cell
+            return inner_product_top_k(self.items().select(F.col("id").alias(item), F.col("v").alias(vector)), queries, k, item, vector)
         centres = self._centres()
-        most = len(centres) if exact else min(probes or self.meta()["probes"], len(centres))
+        most = min(probes or self.meta()["probes"], len(centres))
         asked = _nearest_cells(queries, "query_id", vector, centres, most)
         blocks = max(1, math.ceil(queries.count() * most / max(1, len(centres)) / QUERY_BLOCK))
         asked = asked.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
