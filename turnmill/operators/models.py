@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StopWordsRemover, VectorAssembler
@@ -14,7 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.operators.policies import gated
-from turnmill.sources.shared import written
+from turnmill.operators.retrieval import tokens_of
+from turnmill.sources.shared import small_batches, written
+
+#: Words whose pairs are counted first, and words that are sent to all tasks at most.
+LEADING, MOST_SENT = 1 << 13, 1 << 20
 
 
 def train_router(rows: DataFrame, features: list[str], label: str, seed: int = 42, trees: int = 30) -> PipelineModel:
@@ -148,3 +155,138 @@ def tfidf_pipeline(text: str = "content", size: int = 1000) -> Pipeline:
             Normalizer(inputCol="weights", outputCol="tfidf"),
         ]
     )
+
+
+def _kept_words(rows: DataFrame, key: str, text: str, pattern: str, stop: list[str]) -> DataFrame:
+    """`key` and the words that tokenizer and stop words of `tfidf_pipeline` leave, joined by blanks; written.
+
+    In ASCII the pattern is a run of letters, digits and underscores that has two letters or more and nothing else, which
+    tasks find in whole batches. Other texts go through the pattern itself.
+    """
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    found = F.array_join(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), " ")
+    plain = F.when(F.octet_length(low) == F.char_length(low), low).otherwise(found)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, length = tokens_of(batch.column(1), "abcdefghijklmnopqrstuvwxyz0123456789_")
+            held = names.dictionary_encode()
+            good = pc.and_(pc.match_substring_regex(held.dictionary, "^[a-z]{2,}$"), pc.invert(pc.is_in(held.dictionary, pa.array(stop))))
+            stays = good.take(held.indices)
+            row = np.repeat(np.arange(len(batch)), length)[stays.to_numpy(zero_copy_only=False)]
+            bounds = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), names.filter(stays)), " ")], [key, "words"])
+
+    small_batches(rows.sparkSession)
+    kind = rows.schema[key].dataType.simpleString()
+    return written(rows.select(key, plain.alias("words")).mapInArrow(keep, f"`{key}` {kind}, words string"), "tfidf_words")
+
+
+def _coded(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The distinct words of a batch, the number of each word in these, and its row."""
+    names, length = tokens_of(texts)
+    held = names.dictionary_encode()
+    return held.dictionary, held.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(texts)), length)
+
+
+def _counted(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes, how often each occurs and in how many rows; `rows` ascend."""
+    order = np.argsort(codes, kind="stable")
+    codes, rows = codes[order], rows[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    first = np.flatnonzero(new)
+    new[1:] |= rows[1:] != rows[:-1]
+    docs = np.add.reduceat(new, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    return codes[first], np.diff(np.append(first, len(codes))), docs
+
+
+def _term_counts(words: DataFrame, least: int, pairs: bool = False, among: list[str] | None = None) -> DataFrame:
+    """(term, n, docs): how often each word, or pair of neighbours, occurs and in how many rows, if in `least` at least.
+    `among`: only pairs of these words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = pa.array(among, pa.string()) if among is not None else None
+        for batch in batches:
+            names, code, row = _coded(batch.column(0))
+            if pairs:
+                near = row[1:] == row[:-1]
+                if chosen is not None:
+                    known = pc.is_in(names, chosen).to_numpy(zero_copy_only=False)[code]
+                    near &= known[1:] & known[:-1]
+                code, row = (code[:-1] * len(names) + code[1:])[near], row[1:][near]
+            code, n, docs = _counted(code, row)
+            if pairs:
+                one, two = (names.take(pa.array(x)) for x in np.divmod(code, max(len(names), 1)))
+                terms = pc.binary_join_element_wise(one, two, " ")
+            else:
+                terms = names.take(pa.array(code))
+            yield pa.RecordBatch.from_arrays([terms, pa.array(n), pa.array(docs)], ["term", "n", "docs"])
+
+    counts = words.select("words").mapInArrow(count, "term string, n long, docs long")
+    return counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+
+
+def _vocabularies(words: DataFrame, size: int, least: int) -> list[list]:
+    """The `size` most frequent words and pairs (term, n, docs) of those in `least` rows at least; equal counts by name.
+
+    A pair is no more frequent than either of its words. So pairs of the LEADING words are counted first; where the last of
+    the best isn't above all words left out, the words as frequent as it are taken, beside which no pair can count.
+    """
+
+    def best(counts: DataFrame, most: int) -> list:
+        return counts.orderBy(F.desc("n"), "term").limit(most).collect()
+
+    singles = written(_term_counts(words, least), "tfidf_counts")
+    leading = best(singles, max(size, LEADING + 1))
+    left_out = leading[LEADING]["n"] if len(leading) > LEADING else 0
+    pairs = best(_term_counts(words, least, True, [r["term"] for r in leading[:LEADING]]), size)
+    lowest = pairs[-1]["n"] if len(pairs) == size else 1
+    if left_out >= lowest:
+        more = singles.where(F.col("n") >= lowest).select("term")
+        among = [r["term"] for r in more.collect()] if more.count() <= MOST_SENT else None
+        pairs = best(_term_counts(words, least, True, among), size)
+    return [leading[:size], pairs]
+
+
+def tfidf_vectors(rows: DataFrame, key: str, text: str = "content", size: int = 1000) -> tuple[list[str], DataFrame]:
+    """The terms and, by `key`, the vectors (indices, values) that `tfidf_pipeline`, fitted to `rows`, gives them.
+
+    Each text is cut once; its words are written, counted batch by batch and looked up. A null text has no words. Where
+    counts are equal at the end of a vocabulary, the pipeline takes any term, this the first by name.
+    """
+    cut, drop, _, counter, *_ = tfidf_pipeline(text, size).getStages()
+    words = _kept_words(rows, key, text, cut.getPattern(), drop.getStopWords())
+    singles, pairs = _vocabularies(words, size, int(counter.getMinDF()))
+    total, terms = words.count(), [r["term"] for r in singles + pairs]
+    idf = np.log((total + 1.0) / (np.array([r["docs"] for r in singles + pairs]) + 1.0))
+    halves = [r["term"].split(" ") for r in pairs]
+    parts = sorted({w for both in halves for w in both})
+    number = {w: i for i, w in enumerate(parts)}
+    joined = np.array([number[a] * len(parts) + number[b] for a, b in halves], np.int64)
+    by_code = np.argsort(joined)
+    alone, columns = [r["term"] for r in singles], len(singles)
+
+    def places(names: pa.StringArray, vocabulary: list[str]) -> np.ndarray:
+        return pc.fill_null(pc.index_in(names, pa.array(vocabulary, pa.string())), -1).to_numpy().astype(np.int64)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, code, row = _coded(batch.column(1))
+            one, part = places(names, alone)[code], places(names, parts)[code]
+            near = (row[1:] == row[:-1]) & (part[1:] >= 0) & (part[:-1] >= 0)
+            code_of_pair = (part[:-1] * len(parts) + part[1:])[near]
+            at = np.searchsorted(joined[by_code], code_of_pair)
+            hit = np.append(joined[by_code], -1)[at] == code_of_pair
+            column = np.concatenate([one[one >= 0], columns + by_code[at[hit]]])
+            found, n = np.unique(np.concatenate([row[one >= 0], row[1:][near][hit]]) * max(len(terms), 1) + column, return_counts=True)
+            row, column = np.divmod(found, max(len(terms), 1))
+            weight = n * idf[column]
+            length = np.sqrt(np.bincount(row, weight * weight, len(batch)))[row]
+            bounds = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32))
+            values = np.divide(weight, length, out=weight, where=length > 0)
+            lists = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(column.astype(np.int32)), pa.array(values))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], [key, "indices", "values"])
+
+    kind = words.schema[key].dataType.simpleString()
+    return terms, words.mapInArrow(weigh, f"`{key}` {kind}, indices array<int>, values array<double>")

@@ -224,12 +224,12 @@ def model_comparison(spark, sf_dir):
 def tfidf_features(spark, sf_dir):
     """The learned policies' text features over all documents: how many there are, at most 1,000 of words and 1,000 of pairs,
     and unit vectors but for texts without any."""
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("content", F.lit("")).alias("content"))
-    fitted = models.tfidf_pipeline().fit(docs)
-    weights = models.vector_to_array(F.col("tfidf"))
-    found = fitted.transform(docs).select("doc_id", F.size(weights).alias("size"), F.aggregate(weights, F.lit(0.0), lambda a, x: a + x * x).alias("norm"))
-    return found.agg(
-        F.count(F.lit(1)).alias("documents"), (F.max("size") <= 2000).alias("bounded"), F.every((F.abs(F.col("norm") - 1) < 1e-9) | (F.col("norm") == 0)).alias("unit_vectors")
+    terms, vectors = models.tfidf_vectors(documents(spark, sf_dir), "doc_id")
+    norm = F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)
+    return vectors.select("doc_id", norm.alias("norm")).agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.lit(len(terms) <= 2000).alias("bounded"),
+        F.coalesce(F.every((F.abs(F.col("norm") - 1) < 1e-9) | (F.col("norm") == 0)), F.lit(True)).alias("unit_vectors"),
     )
 
 
