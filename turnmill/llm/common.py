@@ -60,10 +60,10 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 class Shelf:
-    """Tables in the shared folder that an operator needs for a while, and lets go together."""
+    """Tables in the shared folder that an operator needs for a while, and lets go together. `options` are Parquet's."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, **options: str):
+        self.spark, self.options = spark, options
         self.folder = f"{shared_dir(spark)}/tables/{uuid.uuid4()}"
         self.tables = 0
         self.broadcasts: list[Broadcast] = []
@@ -71,7 +71,7 @@ class Shelf:
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{self.tables}"
         self.tables += 1
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**{"compression": "zstd"} | self.options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def broadcast(self, value) -> Broadcast:

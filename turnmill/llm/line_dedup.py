@@ -34,9 +34,13 @@ from turnmill.llm.words import Spans, free_memory, gather, line_spans, lists, mi
 
 #: Cells of the token count table (a byte each, 4 while a task counts). Words that share a cell only cost some speed.
 CELLS = 1 << 23
+#: Cells whose counts are handed on as one row.
+BLOCK = 1 << 12
 #: Keys for the first test, and how many smallest tokens make one.
 KEYS, MINIMA = 3, 3
 PERCENT = 80
+#: Tables are of hashes and class numbers, which hardly repeat: looking for repeated values takes time and saves no room.
+PLAIN = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"}
 #: 64-bit words of the wide parity bitmap (a power of two), which still tells lines of hundreds of words apart.
 WIDE = 8
 
@@ -44,7 +48,8 @@ WIDE = 8
 def token_counts(texts: DataFrame) -> np.ndarray:
     """How often the words of each cell occur in `texts`, as a grade: 8 for each doubling, 0 for none or once.
 
-    Tasks add up their own counts before the shuffle; the driver gets at most a grade for each cell.
+    Tasks add up their own counts, and hand on those above 0 block by block, a block being a row. The driver gets at most
+    a grade for each cell.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,16 +58,31 @@ def token_counts(texts: DataFrame) -> np.ndarray:
             for _, _, data, offsets in slices(batch.column(0)):
                 cells, n = np.unique(_cells(span_hashes(data, word_spans(data, offsets))), return_counts=True)
                 total[cells] += n.astype(np.int32)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+        for low in range(0, CELLS, 64 * BLOCK):
+            parts = total[low : low + 64 * BLOCK].reshape(-1, BLOCK)
+            some = [np.flatnonzero(part) for part in parts]
+            blocks = pa.array(low // BLOCK + np.arange(len(parts)), pa.int32())
+            cells = pa.array([x.astype(np.uint16).tobytes() for x in some], pa.binary())
+            times = pa.array([part[x].tobytes() for part, x in zip(parts, some, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([blocks, cells, times], ["block", "cells", "n"]).filter(pa.array([len(x) > 0 for x in some]))
         free_memory()
 
-    counted = texts.select("text").mapInArrow(count, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
-    grade = F.least(F.floor(F.log2(F.col("n").cast("double")) * 8), F.lit(255)).cast("short")
-    found = counted.where("n > 1").select("cell", grade.alias("grade")).toArrow()  # at most CELLS rows
-    grades = np.zeros(CELLS, np.uint8)
-    grades[found.column("cell").to_numpy()] = found.column("grade").to_numpy()
-    return grades
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cells, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = total.setdefault(block, np.zeros(BLOCK, np.int64))
+                held[np.frombuffer(cells, np.uint16)] += np.frombuffer(n, np.int32)
+        for block, held in total.items():
+            grade = np.minimum(np.floor(np.log2(np.maximum(held, 1)) * 8), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([grade.tobytes()], pa.binary())], ["block", "grade"])
+
+    counted = texts.select("text").mapInArrow(count, "block int, cells binary, n binary")
+    found = counted.repartition("block").mapInArrow(add, "block int, grade binary").toArrow()  # at most CELLS bytes
+    grades = np.zeros((CELLS // BLOCK, BLOCK), np.uint8)
+    for block, grade in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        grades[block] = np.frombuffer(grade, np.uint8)
+    return grades.ravel()
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
@@ -88,6 +108,17 @@ class Lines:
         return one[self.filled].view(np.int64), two[self.filled].view(np.int64)
 
 
+def _sorted_by(line: np.ndarray, often: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The order by line, grade and hash, of one number for all three where it tells them apart (36 bits of the hash do)."""
+    if len(line) and line[-1] < 1 << 20:
+        whole = (line.astype(np.uint64) << np.uint64(44)) | (often.astype(np.uint64) << np.uint64(36)) | (hashes >> np.uint64(28))
+        order = np.argsort(whole)
+        whole, sorted_hashes = whole[order], hashes[order]
+        if not np.any((whole[1:] == whole[:-1]) & (sorted_hashes[1:] != sorted_hashes[:-1])):
+            return order
+    return np.lexsort((hashes, often, line))
+
+
 class TokenSets:
     """The distinct tokens of some of the `lines`, each set in the order of rarity if grades of frequency are given."""
 
@@ -96,7 +127,7 @@ class TokenSets:
         hashes = gather(lines.hashes, lines.bounds[chosen], length)
         line = np.repeat(np.arange(len(chosen)), length)
         often = np.zeros(len(hashes), np.uint8) if grades is None else grades[_cells(hashes)]
-        order = np.lexsort((hashes, line) if grades is None else (hashes, often, line))
+        order = _sorted_by(line, often, hashes)
         hashes, often, line = hashes[order], often[order], line[order]
         new = np.ones(len(line), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
@@ -186,7 +217,7 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
     """The later classes of those `pairs` (a, b) that are similar, kept on `shelf`; all else that is made here is deleted."""
-    own_shelf = Shelf(texts.sparkSession)
+    own_shelf = Shelf(texts.sparkSession, **PLAIN)
     pairs = own_shelf.put(pairs)
     wanted = own_shelf.put(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
     wanted = own_shelf.put(classes.select("class", "doc_id", "line", "one", "two").join(sized(wanted), "class"))
@@ -232,7 +263,7 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: S
         differ = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
         return (
             (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
-            & (differ <= nx + ny - 2 * required(nx + ny, percent))
+            & ((100 + percent) * (nx + ny - differ) >= 2 * percent * (nx + ny))  # whole numbers only: tried on very many pairs
             & (F.col(f"{x}.class") != F.col(f"{y}.class"))
         )
 
@@ -241,10 +272,12 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: S
         return rows.select(*pair).distinct()
 
     leading = classes.select("doc_id", "line", "class", "n", "bits", F.explode("keys").alias("token"))
-    # Written, so that Spark can split what joins a frequent key; a key of one class only meets itself.
+    # Written, so that Spark can split what joins a frequent key; a key of one class only meets itself. Most keys are such:
+    # counts tell them before the wider rows are grouped.
+    shared = shelf.put(leading.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token"))
+    leading = shelf.put(leading.join(shared, "token", "left_semi"))
     first = F.min(F.struct("doc_id", "line", "class", "n", "bits")).alias("e")
-    earliest = leading.groupBy("token").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1").select("token", "e.*")
-    earliest = shelf.put(earliest)
+    earliest = shelf.put(leading.groupBy("token").agg(first).select("token", "e.*"))
     x, y = leading.drop("doc_id", "line").alias("x"), earliest.drop("doc_id", "line").alias("y")
     tries = x.join(y, (F.col("x.token") == F.col("y.token")) & fits("x", "y", F.col("x.n"), F.col("y.n")))
     settled = _verified(ordered(tries, "x", "y"), classes, texts, percent, shelf)
@@ -265,12 +298,14 @@ def matched_classes(classes: DataFrame, texts: DataFrame, percent: int, shelf: S
         low = s.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
         return F.shiftright(s, 32).cast("int"), F.shiftright(low, 2), F.shiftright(low, 1).bitwiseAND(1), low.bitwiseAND(1)
 
-    (nx, px, ix, _), (ny, py, iy, _) = part("x"), part("y")
-    # Only unsettled classes look for partners, so the settled ones of a large group never meet. Cheap conditions come first.
-    enough = F.least(nx - px, ny - py) >= required(nx + ny, percent)
+    (nx, px, ix, _), (ny, py, iy, sy) = part("x"), part("y")
+    # Only unsettled classes look for partners, so the settled ones of a large group never meet; two unsettled ones meet in
+    # one order. Cheap conditions come first.
+    enough = (100 + percent) * F.least(nx - px, ny - py) >= percent * (nx + ny)
     pairs = postings.where(F.col("state").bitwiseAND(F.lit(1)) == 0).alias("x").join(
         postings.alias("y"),
         (F.col("x.token") == F.col("y.token"))
+        & ((sy > 0) | (F.col("x.class") < F.col("y.class")))
         & (F.when(ny <= nx, iy).otherwise(ix) > 0)
         & fits("x", "y", nx, ny)
         & enough,
@@ -293,7 +328,7 @@ def removed_lines(
     lines, and each gets the same answer; rows of one id with different texts are
     ordered by line number. An empty table gives an empty table; other columns are ignored.
     """
-    shelf = Shelf(docs.sparkSession)
+    shelf = Shelf(docs.sparkSession, **PLAIN)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     classes = line_classes(texts, shelf.broadcast(token_counts(texts)), percent, shelf)
     matched = sized(matched_classes(classes, texts, percent, shelf)).withColumn("matched", F.lit(True))

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 
 #: Text bytes that are worked on at once; bounds the memory of temporary arrays. A longer text is a slice of its own.
 SLICE_BYTES = 1 << 19
+#: Text bytes whose running sums are made at once, so that these stay in a core's cache.
+HASH_BYTES = 1 << 15
 
 _STEP = 0x9E3779B97F4A7C15
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
@@ -46,9 +48,9 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
 
 
 def _powers(base: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64, enough for a block of SLICE_BYTES."""
+    """base**0, base**1, ... modulo 2**64, enough for a block of HASH_BYTES."""
     if base not in _tables:
-        steps = np.full(SLICE_BYTES, base, np.uint64)
+        steps = np.full(HASH_BYTES, base, np.uint64)
         steps[0] = 1
         _tables[base] = np.cumprod(steps)
     return _tables[base]
@@ -91,7 +93,7 @@ class Spans:
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> Spans:
     """The words: longest runs of bytes that aren't ASCII white space. UTF-8 has no such byte inside a character."""
-    word = ~SPACE[data]
+    word = (data != 32) & (data - np.uint8(9) > 4)  # as SPACE has it; comparisons are faster than looking each byte up
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     starts, ends = word.copy(), word.copy()
     starts[1:] &= ~word[:-1]
@@ -117,7 +119,7 @@ def span_hashes(data: np.ndarray, spans: Spans, fold: bool = True) -> np.ndarray
 
     Hashes are polynomials in the bytes' random values. A running sum of
     value * step**position gives each piece's by one subtraction. The sums run
-    over blocks of at most SLICE_BYTES, however long the text or a piece is.
+    over blocks of at most HASH_BYTES, however long the text or a piece is.
     """
     table = _BYTES[FOLD] if fold else _BYTES
     up, down = _powers(_STEP), _powers(_STEP_INVERSE)
@@ -134,15 +136,15 @@ def span_hashes(data: np.ndarray, spans: Spans, fold: bool = True) -> np.ndarray
     first = 0
     while first < len(found):
         low = int(spans.start[first])
-        last = int(np.searchsorted(spans.end, low + SLICE_BYTES, "right"))
+        last = int(np.searchsorted(spans.end, low + HASH_BYTES, "right"))
         if last > first:
             start, end = spans.start[first:last] - low, spans.end[first:last] - low
             total = running(low, int(end[-1]) + low)
             found[first:last] = (total[end] - total[start]) * down[start]
         else:  # one piece that is longer than a block
             last, value = first + 1, 0
-            for at in range(low, int(spans.end[first]), SLICE_BYTES):
-                part = running(at, min(at + SLICE_BYTES, int(spans.end[first])))
+            for at in range(low, int(spans.end[first]), HASH_BYTES):
+                part = running(at, min(at + HASH_BYTES, int(spans.end[first])))
                 value += int(part[-1]) * pow(_STEP, at - low, 1 << 64)
             found[first] = value & ((1 << 64) - 1)
         first = last
